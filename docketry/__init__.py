@@ -1,3 +1,15 @@
 """Docketry: court-docket analytics expressed as Spark DataFrame plans."""
 
+import os
+import sys
+from pathlib import Path
+
 __version__ = "0.1.0"
+
+# Python workers import this package like any other where PYTHONPATH names its folder (or it is installed). Where only
+# this process knows its place, its functions travel to the workers by value.
+_ROOT = str(Path(__file__).resolve().parent.parent)
+if _ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and not any(p in _ROOT for p in ("site-packages", "dist-packages")):
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -167,9 +167,12 @@ def latest_manifest(manifest: DataFrame) -> DataFrame:
 
 def ocr_scores(pages: DataFrame, providers: DataFrame, results: DataFrame, gold: DataFrame) -> DataFrame:
     """(sha1, provider, cer, pages_per_s) for every page and provider; a provider's last result counts. Providers are
-    few and broadcast."""
+    few, which is checked, and broadcast."""
+    providers = providers.select("provider").distinct()
+    if (n := providers.count()) > 1000:
+        raise ValueError(f"{n} providers are too many to broadcast")
     last = results.groupBy("sha1", "provider").agg(F.max_by(F.struct("text", "wall_s", "n_pages"), "ts").alias("r"))
-    j = pages.select("sha1").distinct().crossJoin(F.broadcast(providers.select("provider").distinct().limit(1000))).join(last, ["sha1", "provider"], "left").join(gold.select("sha1", F.col("text").alias("gold")), "sha1", "left")
+    j = pages.select("sha1").distinct().crossJoin(F.broadcast(providers)).join(last, ["sha1", "provider"], "left").join(gold.select("sha1", F.col("text").alias("gold")), "sha1", "left")
     return j.select("sha1", "provider", tx.character_error_rate(F.col("r.text"), F.col("gold")).alias("cer"), F.when(F.col("r.wall_s") > 0, F.col("r.n_pages") / F.col("r.wall_s")).alias("pages_per_s"))
 
 
