@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry import ship
+
 #: Rows in an Arrow batch handed to Python; a batch of very long texts must still fit beside an executor's heap.
 ARROW_ROWS = 512
 
@@ -59,7 +61,9 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch; a smaller setting of the session's stays."""
+    """Makes the session ready for functions over Arrow batches: the workers know the package, and a batch's rows are
+    bounded; a smaller setting of the session's stays."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 

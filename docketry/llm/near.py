@@ -249,8 +249,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar(sigs: DataFrame, threshold: float = THRESHOLD, coordinates: int = COORDINATES) -> tuple[DataFrame, DataFrame]:
-    """Of ``signed`` rows: (rid, root) for those whose signature an earlier row has as well, and (a, b, similarity) for
-    rows of different signatures, in part through the least of a bucket: it is compared with all of its bucket, and
+    """Of ``signed`` rows: (rid, root) for those whose signature more than one row has, root being the least of them, and
+    (a, b, similarity) for rows of different signatures, in part through the least of a bucket: it is compared with all of its bucket, and
     whoever isn't similar to it with all of them too."""
     groups = sigs.groupBy("h1", "h2").agg(F.min(F.struct("rid", "bands")).alias("first"), F.count(F.lit(1)).alias("n"))
     groups, _ = common.materialise(groups.select("h1", "h2", "n", F.col("first.rid").alias("root"), F.col("first.bands").alias("bands")), "near-groups")
