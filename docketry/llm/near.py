@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from docketry.llm import common
 
-COORDINATES, BANDS, THRESHOLD, SHINGLE = 128, 32, 0.5, 2
+COORDINATES, BANDS, THRESHOLD, SHINGLE = 128, 32, 0.6, 2
 _U = np.uint64
 _BYTES_AT_ONCE = 1 << 19
 
