@@ -121,7 +121,7 @@ FROM (SELECT id, CASE WHEN id % 20 IN (15, 16, 17) THEN NULL ELSE id END AS verd
  {choose("id + 1", ("denegado", "concedido", "concedido_parcial", "concedido_parcial", "nao_conhecido", "nao_conhecido", "prejudicado", "prejudicado", "nao_provido", "provido", "provido_parcial", "procedente", "improcedente", "procedente_parcial", "extinto", None, None, None, "nao_provido", "concedido"))} AS av,
  {choose("id + 4", ("denegado", "concedido", "concedido_parcial", "concedido_parcial", "nao_conhecido", "nao_conhecido", "prejudicado", "prejudicado", "nao_provido", "provido", "provido_parcial", "procedente", "improcedente", "procedente_parcial", "extinto", None, None, None, "nao_provido", "concedido"))} AS bv FROM {{in}})""")
 def _(d):
-    none = F.lit(None).cast("string")
+    none = F.when(F.col("id") < 0, F.lit(""))
     held = F.array(F.struct(F.col("v").alias("voto_relator"), F.struct(none.alias("data_inicio"), none.alias("data_fim_prevista")).alias("metadata")))
     event = lambda i, c: F.struct(F.lit(i).alias("index"), none.alias("data"), F.lit("Decisão").alias("nome"), F.col(c).alias("complemento"))
     r = d.select("id", legal.derive_outcome(held, F.array(event(2, "a"), event(1, "b"))).alias("o"))
