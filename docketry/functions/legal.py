@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
 
-# verdicts: patterns over folded lower-case text with single blanks, tried in this order -----------------------------
+# verdicts: patterns over folded lower-case text with single blanks, tried in this order
 
 VERDICTS: dict[str, str] = {
     "concedido_parcial": "ordem parcialmente concedida|conced(o parcialmente|o em parte) a ordem|concessao parcial",
@@ -79,7 +79,7 @@ def derive_outcome(sessions: Column, events: Column) -> Column:
     return F.when(by_vote.isNotNull(), held).otherwise(F.try_element_at(F.filter(told, lambda t: t["verdict"].isNotNull()), F.lit(1)))
 
 
-# docket events: label -> tests on the upper-case text, tried in this order --------------------------------------------
+# docket events: label -> tests on the upper-case text, tried in this order
 # "^x" begins with, "=x" equals, "x" contains; "x&y" both; "@n:x" within the first n characters
 
 EVENT_RULES: dict[str, str] = {
@@ -148,7 +148,7 @@ def classify_event(c: Column, rules: Mapping[str, str] = EVENT_RULES) -> Column:
     return out
 
 
-# parties --------------------------------------------------------------------------------------------------------------
+# parties
 
 _PAREN = "\\s*\\(([^)]*)\\)\\s*"
 
@@ -164,7 +164,7 @@ def lawyer_key(c: Column) -> Column:
 def bar_codes(c: Column) -> Column:
     """Registration codes within parentheses, in order, as NNNN/UF or as written."""
     inner = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(_PAREN), F.lit(1)), lambda p: F.split(p, ",")))
-    return F.transform(F.filter(F.transform(inner, lambda p: F.trim(p)), lambda p: p.rlike("^[0-9]+[A-Z]?/?[A-Z]{2}$")), lambda p: F.upper(p))
+    return F.transform(F.filter(F.transform(inner, lambda p: F.trim(p)), lambda p: p.rlike("^\\d+([A-Z]?/[A-Z]{2}|[A-Z]{2,3})$")), lambda p: F.upper(p))
 
 
 _AFTER = "\\bOAB[\\s/-]+([A-Z]{2})[\\s/-]+([0-9.]+[A-Z]?)"
@@ -216,7 +216,7 @@ def primeiro_autor(partes: Column, prefixes: tuple[str, ...] = ("AGTE", "AUTOR",
     return F.try_element_at(F.filter(partes, lambda p: p["tipo"].rlike("^(" + "|".join(prefixes) + ")")), F.lit(1))["nome"]
 
 
-# document types -------------------------------------------------------------------------------------------------------
+# document types
 
 TIER_OF = {
     **dict.fromkeys(("INTEIRO TEOR DO ACORDAO", "DECISAO MONOCRATICA", "MANIFESTACAO DA PGR", "RELATORIO", "VOTO", "VOTO VISTA", "VOTO VOGAL"), "A"),

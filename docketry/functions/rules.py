@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from docketry.functions.text import contains_any
 
 #: Signs of a passing network fault in an error message; case aside.
-NETWORK_SIGNS = ("403", "500", "502", "503", "504", "5xx", "auth triad", "chunkedencodingerror", "connectionerror", "connectionreset", "cookies", "proxyerror", "ssl", "timed out", "timeout")
+NETWORK_SIGNS = tuple("5xx|504|503|502|500|403|auth triad|chunkedencodingerror|connectionerror|connectionreset|cookies|proxyerror|ssl|timed out|timeout".split("|"))
 #: A 404 there is final wherever it is seen.
-FINAL_404 = ("digital.stf.jus.br/decisoes-monocraticas/api/public/votos/",)
+FINAL_404 = ("/decisoes-monocraticas/api/public/votos/",)
 RETRY_CAP = 2
 
 
@@ -87,7 +87,7 @@ def waf_shape(wall_s: Column, http_status: Column, retries: Column) -> Column:
 
 
 #: Statuses of an extraction that another provider can mend, and which.
-SWITCH_TO = {"empty": "chandra", "outlier_skipped": "tesseract"}
+SWITCH_TO = {"outlier_skipped": "tesseract", "empty": "chandra"}
 
 
 def recovery_bucket(kind: Column, status: Column, retry_count: Column, extractor: Column, dismissed: Column) -> Column:

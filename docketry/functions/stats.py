@@ -14,12 +14,11 @@ Z95 = 1.959963984540054
 
 def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Bounds of the Wilson score interval, within 0 and 1; 0, 0 for n of 0 or less."""
-    p = successes / n
-    scale = 1 + z * z / n
-    mid = p + z * z / (2 * n)
-    half = z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)
+    q = z * z
+    mid = successes + q / 2
+    half = z * F.sqrt(successes * (n - successes) / n + q / 4)
     ok = n > 0
-    return F.when(ok, F.greatest(F.lit(0.0), (mid - half) / scale)).otherwise(0.0), F.when(ok, F.least(F.lit(1.0), (mid + half) / scale)).otherwise(0.0)
+    return F.when(ok, F.greatest(F.lit(0.0), (mid - half) / (n + q))).otherwise(0.0), F.when(ok, F.least(F.lit(1.0), (mid + half) / (n + q))).otherwise(0.0)
 
 
 def grant_rates(rows: DataFrame, by: list[str], outcome: str, wins: tuple[str, ...]) -> DataFrame:
@@ -81,7 +80,7 @@ def posterior(groups: DataFrame, alpha: float, beta: float, wins: str = "wins",
     return groups.withColumns({"shrunk_rate": a / (a + b), "ci_lo": beta_ppf(F.lit(tail), a.cast("double"), b.cast("double")), "ci_hi": beta_ppf(F.lit(1 - tail), a.cast("double"), b.cast("double"))})
 
 
-# percentile flavours: each is exact, of a group's values brought together; null values don't count ---------------------
+# percentile flavours: each is exact, of a group's values brought together; null values don't count
 
 
 def _sorted(x: Column) -> Column:
@@ -119,7 +118,7 @@ def decile_exclusive(x: Column, i: int) -> Column:
     return F.when(n > 1, (_at(v, j - 1) * (10 - delta) + _at(v, j) * delta) / 10)
 
 
-# costs ---------------------------------------------------------------------------------------------------------------
+# costs
 
 #: dollars for 1,000 pages, seconds for a page
 PROVIDER_RATES = {"pypdf": (0.0, 0.05), "tesseract": (0.0, 2.0), "mistral": (1.0, 0.4), "chandra": (3.0, 1.2), "unstructured": (10.0, 1.5)}

@@ -45,7 +45,7 @@ def normalize_spaces(c: Column) -> Column:
 def normalize_name_exact(names: pd.Series) -> pd.Series:
     """Compatibility decomposition, ASCII only, upper case, single blanks; null gives the empty string. For scripts
     that ``normalize_name`` doesn't cover."""
-    return names.map(lambda s: "" if not s else " ".join(unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().split()).upper())
+    return names.map(lambda s: " ".join("".join(c for c in unicodedata.normalize("NFKD", s or "") if c.isascii()).split()).upper())
 
 
 def normalize_name(c: Column) -> Column:
@@ -75,7 +75,7 @@ def numero_origem(c: Column) -> Column:
     return F.when(F.size(items) > 0, items)
 
 
-# dates ---------------------------------------------------------------------------------------------------------------
+# dates
 
 _DAY = "(\\d{2})/(\\d{2})/(\\d{4})"
 
@@ -127,7 +127,7 @@ def flexible_date(iso: Column, raw: Column) -> Column:
     return F.coalesce(F.nullif(iso, F.lit("")), F.when(raw.rlike("(?s)^.{4}-.{5}$"), raw), to_iso(raw))
 
 
-# portal texts --------------------------------------------------------------------------------------------------------
+# portal texts
 
 
 def clean_nome(c: Column) -> Column:
@@ -172,7 +172,7 @@ def strip_html(fragments: pd.Series) -> pd.Series:
     return fragments.str.replace(r"<[^>]*>", " ", regex=True).map(lambda s: None if s is None else " ".join(html.unescape(s).split()))
 
 
-# keys and similarity ------------------------------------------------------------------------------------------------
+# keys and similarity
 
 
 def url_sha1(c: Column) -> Column:
@@ -222,4 +222,5 @@ def contains_any(c: Column, needles: Sequence[str]) -> Column:
 
 def matches_fold(c: Column, needle: str) -> Column:
     """Whether the folded text has the folded needle in it."""
-    return fold(c).contains(unicodedata.normalize("NFD", needle).encode("ascii", "ignore").decode().upper().strip())
+    plain = "".join(filter(lambda c: unicodedata.category(c) != "Mn", unicodedata.normalize("NFD", needle)))
+    return fold(c).contains(plain.upper().strip())

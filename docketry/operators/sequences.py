@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import rules
 
-#: label, failure rate above, 95th percentile of seconds above; the worst first
-BANDS = (("collapse", 0.30, 60.0), ("approaching_collapse", 0.20, 30.0), ("l2_engaged", 0.10, 15.0))
+#: a label's least 95th percentile of seconds and failure rate, both to be exceeded; the worst first
+BANDS = {"collapse": (60, 0.3), "approaching_collapse": (30, 0.2), "l2_engaged": (15, 0.1)}
 
 
 def regimes(rows: DataFrame, by: list[str], order: list[str], window: int = 50, warm: int = 20) -> DataFrame:
@@ -28,14 +30,14 @@ def regimes(rows: DataFrame, by: list[str], order: list[str], window: int = 50,
     label, why = F.lit("under_utilising"), F.lit("default")
     healthy = F.col("fail_rate") > 0.05
     label, why = F.when(healthy, "healthy").otherwise(label), F.when(healthy, "axis_a").otherwise(why)
-    for name, rate, wall in reversed(BANDS):
+    for name, (wall, rate) in reversed(BANDS.items()):
         a, b = F.col("fail_rate") > rate, F.col("p95_wall_s") > wall
         label = F.when(a | b, name).otherwise(label)
         why = F.when(a & b, "both").when(a, "axis_a").when(b, "axis_b").otherwise(why)
     return r.withColumns({"regime": F.when(cold, "warming").otherwise(label), "promoted_by": F.when(cold, "warming").otherwise(why)}).drop("_n", "_bad", "_walls")
 
 
-def breaker(rows: DataFrame, by: list[str], order: list[str], window: int, threshold: float, errors: tuple[str, ...] = ("error",)) -> DataFrame:
+def breaker(rows: DataFrame, by: list[str], order: list[str], window: int, threshold: float, errors: Iterable[str] = frozenset({"error"})) -> DataFrame:
     """Adds ``tripped``: whether more than ``threshold`` of the last ``window`` rows are errors, once there are so many."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - window, 0)
     share = F.sum(F.coalesce(F.col("status").isin(*errors), F.lit(False)).cast("int")).over(w) / window
@@ -104,7 +106,7 @@ def cancel_events(names: Column, cancels: Column) -> Column:
     return F.aggregate(pairs, F.array().cast("array<string>"), step)
 
 
-# calendar ------------------------------------------------------------------------------------------------------------
+# calendar
 
 
 def _segments(anchors: DataFrame, x: str, y: str) -> DataFrame:

@@ -40,7 +40,7 @@ VERDICT_TEXTS = (
     "Denego a ordem", "Concedo a ordem de ofício", "CONCEDO EM PARTE A ORDEM", "Ordem parcialmente concedida", "Não conheço do habeas corpus", "nego seguimento ao pedido", "Julgo prejudicado o writ", "perda de  objeto", "Nego provimento ao agravo", "dou provimento ao recurso",
     "DOU PARCIAL PROVIMENTO", "julgo procedente a ação", "Ação julgada improcedente", "parcialmente procedente", "extinto sem resolução do mérito", "Pedido de vista", None, "", "recurso  não provido", "Concessão da ordem",
 )
-LINK_TYPES = ("DECISÃO MONOCRÁTICA", "INTEIRO TEOR DO ACÓRDÃO", "MANIFESTAÇÃO DA PGR", "DESPACHO", "CERTIDÃO", "certidao", "Voto", "Relatório", "OUTRAS PEÇAS", "Novidade", None)
+LINK_TYPES = ("DESPACHO", "INTEIRO TEOR DO ACÓRDÃO", "CERTIDÃO", "Relatório", "DECISÃO MONOCRÁTICA", "certidao", "MANIFESTAÇÃO DA PGR", "Novidade", "Voto", None, "OUTRAS PEÇAS")
 PARTIES = (
     "José da Silva (12345/SP)", "MARIA DE SOUZA E OUTRO(A/S)", "O MESMO", "OS MESMOS", "Defensoria Pública da União", "DEFENSORIA PUBLICA DO ESTADO", "Sindicato dos Metalúrgicos", "Juízo da 1ª Vara", "Tribunal de Justiça", "Em causa própria", "Sem representação nos autos", "Ana Luíza dos Santos, OAB/SP 148.022",
     "PEDRO GOMES OAB-PE 48215", "Silva Advogados Associados", "João   das Neves", "ANTONIO E OUTROS", "Ministério Público Federal", "Carla Dias (1234A/RJ, 99887/DF)", "Ordem dos Advogados do Brasil", "Paulo",

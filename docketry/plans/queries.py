@@ -46,7 +46,7 @@ def _list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-# scalar functions ----------------------------------------------------------------------------------------------------
+# scalar functions
 
 _DATES = f"""SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN {DATE_BR.format("o_orderdate")} WHEN 1 THEN 'em ' || {DATE_BR.format("o_orderdate")} || ' 10:2' || cast(o_orderkey % 10 as string) || ':33'
   WHEN 2 THEN {DATE_ISO.format("o_orderdate")} WHEN 3 THEN '31/02/2020' WHEN 4 THEN {DATE_BR.format("o_orderdate")} || ' às 25:00' ELSE NULL END AS d FROM {{orders}}"""
@@ -234,7 +234,7 @@ def _(d):
     return logs.redacted_log(d, "url")
 
 
-# rules ---------------------------------------------------------------------------------------------------------------
+# rules
 
 _STAGED = f"SELECT *, {choose('id + processo', ('varrer', 'baixar', 'extrair'))} AS stage, {choose('id + 2 * processo', ('ok', 'http_error', 'fail', 'empty', 'no_bytes', 'provider_error', 'unallocated', 'cached', 'unknown_type', 'outlier_skipped', None))} AS st FROM ({LOG}) x"
 _NET = " OR ".join(f"contains(lower(coalesce(error, '')), '{n}')" for n in rules.NETWORK_SIGNS)
@@ -285,7 +285,7 @@ def _(d):
     return d.select("processo_id", F.array_join(rules.anomalies(p % 3, p % 5, F.col("classe"), p, F.col("relator"), F.array().cast("array<string>")), ",").alias("wrong"))
 
 
-# registries -----------------------------------------------------------------------------------------------------------
+# registries
 
 _OBS = f"SELECT url, sha1(url) AS sha1, classe, processo AS processo_id, kind AS stage, status, error, ts, retries AS retry_count, run_dir FROM ({LOG}) x WHERE url IS NOT NULL AND kind <> 'fetch_meta'"
 _META = f"SELECT classe, processo AS processo_id, status, error, ts, retries AS retry_count, run_dir, CASE WHEN id % 13 <> 0 THEN id % 7 END AS n_pecas FROM ({LOG}) x WHERE kind = 'fetch_meta'"
@@ -377,16 +377,16 @@ def _(d):
     return registry.recovery_plan(rows).withColumn("urls", F.array_join("urls", " "))
 
 
-# warehouse views -------------------------------------------------------------------------------------------------------
+# warehouse views
 
 _ANDAMENTOS = f"SELECT classe, processo_id, seq, link_tipo, link_url, CASE WHEN link_url IS NOT NULL THEN sha1(link_url) END AS link_url_sha1 FROM ({DOCKET}) x"
 _DOCS = f"SELECT 'HC' AS classe, CAST(o_orderkey AS INT) AS processo_id, 0 AS session_idx, CAST(o_custkey % 3 AS INT) AS doc_seq, {choose('o_custkey', ('Voto', 'Relatório', 'Voto Vogal', 'Outro'))} AS doc_type, 'https://votos.example/' || cast(o_orderkey as string) || '.pdf' AS url, sha1('https://votos.example/' || cast(o_orderkey as string) || '.pdf') AS url_sha1, o_orderpriority AS text FROM {{orders}}"
 _PDFS = "SELECT sha1('https://portal.example/' || cast(p_partkey as string) || '.pdf') AS sha1, p_name AS text, CAST(p_partkey % 3000 AS INT) AS n_chars FROM {part} WHERE p_partkey % 3 <> 0"
 _BYTES = "SELECT sha1('https://portal.example/' || cast(p_partkey as string) || '.pdf') AS sha1 FROM {part} WHERE p_partkey % 2 = 0"
 _TXT = "SELECT sha1('https://votos.example/' || cast(o_orderkey as string) || '.pdf') AS sha1 FROM {orders} WHERE o_orderkey % 4 <> 0"
-_SUB = """, s AS (SELECT a.classe, a.processo_id, a.seq, a.link_tipo AS doc_type, a.link_url AS url, a.link_url_sha1 AS sha1, 'andamento' AS source, CASE WHEN a.link_tipo = 'DESPACHO' THEN 'B' ELSE 'A' END AS tier, p.text, p.n_chars FROM andamentos a LEFT JOIN pdfs p ON a.link_url_sha1 = p.sha1
- WHERE a.link_url IS NOT NULL AND (a.link_tipo IN ('DECISÃO MONOCRÁTICA', 'INTEIRO TEOR DO ACÓRDÃO') OR a.link_tipo = 'MANIFESTAÇÃO DA PGR' AND coalesce(p.n_chars > 1000, true) OR a.link_tipo = 'DESPACHO' AND coalesce(p.n_chars > 1500, true))
- UNION ALL SELECT classe, processo_id, doc_seq, doc_type, url, url_sha1, 'sessao_virtual', 'A', text, length(text) FROM documentos WHERE url IS NOT NULL AND doc_type IN ('Voto', 'Relatório', 'Voto Vogal', 'Voto Vista'))"""
+_SUB = """, s AS (SELECT e.classe, e.processo_id, e.seq, e.link_tipo doc_type, e.link_url url, e.link_url_sha1 sha1, 'andamento' source, if(e.link_tipo = 'DESPACHO', 'B', 'A') tier, t.text, t.n_chars FROM andamentos e LEFT JOIN pdfs t ON t.sha1 = e.link_url_sha1
+ WHERE e.link_url IS NOT NULL AND (e.link_tipo IN ('INTEIRO TEOR DO ACÓRDÃO', 'DECISÃO MONOCRÁTICA') OR e.link_tipo = 'MANIFESTAÇÃO DA PGR' AND coalesce(t.n_chars > 1000, true) OR e.link_tipo = 'DESPACHO' AND coalesce(t.n_chars > 1500, true))
+ UNION ALL SELECT classe, processo_id, doc_seq, doc_type, url, url_sha1, 'sessao_virtual', 'A', text, length(text) FROM documentos WHERE url IS NOT NULL AND doc_type IN ('Relatório', 'Voto Vista', 'Voto Vogal', 'Voto'))"""
 _WH = {"andamentos": _ANDAMENTOS, "documentos": _DOCS, "pdfs": _PDFS}
 
 
@@ -495,7 +495,7 @@ def _(d):
     return d.groupBy("host").agg(stats.percentile_floor(x, 0.9).alias("p90"), stats.percentile_low(x, 0.1).alias("p10"), F.expr("percentile(elapsed_ms, 0.5)").alias("median"))
 
 
-# sequences --------------------------------------------------------------------------------------------------------------
+# sequences
 
 _W = "OVER (PARTITION BY pool ORDER BY id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"
 _REGIMES = f"""SELECT id, pool, ts, status, wall_s, CASE WHEN n < 20 THEN 0 ELSE round(fr, 6) END AS fail_rate, CASE WHEN n < 50 THEN 0 ELSE walls[48] END AS p95_wall_s FROM (SELECT *, count(*) {_W} AS n, avg(CASE WHEN coalesce(status <> 'ok', true) AND (coalesce(wall_s > 15, false) OR coalesce(http_status IN (403, 429) OR http_status BETWEEN 500 AND 599, false) OR coalesce(retries > 0, false)) THEN 1.0 ELSE 0.0 END) {_W} AS fr, list_sort(list(wall_s) {_W}) AS walls FROM {{in}})"""
@@ -569,7 +569,7 @@ def _(orders, anchors):
     return sequences.interpolate(orders, anchors, "o_orderkey", "id", "day", "day")
 
 
-# changes ---------------------------------------------------------------------------------------------------------------
+# changes
 
 _OLD = f"SELECT classe, processo_id, relator, outcome_verdict, priority FROM ({CASES}) x WHERE processo_id % 9 <> 0"
 _NEW = f"SELECT classe, processo_id, CASE WHEN processo_id % 5 = 0 THEN 'MIN. DELTA' ELSE relator END AS relator, CASE WHEN processo_id % 7 = 0 THEN NULL ELSE outcome_verdict END AS outcome_verdict, priority FROM ({CASES}) x"
@@ -612,7 +612,7 @@ def _(names, gold):
     return changes.match_gold(names, gold)
 
 
-# sinks and shards -------------------------------------------------------------------------------------------------------
+# sinks and shards
 
 
 @query("sk7_shard_interleave", "SELECT o_orderkey FROM {orders}", "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS INT) AS shard FROM {in}")
@@ -630,7 +630,7 @@ def _(d):
     return logs.exportable(d.select("processo_id", "seq", F.array(F.coalesce("link_tipo", F.lit("-")), F.lit("x")).alias("items")))
 
 
-# case files: built from the tables as JSON, then read back by the tolerant readers -------------------------------------
+# case files: built from the tables as JSON, then read back by the tolerant readers
 
 
 def _case_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

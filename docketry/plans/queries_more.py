@@ -14,7 +14,7 @@ from docketry.sources import cases as case_files
 from docketry.sources import logs, portal
 from docketry.streaming import pipeline
 
-# plain relational -------------------------------------------------------------------------------------------------------
+# plain relational
 
 
 @query("fl1_scope", CASES, "SELECT classe, processo_id FROM {in} WHERE classe IN ('HC', 'RE') AND processo_id BETWEEN 100 AND 900")
@@ -105,7 +105,7 @@ def _(d):
     return d.where("url IS NOT NULL").withColumn("k", F.row_number().over(w)).where("k <= 3").select("url", "id", "status")
 
 
-# lists and sheets -----------------------------------------------------------------------------------------------------------
+# lists and sheets
 
 
 @query("sc10_candidates", f"SELECT {choose('o_orderkey', ('x', '7', '12', None, '99'))} AS n_observations, cast(o_orderkey as string) AS processo_id FROM {{orders}}", "SELECT 'HC' AS classe, processo_id::INT AS processo_id, n_observations::INT AS n_observations, n_observations::INT >= 10 AS confirmed FROM {in} WHERE n_observations NOT IN ('x') AND n_observations IS NOT NULL")
@@ -125,7 +125,7 @@ def _(d):
     return logs.list_lines(d)
 
 
-@query("sc26_captured", "SELECT 'judex-mini_HC_' || cast(o_orderkey * 10 as string) || '-' || cast(o_orderkey * 10 + o_custkey % 15 - 3 as string) || '.json' AS name, o_orderkey * 10 AS lo, o_orderkey * 10 + o_custkey % 15 - 3 AS hi FROM {orders}", "SELECT DISTINCT unnest(range(lo, hi + 1))::INT AS processo_id FROM {in} WHERE lo <= hi")
+@query("sc26_captured", "SELECT 'case-mini_HC_' || cast(o_orderkey * 10 as string) || '-' || cast(o_orderkey * 10 + o_custkey % 15 - 3 as string) || '.json' AS name, o_orderkey * 10 AS lo, o_orderkey * 10 + o_custkey % 15 - 3 AS hi FROM {orders}", "SELECT DISTINCT unnest(range(lo, hi + 1))::INT AS processo_id FROM {in} WHERE lo <= hi")
 def _(d):
     return logs.captured(d.select("name"))
 
@@ -170,7 +170,7 @@ def _(d):
     return pipeline.latest(d).drop("error")
 
 
-# nested case data: written as JSON, read back -------------------------------------------------------------------------------------
+# nested case data: written as JSON, read back
 
 
 def _as_cases(rows: DataFrame, **fields) -> DataFrame:
@@ -243,7 +243,7 @@ def _(d):
     return logs.meta_observations(logs.state_cases(_state_files(d))).select("run_dir", "processo_id", "status", "ts")
 
 
-# portal pages ------------------------------------------------------------------------------------------------------------------
+# portal pages
 
 
 def _pages(name: str, sql: str, kind: str, oracle: str, pick) -> None:
@@ -261,8 +261,8 @@ _pages("pj21_events", f"SELECT o_orderkey AS id, '<div class=\"andamento-item\">
        lambda d: d.select("id", F.explode("fields").alias("e")).select("id", F.col("e.index").alias("idx"), "e.data", "e.nome", "e.link.tipo", "e.link.url"))
 _pages("pj22_gazette_listing", f"SELECT o_orderkey AS id, '<strong>DJ Nr. ' || cast(o_custkey as string) || ' do dia ' || {DATE_BR.format('o_orderdate')} || '</strong><strong>Sec</strong><a onclick=\"abreDetalheDiarioProcesso(1, ''01/01/2020'', ' || cast(o_orderkey as string) || ', 2, 3, 4)\">T</a>' AS html, o_custkey, o_orderdate FROM {{orders}}".replace("''01/01/2020''", "' || chr(39) || '01/01/2020' || chr(39) || '"), "gazette_listing",
        "SELECT id, o_custkey::INT AS numero, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS data, 'Sec' AS secao, '' AS subsecao, id::INT AS incidente_linked FROM {in}", lambda d: d.select("id", F.explode("fields").alias("e")).select("id", "e.numero", "e.data", "e.secao", "e.subsecao", "e.incidente_linked"))
-_pages("pj23_gazette_detail", "SELECT o_orderkey AS id, '<dl><dt>Classe:</dt><dd>HC</dd><dt>Partes:</dt><dd><ul><li>' || o_orderpriority || '</li></ul></dd></dl><div id=\"andamentos\"><p>EMENTA: ' || o_orderstatus || '</p><p class=\"text-right\"><a href=\"u' || cast(o_custkey as string) || '\">RTF</a></p></div>' AS html, o_custkey, o_orderstatus, o_orderpriority FROM {orders}", "gazette_detail",
-       "SELECT id, 'HC' AS classe, o_orderpriority AS parte, 'ementa' AS kind, 'EMENTA: ' || o_orderstatus AS texto, 'u' || o_custkey AS rtf_url FROM {in}", lambda d: d.select("id", "fields.classe", F.col("fields.partes")[0].alias("parte"), F.explode("fields.decisoes").alias("x")).select("id", "classe", "parte", "x.kind", "x.texto", "x.rtf_url"))
+_pages("pj23_gazette_detail", "SELECT o_orderkey AS id, '<dl><dt>Partes:</dt><dd><ul><li>' || o_orderpriority || '</li></ul></dd><dt> Classe:</dt><dd>' || o_orderstatus || '</dd></dl> <div id=\"andamentos\"><p>EMENTA: ' || o_orderstatus || '</p><p class=\"text-right\"><a href=\"u' || cast(o_custkey as string) || '\">RTF</a></p></div>' AS html, o_custkey, o_orderstatus, o_orderpriority FROM {orders}", "gazette_detail",
+       "SELECT id, o_orderstatus AS classe, o_orderpriority AS parte, 'ementa' AS kind, 'EMENTA: ' || o_orderstatus AS texto, 'u' || o_custkey AS rtf_url FROM {in}", lambda d: d.select("id", "fields.classe", F.col("fields.partes")[0].alias("parte"), F.explode("fields.decisoes").alias("x")).select("id", "classe", "parte", "x.kind", "x.texto", "x.rtf_url"))
 
 
 def _sittings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docketry.functions import legal
 from docketry.functions import text as tx
 
-FILE_PATTERN = "judex-mini_*.json"
+FILE_PATTERN = "*-mini_*.json"
 _S = "string"
 _EVENT = "struct<`index`:string,index_num:string,id:string,data:string,data_iso:string,nome:string,complemento:string,julgador:string,link:string,link_descricao:string>"
 _DOC = "struct<tipo:string,url:string,text:string,extractor:string>"
@@ -242,7 +242,7 @@ def targets(parsed: DataFrame, classe: str | None = None, impte: Iterable[str] =
     return every.groupBy("url").agg(first).select("url", "f.classe", "f.processo_id", "f.doc_type", "f.surface")
 
 
-# migration to version 8 ----------------------------------------------------------------------------------------------
+# migration to version 8
 
 
 def _index(e: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docketry.functions import text as tx
 
 LOG_SCHEMA = "kind string, classe string, processo int, url string, status string, error string, doc_type string, extractor string, chars int, ts string"
+STATE_FILES = ("pdfs.state.json", "executar.state.json")
 _ENTRY = "struct<status:string,ts:string,error:string,retry_count:int,n_pecas:int,doc_type:string,extractor:string,chars:int>"
 _CASE = f"struct<fetch_meta:{_ENTRY},fetch_bytes:map<string,string>,extract_text:map<string,string>>"
 
@@ -24,7 +25,7 @@ def state_cases(files: DataFrame) -> DataFrame:
     return rows.select("run_dir", F.substring_index("key", "-", 1).alias("classe"), pid.alias("processo_id"), F.from_json("value", _CASE).alias("r")).where("processo_id IS NOT NULL")
 
 
-def read_states(spark: SparkSession, root: str, names: Iterable[str] = ("executar.state.json", "pdfs.state.json")) -> DataFrame:
+def read_states(spark: SparkSession, root: str, names: Iterable[str] = STATE_FILES) -> DataFrame:
     pattern = "{" + ",".join(names) + "}"
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
@@ -132,7 +133,7 @@ def captured(names: DataFrame) -> DataFrame:
     return names.select(lo.alias("lo"), hi.alias("hi")).where("lo <= hi").select(F.explode(F.sequence("lo", "hi")).alias("processo_id")).distinct()
 
 
-# sinks ---------------------------------------------------------------------------------------------------------------
+# sinks
 
 
 def publish(tables: dict[str, DataFrame], root: str) -> str:

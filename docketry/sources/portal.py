@@ -92,7 +92,8 @@ def _flat(s: str | None) -> str:
     return " ".join((s or "").split())
 
 
-_BR = re.compile(r"\b(\d{2})/(\d{2})/(\d{4})\b(?:(?:[ T]|,?\s+às\s+)(\d{2}):(\d{2})(?::(\d{2}))?)?")
+_TWO = r"(\d\d)"
+_BR = re.compile(rf"\b{_TWO}/{_TWO}/({_TWO[1:-1]}{_TWO[1:-1]})\b(?:(?: |T|,?\s+às\s+){_TWO}:{_TWO}(?::{_TWO})?)?")
 
 
 def _iso(s: str | None, time: bool = False) -> str | None:
@@ -105,11 +106,11 @@ def _iso(s: str | None, time: bool = False) -> str | None:
     return f"{day}T{m[4]}:{m[5]}:{m[6] or '00'}" if int(m[4]) < 24 and int(m[5]) < 60 and int(m[6] or 0) < 60 else None
 
 
-# single fields ---------------------------------------------------------------------------------------------------------
+# single fields
 
 
 def _datum(root: Node, label: str) -> str | None:
-    return next((t.split(":", 1)[1].strip() for n in root.all("processo-dados") if (t := n.text(" ")).startswith(label)), None)
+    return next((t.removeprefix(label).strip() for n in root.all("processo-dados") if (t := n.text(" ")).startswith(label)), None)
 
 
 def detail_fields(page: str | None) -> dict:
@@ -121,14 +122,14 @@ def detail_fields(page: str | None) -> dict:
     relator = _flat(_datum(root, "Relator(a):"))
     tag = root.first("processo-rotulo")
     unique = (tag.text(" ").partition("Número Único:")[2].strip() or None) if tag else None
-    up = [b.upper() for b in badges]
+    up = " ".join(badges).upper()
     return {
         "incidente": int(value) if value.isdigit() else None,
         "badges": [t for b in root.all("badge") if b.has("bg-danger") and (t := b.text(" "))],
         "classe": _datum(root, "Classe:"),
         "relator": relator.removeprefix("MIN. ") or None,
         "meio": next(("FISICO" if "Físico" in b else "ELETRONICO" for b in badges if "Físico" in b or "Eletrônico" in b), None),
-        "publicidade": "SIGILOSO" if any("SIGILOSO" in b for b in up) else "PUBLICO" if any("PÚBLICO" in b or "PUBLICO" in b for b in up) else None,
+        "publicidade": "SIGILOSO" if "SIGILOSO" in up else "PUBLICO" if re.search("P[UÚ]BLICO", up) else None,
         "numero_unico": None if unique and unique.lower().startswith("sem número único") else unique,
     }
 
@@ -168,7 +169,7 @@ def info_fields(page: str | None) -> dict:
     }
 
 
-# tables: rows come newest first, and count down -------------------------------------------------------------------------------
+# tables: rows come newest first, and count down
 
 
 def parties(page: str | None) -> list[dict]:
@@ -179,18 +180,24 @@ def parties(page: str | None) -> list[dict]:
     return [{"index": i, "tipo": t, "nome": n} for i, (t, n) in enumerate(((t, n) for t, n in pairs if t and n), 1)]
 
 
-_GUIA = re.compile(r",\s*GUIA\s*N[ºOo0]?[^,]*$", re.IGNORECASE)
+PORTAL = "https://portal.stf.jus.br"
+_GUIA = re.compile(r", *GUIA *N[^,]*$", re.IGNORECASE)
 
 
-def events(page: str | None, base: str = "https://portal.stf.jus.br") -> list[dict]:
+def _address(href: str, base: str) -> str | None:
+    if not href or href.startswith("http"):
+        return href or None
+    return "/".join((base, "processos", href.replace("amp;", "")))
+
+
+def events(page: str | None, base: str = PORTAL) -> list[dict]:
     """Docket events; hearings have the same form without links."""
     items = tree(page).all("andamento-item")
     out = []
     for i, item in enumerate(items):
         get = lambda css, item=item: item.first(css)
         day, name, more, judge, link = get("andamento-data"), get("andamento-nome"), get("col-md-9"), get("andamento-julgador"), next(iter(item.named("a")), None)
-        href = (link.attributes.get("href") or "") if link else ""
-        url = (href if href.startswith("http") else f"{base}/processos/{href.replace('amp;', '')}") if href else None
+        url = _address(link.attributes.get("href") or "", base) if link else None
         kind = (_flat("".join(link.texts())).upper() or None) if link else None
         out.append(
             {
@@ -206,7 +213,7 @@ def events(page: str | None, base: str = "https://portal.stf.jus.br") -> list[di
 
 
 def _strip_actor(s: str, prefix: str) -> str | None:
-    return re.sub(r" em \d{2}/\d{2}/\d{4}$", "", re.sub(f"^{prefix} ", "", s)).strip() or None
+    return re.sub(r" em [\d/]{10}$", "", s.removeprefix(f"{prefix} ")).strip() or None
 
 
 def _rows(page: str | None) -> Iterator[tuple[int, Node]]:
@@ -254,22 +261,27 @@ def appeals(page: str | None) -> list[dict]:
     return [{"index": i, "tipo": _only(row, "processo-detalhes-bold")} for i, row in _rows(page)]
 
 
-# gazette -------------------------------------------------------------------------------------------------------------------
+# gazette
 
-_ISSUE = re.compile(r"^\s*DJ(?:\s+Nr\.\s*(\d+))?\s+do dia\s+(\d{2}/\d{2}/\d{4})\s*$")
-_CALL = re.compile(r"abreDetalheDiarioProcesso\(\s*(\d+)\s*,\s*'([\d/]{10})'\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*\)")
-_ELSEWHERE = "https://digital.stf.jus.br/publico/publicacoes"
-_DETAIL = "https://portal.stf.jus.br/servicos/dje/verDiarioProcesso.asp"
+_ISSUE = re.compile(r"\s*DJ(?: +Nr\. *(\d+))? +do dia +([\d/]{10})\s*")
+_CALL = re.compile(r"abreDetalheDiarioProcesso\(([^)]*)\)")
+_NEW_SITE = "https://digital.stf.jus.br"
+_ELSEWHERE = f"{_NEW_SITE}/publico/publicacoes"
+_DETAIL = f"{PORTAL}/servicos/dje/verDiarioProcesso.asp"
 _ARGUMENTS = ("numDj", "dataPublicacaoDj", "incidente", "codCapitulo", "numMateria", "codMateria")
 
 
+def _entry(section: str = "", subsection: str = "", title: str = "", detail: str | None = None, linked: int | None = None, elsewhere: str | None = None) -> dict:
+    return dict(secao=section, subsecao=subsection, titulo=title, detail_url=detail, incidente_linked=linked, external_redirect=elsewhere)
+
+
 def gazette_listing(page: str | None) -> list[dict]:
     """Entries under their issue's heading, with the section and subsection above them; links that lead to the new site
     give one entry an issue."""
     out, issue, titles, sent = [], None, [], False
     for n in tree(page).named("strong", "a"):
         if n.name == "strong":
-            if m := _ISSUE.match(n.text()):
+            if m := _ISSUE.fullmatch(n.text()):
                 issue, titles, sent = m, [], False
             else:
                 titles.append(n.text())
@@ -277,29 +289,34 @@ def gazette_listing(page: str | None) -> list[dict]:
         if issue is None:
             continue
         entry = {"numero": int(issue[1]) if issue[1] else None, "data": _iso(issue[2])}
-        if m := _CALL.search(n.attributes.get("onclick") or ""):
-            query = "&".join(f"{k}={v}" for k, v in zip(_ARGUMENTS, m.groups(), strict=True))
-            out.append(entry | {"secao": (titles + [""])[0], "subsecao": (titles + ["", ""])[1], "titulo": n.text(), "detail_url": f"{_DETAIL}?{query}", "incidente_linked": int(m[3]), "external_redirect": None})
+        call = _CALL.search(n.attributes.get("onclick") or "")
+        values = [a.strip(" '") for a in call[1].split(",")] if call else []
+        if len(values) == len(_ARGUMENTS) and values[2].isdigit():
+            query = "&".join(map("=".join, zip(_ARGUMENTS, values, strict=True)))
+            first, second = (*titles, "", "")[:2]
+            out.append(entry | _entry(first, second, n.text(), f"{_DETAIL}?{query}", int(values[2])))
         elif (href := n.attributes.get("href") or "").startswith(_ELSEWHERE) and not sent:
-            out.append(entry | {"secao": "", "subsecao": "", "titulo": "", "detail_url": None, "incidente_linked": None, "external_redirect": href})
+            out.append(entry | _entry(elsewhere=href))
             sent = True
     return out
 
 
-_LABELS = {"Classe:": "classe", "Procedência:": "procedencia", "Relator:": "relator", "Partes:": "partes", "Matéria:": "materia"}
+_SCALARS, _LISTS = ("relator", "procedencia", "classe"), ("materia", "partes")
+_PLAIN = str.maketrans("éêá", "eea", ":")
 
 
 def gazette_detail(page: str | None) -> dict:
     """classe, procedencia, relator, partes, materia, and decisions: each text with the download that follows it."""
     root = tree(page)
-    out: dict = {"classe": None, "procedencia": None, "relator": None, "partes": [], "materia": [], "decisoes": []}
+    out: dict = dict.fromkeys(_SCALARS) | {k: [] for k in (*_LISTS, "decisoes")}
     dl = next(iter(root.named("dl")), None)
     cells = [c for c in dl.children if isinstance(c, Node) and c.name in ("dt", "dd")] if dl else []
     for a, b in zip(cells, cells[1:], strict=False):
-        if (a.name, b.name) == ("dt", "dd") and (field := _LABELS.get(a.text())):
+        field = a.text().lower().translate(_PLAIN)
+        if (a.name, b.name) == ("dt", "dd") and field in (*_SCALARS, *_LISTS):
             items = [li.text(" ") for li in b.named("li")]
             whole = b.text(" ") or None
-            out[field] = (items or ([whole] if whole else [])) if field in ("partes", "materia") else "; ".join(items) if items else whole
+            out[field] = (items or ([whole] if whole else [])) if field in _LISTS else "; ".join(items) if items else whole
     waiting = None
     for p in (root.by_id("andamentos") or root).named("p"):
         link = next((a for a in p.named("a") if a.attributes.get("href")), None)
@@ -312,7 +329,7 @@ def gazette_detail(page: str | None) -> dict:
     return out
 
 
-# as functions over columns ----------------------------------------------------------------------------------------------
+# as functions over columns
 
 _S, _I = T.StringType(), T.IntegerType()
 
@@ -359,7 +376,7 @@ def with_details(listing: DataFrame, details: DataFrame) -> DataFrame:
     return listing.join(details, "detail_url", "left")
 
 
-# sessions and themes: JSON ------------------------------------------------------------------------------------------------
+# sessions and themes: JSON
 
 _NAME = "struct<descricao:string>"
 _TEXT = "struct<link:string,descricao:string>"

@@ -52,7 +52,7 @@ def regimes(rows: DataFrame, window: int = 50, warm: int = 20, slow: float = 15.
                 continue
             rate = sum(bad) / n
             p95 = sorted(walls)[int(0.95 * n)] if n == window else 0.0
-            label = next((name for name, r, p in BANDS if rate > r or p95 > p), "healthy" if rate > 0.05 else "under_utilising")
+            label = next((name for name, (p, r) in BANDS.items() if rate > r or p95 > p), "healthy" if rate > 0.05 else "under_utilising")
             out.append((key[0], ts, status, wall, rate, p95, label))
         state.update((walls, bad))
         yield pd.DataFrame(out, columns=["pool", "ts", "status", "wall_s", "fail_rate", "p95_wall_s", "regime"])

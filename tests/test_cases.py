@@ -18,22 +18,22 @@ def sha(s):
 
 
 CASE = {
-    "classe": "HC", "processo_id": 1, "incidente": "77", "badges": ["a", 1, None], "data_protocolo": "03/02/2020", "volumes": "x", "outcome": {"verdict": "denegado", "source": "andamentos", "source_index": 3, "date_iso": "2021-01-02"},
-    "_meta": {"schema_version": 8, "status_http": 200, "extraido": "2024-01-02T03:04:05"},
-    "partes": [{"index": 1, "tipo": "IMPTE.(S)", "nome": "Ana Souza"}, {"tipo": "PACTE.(S)", "nome": "Bob"}],
+    **dict(classe="HC", processo_id=1), "incidente": "77", "badges": ["a", 1, None], "data_protocolo": "03/02/2020", "volumes": "x", "outcome": dict(verdict="denegado", source="andamentos", source_index=3, date_iso="2021-01-02"),
+    "_meta": dict(schema_version=8, status_http=200, extraido="2024-01-02T03:04:05"),
+    "partes": [dict(tipo="IMPTE.(S)", nome="Ana Souza", index=1), dict(nome="Bob", tipo="PACTE.(S)")],
     "andamentos": [
-        {"index": 2, "data": "2020-05-06", "nome": "Decisão", "complemento": "Denego a ordem", "link": {"tipo": "DESPACHO", "url": "http://x/1.pdf", "text": "inline"}},
-        {"index": 1, "data": "31/02/2020", "nome": "Outro", "link": "http://x/2.pdf", "link_descricao": "CERTIDÃO"},
-        {"data": "05/06/2020 10:00", "nome": "Sem link", "link": None},
+        dict(data="2020-05-06", nome="Decisão", complemento="Denego a ordem", link=dict(text="inline", url="http://x/1.pdf", tipo="DESPACHO"), index=2),
+        dict(data="31/02/2020", nome="Outro", link_descricao="CERTIDÃO", link="http://x/2.pdf", index=1),
+        dict(data="05/06/2020 10:00", nome="Sem link", link=None),
     ],
     "pautas": [{"data": "2020-01-01", "nome": "P"}, {"data": "01/01/2020", "nome": "Q"}],
     "sessao_virtual": [
         {"documentos": {"Voto": "http://x/3.pdf", "Ementa": "texto da ementa", "Relatório": {"url": "http://x/4.pdf", "text": None}}},
         "junk",
-        {"documentos": [{"tipo": "Voto", "url": "http://x/5.pdf"}, 7, {"tipo": "Voto", "url": None, "text": "t"}]},
+        dict(documentos=[dict(url="http://x/5.pdf", tipo="Voto"), 7, dict(text="t", tipo="Voto", url=None)]),
         {"documentos": 5},
     ],
-    "publicacoes_dje": ["junk", {"numero": "10", "data": "2020-02-02", "classe": "HC", "partes": ["A"], "decisoes": [{"kind": "decisao", "texto": "t", "rtf": {"url": "http://x/servicos/dje/verDecisao.asp?n=1", "tipo": None}}, "no", {"kind": "ementa", "rtf": "bad"}]}],
+    "publicacoes_dje": ["junk", dict(numero="10", data="2020-02-02", classe="HC", partes=["A"], decisoes=[dict(texto="t", rtf=dict(tipo=None, url="http://x/servicos/dje/verDecisao.asp?n=1"), kind="decisao"), "no", dict(rtf="bad", kind="ementa")])],
 }
 OLD = {"classe": "HC", "processo_id": "2", "schema_version": 3, "status": 200, "outcome": "concedido", "data_protocolo": "10/11/2019", "data_protocolo_iso": None, "relator": "MIN. X", "andamentos": [{"index_num": "4", "data": "01/02/2020", "nome": "Concedo a ordem", "link": "http://x/1.pdf"}], "partes": [{"tipo": "AUTOR(A/S)", "nome": "Zé"}]}
 
@@ -43,9 +43,9 @@ def corpus(tmp_path_factory):
     root = tmp_path_factory.mktemp("cases")
     (root / "HC").mkdir()
     (root / "RE").mkdir()
-    (root / "HC/judex-mini_HC_1-1.json").write_text(json.dumps([CASE, {"classe": "HC", "processo_id": 99}]))
-    (root / "HC/judex-mini_HC_2-2.json").write_text(json.dumps(OLD))
-    (root / "RE/judex-mini_RE_50-60.json").write_text(json.dumps({"classe": "RE", "processo_id": 55}))
+    (root / "HC/case-mini_HC_1-1.json").write_text(json.dumps([CASE, {"classe": "HC", "processo_id": 99}]))
+    (root / "HC/case-mini_HC_2-2.json").write_text(json.dumps(OLD))
+    (root / "RE/case-mini_RE_50-60.json").write_text(json.dumps(dict(processo_id=55, classe="RE")))
     (root / "RE/other.json").write_text("{}")
     return str(root)
 
@@ -103,8 +103,8 @@ def test_targets(parsed):
 
 def test_reshape(parsed):
     rows = {r["processo_id"]: r.asDict(True) for r in cases.reshape(parsed, F.lit("NOW")).collect()}
-    assert rows[2]["_meta"] == {"schema_version": 8, "status_http": 200, "extraido": "NOW"} and rows[2]["data_protocolo"] == "2019-11-10"
-    assert rows[2]["outcome"] == {"verdict": "concedido", "source": "andamentos", "source_index": 4, "date_iso": "2020-02-01"}
+    assert rows[2]["_meta"] == dict(extraido="NOW", schema_version=8, status_http=200) and rows[2]["data_protocolo"] == "2019-11-10"
+    assert rows[2]["outcome"] == dict(date_iso="2020-02-01", source="andamentos", source_index=4, verdict="concedido")
     assert rows[2]["andamentos"][0]["link"] == {"tipo": None, "url": "http://x/1.pdf", "text": None, "extractor": None}
     assert rows[2]["primeiro_autor"] == "Zé" and rows[1]["primeiro_autor"] == "Ana Souza"
     assert rows[1]["outcome"]["source_index"] == 3 and rows[55]["outcome"] is None and rows[55]["andamentos"] == []
@@ -115,16 +115,12 @@ def test_reshape(parsed):
 def cache(tmp_path_factory):
     root = tmp_path_factory.mktemp("cache")
     s = sha("http://x/1.pdf")
-    (root / f"{s}.txt.gz").write_bytes(gzip.compress("olá\nmundo".encode()))
-    (root / f"{s}.elements.json.gz").write_bytes(gzip.compress(b"[]"))
-    (root / f"{s}.extractor").write_text(" pypdf \n")
-    (root / f"{s}.dismissed.json").write_text(json.dumps({"dismissed_at": "t", "reason": "r"}))
-    (root / "bad.dismissed.json").write_text("{")
-    (root / f"{s}.pdf.gz").write_bytes(gzip.compress(b"%PDF-1.4 ... %%EOF"))
-    (root / "cut.pdf.gz").write_bytes(gzip.compress(b"%PDF-1.4 ..."))
-    (root / "raw.pdf.gz").write_bytes(b"%PDF")
-    (root / "html.rtf.gz").write_bytes(gzip.compress(b"<html>"))
-    (root / "none.pdf.gz").write_bytes(gzip.compress(b""))
+    zipped = {f"{s}.txt": "olá\nmundo", f"{s}.elements.json": "[]", f"{s}.pdf": "%PDF-1.4 ... %%EOF", "cut.pdf": "%PDF-1.4 ...", "html.rtf": "<html>", "none.pdf": ""}
+    for name, body in zipped.items():
+        (root / f"{name}.gz").write_bytes(gzip.compress(body.encode()))
+    plain = {f"{s}.extractor": " pypdf \n", f"{s}.dismissed.json": json.dumps(dict(reason="r", dismissed_at="t")), "bad.dismissed.json": "{", "raw.pdf.gz": "%PDF"}
+    for name, body in plain.items():
+        (root / name).write_text(body)
     return str(root)
 
 
@@ -143,6 +139,11 @@ def test_caches(spark, cache, tmp_path):
     assert [(r["tab"], r["html"]) for r in caches.html_archives(spark, str(tmp_path)).collect()] == [("detalhe.html", "<b>x</b>")]
 
 
+def put(folder, body):
+    folder.mkdir()
+    (folder / logs.STATE_FILES[1]).write_text(body)
+
+
 @pytest.fixture(scope="module")
 def runs(tmp_path_factory):
     root = tmp_path_factory.mktemp("runs")
@@ -151,10 +152,8 @@ def runs(tmp_path_factory):
         "a": {"cases": {"HC-1": {"fetch_meta": e("ok", "2024-01-01", n_pecas=2), "fetch_bytes": {"http://x/1.pdf": e("http_error", "2024-01-01"), "http://x/9.pdf": "junk"}}, "HC-x": {"fetch_meta": e("ok", "t")}, "HC-7": {"fetch_meta": e("unallocated_pid", "2024-01-01")}}},
         "b": {"cases": {"HC-1": {"fetch_bytes": {"http://x/1.pdf": e("ok", "2024-02-01")}, "extract_text": {"http://x/1.pdf": e("empty", "", extractor="pypdf")}}, "HC-7": {"fetch_meta": e("unallocated_pid", "2024-03-01", error="none")}}},
     }.items():
-        (root / name).mkdir()
-        (root / name / "executar.state.json").write_text(json.dumps(state))
-    (root / "c").mkdir()
-    (root / "c/executar.state.json").write_text('{"cases": ')
+        put(root / name, json.dumps(state))
+    put(root / "c", '{"cases": ')
     return str(root)
 
 
@@ -187,7 +186,8 @@ def test_warehouse(spark, corpus, cache, runs, tmp_path):
 
 def test_logs(spark, tmp_path):
     p = tmp_path / "log.jsonl"
-    p.write_text('{"kind":"fetch_meta","classe":"HC","processo":1,"status":"http_error"}\n\n{"kind":"fetch_meta","classe":"HC","processo":1,"status":"ok"}\n{"kind":"fetch_bytes","classe":"HC","processo":1,"url":"u","status":"ok","doc_type":"D"}\n{"kind":"fetch_bytes","classe":"HC","processo":1,"url":"u","status":"empty"}\n{"half')
+    row = lambda kind, status, **more: json.dumps(dict(status=status, kind=kind, classe="HC", processo=1, **more))
+    p.write_text("\n".join([row("fetch_meta", "http_error"), "", row("fetch_meta", "ok"), row("fetch_bytes", "ok", url="u", doc_type="D"), row("fetch_bytes", "empty", url="u"), '{"half']))
     with pytest.raises(Exception, match="(?i)malformed"):
         logs.read_jsonl(spark, str(p)).collect()
     rows = logs.read_jsonl(spark, str(p), strict=False)
@@ -209,7 +209,7 @@ def test_sheets(spark, tmp_path):
     assert [tuple(r) for r in logs.watch_list(lines).collect()] == [("HC", 12), ("RE", 7)]
     with pytest.raises(Exception, match="not a case"):
         logs.watch_list(spark.createDataFrame([("HC",)], "value string")).collect()
-    names = spark.createDataFrame([("judex-mini_HC_3-5.json",), ("judex-mini_HC_9-8.json",), ("x",)], "name string")
+    names = spark.createDataFrame([("case-mini_HC_3-5.json",), ("case-mini_HC_9-8.json",), ("x",)], "name string")
     assert sorted(r[0] for r in logs.captured(names).collect()) == [3, 4, 5]
     parity = spark.createDataFrame([('["a"]', "[]", "7", "")], "assuntos string, numero_origem string, volumes string, relator string")
     r = logs.parity_columns(parity, ["assuntos", "numero_origem"], ["volumes"]).first()

@@ -34,7 +34,7 @@ def test_priority_of_rules(spark):
     assert one(spark, legal.verdict(F.col("x")), x="conheço em parte e, nesta, denego a ordem, prejudicado o agravo") == "denegado"
     assert one(spark, legal.classify_event(F.col("x"), {"first": "A", "second": "=AB"}), x="ab") == "first"
     r = lambda **k: one(spark, rules.recovery_action(*[F.col(c) for c in ("stage", "status", "error", "http_status", "url")]), **k)
-    assert r(stage="extrair", status="empty", error=None, http_status=404, url="https://digital.stf.jus.br/decisoes-monocraticas/api/public/votos/1/conteudo.pdf") == "drop_terminal"
+    assert r(stage="extrair", status="empty", error=None, http_status=404, url="https://x" + rules.FINAL_404[0] + "1/conteudo.pdf") == "drop_terminal"
     assert r(stage="extrair", status="empty", error=None, http_status=200, url="u") == "switch_provider"
     assert r(stage="baixar", status="http_error", error="SSLEOF", http_status=500, url="u") == "replay"
 
@@ -65,7 +65,7 @@ def test_cancelled_events(spark):
 def test_streaming_equals_batch(spark, tmp_path):
     import json
 
-    rows = [{"kind": "fetch_meta", "classe": "HC", "processo": i % 3, "url": None, "status": "ok" if i % 4 else "http_error", "error": None, "ts": f"2024-01-01T00:{i:02d}:00", "wall_s": float(i % 40), "pool": f"p{i % 2}"} for i in range(60)]
+    rows = [dict(ts=f"2024-01-01T00:{i:02d}:00", kind="fetch_meta", classe="HC", processo=i % 3, url=None, status="ok" if i % 4 else "http_error", error=None, wall_s=float(i % 40), pool=f"p{i % 2}") for i in range(60)]
     for k in range(3):
         (tmp_path / f"{k}.json").write_text("\n".join(map(json.dumps, rows[20 * k : 20 * k + 20])))
     read = lambda: spark.readStream.schema(pipeline.LOG).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path))
