@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 KEY = b"test key"
 
 
-# 1. pseudonyms ---------------------------------------------------------------------------------------------------------
+# 1. pseudonyms
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 100, 1000, 1025])
@@ -59,7 +59,7 @@ def test_pii_table(spark):
     assert pii.pseudonyms(d.limit(0)).count() == 0
 
 
-# 2. languages ------------------------------------------------------------------------------------------------------------
+# 2. languages
 
 
 @pytest.fixture(scope="module")
@@ -126,7 +126,7 @@ def test_keep_identified(spark):
     assert language.keep_identified(d.limit(0)).count() == 0
 
 
-# 4. token counts ----------------------------------------------------------------------------------------------------------
+# 4. token counts
 
 BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -172,7 +172,7 @@ def test_token_table(spark, encoder):
     assert tokens.token_counts(d.limit(0)).count() == 0
 
 
-# 7. chat -------------------------------------------------------------------------------------------------------------------
+# 7. chat
 
 
 def brute_repair(roles, most=3):
@@ -226,7 +226,7 @@ def test_chat_table(spark):
     assert chat.repair(["user", "assistant"] * 500)[0] == 0
 
 
-# 8. licences ------------------------------------------------------------------------------------------------------------------
+# 8. licences
 
 
 def test_matching_statistics():
@@ -268,7 +268,7 @@ def test_licence_table(spark):
     assert licences.licence_spans(d.limit(0)).count() == 0
 
 
-# 10. quality ---------------------------------------------------------------------------------------------------------------------
+# 10. quality
 
 
 def test_quality_edges(spark):
