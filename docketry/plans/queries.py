@@ -124,7 +124,7 @@ def _(d):
     none = F.when(F.col("id") < 0, F.lit(""))
     held = F.array(F.struct(F.col("v").alias("voto_relator"), F.struct(none.alias("data_inicio"), none.alias("data_fim_prevista")).alias("metadata")))
     event = lambda i, c: F.struct(F.lit(i).alias("index"), none.alias("data"), F.lit("Decisão").alias("nome"), F.col(c).alias("complemento"))
-    r = d.select("id", legal.derive_outcome(held, F.array(event(2, "a"), event(1, "b"))).alias("o"))
+    r = d.select("id", legal.derive_outcome(F.slice(held, 1, 1), F.slice(F.array(event(2, "a"), event(1, "b")), 1, 2)).alias("o"))
     return r.select("id", "o.verdict", "o.source", "o.source_index")
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from docketry.functions import legal, rules, stats
 from docketry.functions import text as tx
-from docketry.operators import corpus
+from docketry.operators import corpus, registry
 from docketry.plans.inputs import CASES, DATE_BR, DOCKET, LOG, PARTES, choose, plain, relation
 from docketry.plans.queries import ORACLE, QUERIES, query, query2
+from docketry.sources import caches, logs, portal
 from docketry.sources import cases as case_files
-from docketry.sources import logs, portal
 from docketry.streaming import pipeline
 
 # plain relational
@@ -280,3 +280,45 @@ QUERIES["pj18_sittings"] = _sittings
 ORACLE["pj18_sittings"] = plain(
     "SELECT o_orderkey AS id, o_orderpriority AS relator, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS data_inicio, (o_custkey % 4 = 0)::INT AS diverge_relator, (o_custkey % 4 = 1)::INT AS acompanha_divergencia, (o_custkey % 4 = 2)::INT AS acompanha_relator, 'Voto' AS tipo, 'x' AS voto_relator, 'Agravo' AS julgamento_item_titulo FROM {orders}"
 )
+
+
+# joins with sidecars, counts of documents
+
+
+@query2("sc6_resolve", {"docket": f"SELECT processo_id, seq, link_url, CASE WHEN link_url IS NOT NULL THEN sha1(link_url) END AS link_url_sha1, complemento AS link_text, 'old' AS link_extractor FROM ({DOCKET}) x", "pdfs": "SELECT sha1('https://portal.example/' || cast(p_partkey as string) || '.pdf') AS sha1, p_name AS text FROM {part} WHERE p_partkey % 3 <> 0", "side": "SELECT sha1('https://portal.example/' || cast(p_partkey as string) || '.pdf') AS sha1, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS extractor FROM {part} WHERE p_partkey % 2 = 0"}, """
+SELECT d.processo_id, d.seq, coalesce(p.text, d.link_text) AS link_text, CASE WHEN s.sha1 IS NOT NULL THEN s.extractor ELSE d.link_extractor END AS link_extractor FROM docket d LEFT JOIN pdfs p ON p.sha1 = d.link_url_sha1 LEFT JOIN side s ON s.sha1 = d.link_url_sha1""")
+def _(docket, pdfs, side):
+    return caches.resolve(docket, pdfs, side, "link_", "link_url_sha1").select("processo_id", "seq", "link_text", "link_extractor")
+
+
+@query2("jn17_document_types", {"a": f"SELECT link_url, link_tipo FROM ({DOCKET}) x", "b": f"SELECT 'https://portal.example/' || cast(p_partkey as string) || '.pdf' AS url, {choose('p_partkey', ('Voto', None, 'Ementa'))} AS doc_type FROM {{part}}"}, """
+SELECT url, arg_min(t, (p, t)) AS doc_type FROM (SELECT link_url AS url, link_tipo AS t, 1 AS p FROM a WHERE link_url IS NOT NULL UNION ALL SELECT url, doc_type, 2 FROM b) WHERE t IS NOT NULL GROUP BY 1""")
+def _(a, b):
+    return registry.document_types(a, b)
+
+
+@query2("jn18_fill_in", {"meta": f"SELECT processo AS processo_id, status, CASE WHEN id % 3 = 0 THEN id % 9 END AS n_pecas FROM ({LOG}) x WHERE kind = 'fetch_meta'", "side": "SELECT CAST(user_id AS INT) AS processo_id, CAST(max(event_id) % 100 AS INT) AS known FROM {events} GROUP BY 1"}, "SELECT processo_id, status, coalesce(n_pecas, known) AS n_pecas FROM meta LEFT JOIN side USING (processo_id)")
+def _(meta, side):
+    return meta.join(side, "processo_id", "left").select("processo_id", "status", F.coalesce("n_pecas", "known").alias("n_pecas"))
+
+
+@query("pj26_n_pecas", DOCKET, f"SELECT processo_id, count(DISTINCT link_url) AS n_pecas FROM {{in}} WHERE link_url IS NOT NULL AND coalesce(trim(upper(strip_accents(link_tipo))), '') NOT IN ({', '.join(chr(39) + k + chr(39) for k, v in legal.TIER_OF.items() if v == 'C')}) GROUP BY 1")
+def _(d):
+    kept = d.where(F.col("link_url").isNotNull() & legal.keeps(F.col("link_tipo")))
+    return kept.groupBy("processo_id").agg(F.count_distinct("link_url").alias("n_pecas"))
+
+
+@query("sr5_providers", f"SELECT {choose('p_partkey', ('pypdf', 'mistral', 'unknown', 'chandra'))} AS provider, p_size AS pages, p_partkey AS id FROM {{part}}", "SELECT provider, round(min(CASE provider WHEN 'pypdf' THEN 0.0 WHEN 'mistral' THEN 1.0 WHEN 'chandra' THEN 3.0 END::DOUBLE * pages / 1000), 6) AS cheapest FROM {in} GROUP BY 1 ORDER BY cheapest NULLS LAST, provider")
+def _(d):
+    g = d.groupBy("provider").agg(F.round(F.min(stats.ocr_cost(F.col("provider"), F.col("pages"))), 6).alias("cheapest"))
+    return g.orderBy(F.col("cheapest").asc_nulls_last(), "provider")
+
+
+@query("ru7_non_ok", LOG, "SELECT kind, classe, processo, url, status, retries FROM {in} WHERE status NOT IN ('ok', 'skipped_cached')")
+def _(d):
+    return d.where(rules.unified_kind(F.col("kind"), F.col("status")) != "ok").select("kind", "classe", "processo", "url", "status", "retries")
+
+
+@query("so4_outcome_partition", CASES, f"SELECT outcome_verdict, outcome_verdict IN ({', '.join(chr(39) + v + chr(39) for v in legal.FAVOURABLE)}) AS favourable, count(*) AS n FROM {{in}} WHERE outcome_verdict IS NOT NULL GROUP BY 1, 2")
+def _(d):
+    return d.where("outcome_verdict IS NOT NULL").groupBy("outcome_verdict", legal.won(F.col("outcome_verdict")).alias("favourable")).agg(F.count(F.lit(1)).alias("n"))
