@@ -32,6 +32,7 @@ SAMPLE_ROWS, ROUNDS, SMOOTHING, UNKNOWN = 400, 4, 0.02, 1e-6
 #: Longer words are scored in runs of so many letters, so that no product of probabilities underflows.
 LONGEST = 40
 _KNOWN = 300_000
+_WORDS_AT_ONCE = 10_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CHARS_AT_ONCE = 1 << 19
@@ -174,22 +175,27 @@ def train(pieces: Pieces, counts: Sequence[tuple[str, Sequence[float]]], rounds:
     in each language; the last column is the model that knows no language."""
     n = pieces.unknown
     languages = len(counts[0][1])
-    flat, lengths = _marked([w for w, _ in counts])
-    first, steps = lattice = pieces.lattice(flat, lengths)
-    last = first + lengths
-    weight = np.array([c for _, c in counts], float)
+    parts = []
+    for i in range(0, len(counts), _WORDS_AT_ONCE):
+        some = counts[i : i + _WORDS_AT_ONCE]
+        flat, lengths = _marked([w for w, _ in some])
+        first, steps = pieces.lattice(flat, lengths)
+        small = [tuple(x.astype(np.int32) for x in step) for step in steps]
+        parts.append(((first, small), lengths, np.array([c for _, c in some], float)))
     p = np.full((n + 1, languages), 1 / n)
     p[n] = UNKNOWN
     for _ in range(rounds):
-        alpha = forward(lattice, lengths, p)
-        beta = np.zeros_like(alpha)
-        beta[last] = weight / alpha[last]
         seen = np.zeros_like(p)
-        for a, b, piece in reversed(steps):
-            arc = beta[b] * p[piece]
-            for j in range(languages):
-                seen[:, j] += np.bincount(piece, alpha[a, j] * arc[:, j], n + 1)
-                beta[:, j] += np.bincount(a, arc[:, j], len(beta))
+        for lattice, lengths, weight in parts:
+            alpha = forward(lattice, lengths, p)
+            beta = np.zeros_like(alpha)
+            last = lattice[0] + lengths
+            beta[last] = weight / alpha[last]
+            for a, b, piece in reversed(lattice[1]):
+                arc = beta[b] * p[piece]
+                for j in range(languages):
+                    seen[:, j] += np.bincount(piece, alpha[a, j] * arc[:, j], n + 1)
+                    beta[:, j] += np.bincount(a, arc[:, j], len(beta))
         seen[n] = 0
         p = (1 - smoothing) * seen / np.maximum(seen.sum(axis=0), 1e-300) + smoothing / n
         p[n] = UNKNOWN
