@@ -2,7 +2,8 @@
 
 All templates are put into one suffix automaton over their tokens. A document's tokens are streamed through it, which
 gives the matching statistics: at each token the length of the longest run ending there that occurs in any template,
-and where in which templates. Runs of ``min_run`` tokens or more that can't be prolonged are chained, for each
+and where in which templates; the states up its suffix links have the shorter runs that other places of templates match.
+Runs of ``min_run`` tokens or more, each as long as its own place in its own template allows, are chained, for each
 template, into spans with rising template places; a span is reported if it covers enough of its template.
 
 Scale: one narrow stage over Arrow batches. The automaton has fewer states than twice the templates' tokens, whatever
@@ -40,12 +41,15 @@ class Automaton:
         self.names = list(templates)
         self.words: dict[str, int] = {}
         self.sizes: list[int] = []
+        self.ids: list[list[int]] = []
+        self._places: dict[tuple[int, int], tuple[list, list]] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         ends: list[set[tuple[int, int]]] = [set()]
         for t, text in enumerate(templates.values()):
             last, ids = 0, [self.words.setdefault(w, len(self.words) + 1) for w in tokens(text)]
             self.sizes.append(len(ids))
+            self.ids.append(ids)
             for place, c in enumerate(ids):
                 last = self._extend(last, c, ends)
                 ends[last].add((t, place))
@@ -95,6 +99,20 @@ class Automaton:
                 v, n = self.next[v][c], n + 1
             yield n, v
 
+    def places(self, v: int, min_run: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+        """(template, place, token that follows) of the state's own strings, and (template, place, token that follows,
+        length) of the places that only its suffixes of ``min_run`` tokens or more have; -1 follows a template's end."""
+        got = self._places.get((v, min_run))
+        if got is None:
+            follows = lambda t, place: self.ids[t][place + 1] if place + 1 < self.sizes[t] else -1
+            seen, short, u = set(self.ends[v]), [], self.link[v]
+            while u > 0 and self.length[u] >= min_run:
+                short += [(t, place, follows(t, place), self.length[u]) for t, place in self.ends[u] if (t, place) not in seen]
+                seen.update(self.ends[u])
+                u = self.link[u]
+            got = self._places[v, min_run] = ([(t, place, follows(t, place)) for t, place in self.ends[v]], short)
+        return got
+
 
 class Span(NamedTuple):
     """Tokens start to end (exclusive) of a document, the runs' tokens in it and their share of the template."""
@@ -106,50 +124,87 @@ class Span(NamedTuple):
     cover: float
 
 
-def _runs(a: Automaton, ids: np.ndarray, min_run: int) -> Iterator[tuple[int, int, int]]:
-    """(end, length, state) of runs that can't be prolonged; only stretches of known tokens are streamed."""
+class Run(NamedTuple):
+    """``length`` tokens up to ``end`` (exclusive) of a document that are those up to ``last`` (exclusive) of a template."""
+
+    end: int
+    last: int
+    length: int
+
+
+def _runs(a: Automaton, ids: np.ndarray, min_run: int) -> Iterator[tuple[int, Run]]:
+    """(template, run) for each place of each template, where document and template can't be followed further, by end;
+    only stretches of known tokens are streamed."""
     known = np.flatnonzero(np.diff(np.concatenate([[0], ids != 0, [0]])))
     for lo, hi in zip(known[::2].tolist(), known[1::2].tolist(), strict=True):
         if hi - lo < min_run:
             continue
-        before = (0, 0)
-        for i, now in enumerate(a.statistics(ids[lo:hi].tolist())):
-            if before[0] >= min_run and now[0] <= before[0]:
-                yield lo + i, *before
-            before = now
-        if before[0] >= min_run:
-            yield hi, *before
+        some = ids[lo:hi].tolist()
+        for i, (n, v) in enumerate(a.statistics(some), 1):
+            if n < min_run:
+                continue
+            then = some[i] if i < len(some) else 0
+            own, short = a.places(v, min_run)
+            for t, place, follows in own:
+                if follows != then:
+                    yield t, Run(lo + i, place + 1, n)
+            for t, place, follows, length in short:
+                if follows != then:
+                    yield t, Run(lo + i, place + 1, length)
+
+
+def _chains(runs: list[Run], max_gap: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, matched) of one template's chains: each run after the chain that gives it most tokens, or alone if
+    none gives more; a run belongs to the chain of most tokens that it is in."""
+    score: list[int] = []
+    back: list[int] = []
+    for i, (end, last, n) in enumerate(runs):
+        best, before, j = n, -1, i - 1
+        while j >= 0 and runs[j].end >= end - n - max_gap:
+            # overlapping runs count their new tokens only
+            new = min(n, end - runs[j].end, last - runs[j].last)
+            if new > 0 and last - n - runs[j].last <= max_gap and score[j] + new > best:
+                best, before = score[j] + new, j
+            j -= 1
+        score.append(best)
+        back.append(before)
+    used = [False] * len(runs)
+    for i in sorted(range(len(runs)), key=score.__getitem__, reverse=True):
+        if used[i]:
+            continue
+        used[i], first = True, i
+        while back[first] >= 0 and not used[back[first]]:
+            first = back[first]
+            used[first] = True
+        yield runs[first].end - runs[first].length, runs[i].end, score[i] - score[first] + runs[first].length
 
 
 def spans(a: Automaton, text: str | None, min_run: int = MIN_RUN, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER) -> list[Span]:
     """Covered spans of each template, by start, then template. Null and empty texts have none.
 
-    A run joins the chain of its template whose last run ends at most ``max_gap`` tokens before it in the document and
-    in the template, the one with most tokens matched; a chain is closed when it covers its template or the runs end.
-    Where templates share a run each has its chain; of spans of one place only those that no other span of more tokens
-    contains are returned.
+    A run joins a chain of its template whose last run ends at most ``max_gap`` tokens before it in the document and
+    in the template, the one with which most tokens are matched.
+    Where templates share a run each has its chain, a template within a longer one too; of spans of one place only those
+    that no other span of more tokens contains are returned.
     """
     if not text:
         return []
     get = a.words.get
     ids = np.fromiter((get(w, 0) for w in tokens(text)), np.int64)
-    chains: dict[int, list[list[int]]] = {}
-    for end, n, state in _runs(a, ids, min_run):
-        for t, place in a.ends[state]:
-            last = place + 1
-            best = None
-            for c in chains.setdefault(t, []):
-                # c: start, end, template end, matched; overlapping runs count their new tokens only
-                if c[1] <= end and c[2] <= last and end - n - c[1] <= max_gap and last - n - c[2] <= max_gap and min(end - c[1], last - c[2]) > 0 and (best is None or c[3] > best[3]):
-                    best = c
-            if best is None:
-                chains[t].append([end - n, end, last, n])
-            else:
-                best[3] += min(n, end - best[1], last - best[2])
-                best[1], best[2] = end, last
-    found = [Span(a.names[t], c[0], c[1], c[3], round(c[3] / a.sizes[t], 6)) for t, all_of in chains.items() for c in all_of if c[3] >= min_cover * a.sizes[t]]
+    runs: dict[int, list[Run]] = {}
+    for t, run in _runs(a, ids, min_run):
+        runs.setdefault(t, []).append(run)
+    found = [Span(a.names[t], start, end, n, round(n / a.sizes[t], 6)) for t, all_of in runs.items() for start, end, n in _chains(all_of, max_gap) if n >= min_cover * a.sizes[t]]
+    # a span that contains another and has more comes before it
     found.sort(key=lambda s: (s.start, -s.matched, -s.cover, s.licence))
-    return [s for s in found if not any(o is not s and o.start <= s.start and s.end <= o.end and (o.matched, o.cover, s.licence) > (s.matched, s.cover, o.licence) for o in found)]
+    kept: list[Span] = []
+    reach: list[Span] = []
+    for s in found:
+        reach = [o for o in reach if o.end > s.start]
+        if not any(s.end <= o.end and (o.matched, o.cover, s.licence) > (s.matched, s.cover, o.licence) for o in reach):
+            kept.append(s)
+            reach.append(s)
+    return kept
 
 
 def _scan(a: Automaton, min_run: int, max_gap: int, min_cover: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -262,6 +262,39 @@ def test_spans():
     assert len(twice) == 2
 
 
+def test_notice_beside_words_of_a_longer_template():
+    a = licences.Automaton(TEMPLATES)
+    names = lambda t: [s.licence for s in licences.spans(a, t)]
+    assert licences.spans(a, "Licensed under the Apache License, Version 2.0. The code is old.") == [("Apache-2.0 notice", 0, 8, 8, 1.0)]
+    assert names('Licensed under the Apache License, Version 2.0 (the "License"); see LICENSE for more.') == ["Apache-2.0 notice"]
+    assert names(TEMPLATES["Apache-2.0"]) == ["Apache-2.0"]
+    own = licences.Automaton({"long": "a b c d e f g h i j k l m n o p q r s t", "inner": "e f g h i"})
+    got = lambda t: [tuple(s) for s in licences.spans(own, t)]
+    assert got("x e f g h i j k x") == [("inner", 1, 6, 5, 1.0)]  # followed
+    assert got("x c d e f g h i x") == [("inner", 3, 8, 5, 1.0)]  # preceded
+    assert got("x c d e f g h i j x") == [("inner", 3, 8, 5, 1.0)]
+    assert [s[0] for s in got("a b c d e f g h i j k l m n o p q r s t")] == ["long"]
+    # a part that the template has twice doesn't take tokens from the run through both
+    assert licences.spans(licences.Automaton({"t": "a b c d x a b c d y"}), "a b c d x a b c d y") == [("t", 0, 10, 10, 1.0)]
+
+
+def test_runs_of_every_place():
+    rng = random.Random(5)
+    for _ in range(40):
+        templates = {str(i): " ".join(rng.choice("abc") for _ in range(rng.randint(3, 14))) for i in range(4)}
+        a = licences.Automaton(templates)
+        whole = [licences.tokens(t) for t in templates.values()]
+        doc = [rng.choice("abcd") for _ in range(25)]
+        want = set()
+        for t, w in enumerate(whole):
+            for i, j in itertools.product(range(len(doc)), range(len(w))):
+                if doc[i] == w[j] and (i == 0 or j == 0 or doc[i - 1] != w[j - 1]):
+                    n = next(k for k in range(1, 26) if i + k == len(doc) or j + k == len(w) or doc[i + k] != w[j + k])
+                    want |= {(t, i + n, j + n, n)} if n >= 2 else set()
+        got = [(t, *run) for t, run in licences._runs(a, np.array([a.words.get(w, 0) for w in doc]), 2)]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_licence_table(spark):
     d = spark.createDataFrame([(1, "Released under the MIT License.", "x"), (1, "Released under the MIT License.", "x"), (2, None, "x"), (3, "", "x")], "doc_id int, text string, licence string")
     assert [(r["doc_id"], r["licence"], r["start_token"], r["end_token"], r["cover"]) for r in licences.licence_spans(d).collect()] == [(1, "MIT notice", 0, 5, 1.0)] * 2
