@@ -39,16 +39,20 @@ def feistel(x: int, n: int, key: bytes, kind: str) -> int:
     while True:
         left, right = divmod(x, b)
         for r in range(0, ROUNDS, 2):
-            left = (left + _round(key, tag, r, right)) % a
-            right = (right + _round(key, tag, r + 1, left)) % b
+            left = (left + _round(key, tag, r, right, a)) % a
+            right = (right + _round(key, tag, r + 1, left, b)) % b
         x = left * b + right
         if x < n:
             return x
 
 
-def _round(key: bytes, tag: bytes, r: int, half: int) -> int:
+def _round(key: bytes, tag: bytes, r: int, half: int, n: int) -> int:
+    """A keyed number that is wider than n, so that it moves every digit of the other half."""
     raw = half.to_bytes(max(1, (half.bit_length() + 7) // 8), "big")
-    return int.from_bytes(hashlib.blake2b(bytes([r]) + tag + b"\0" + raw, key=key, digest_size=max(16, min(64, len(raw) + 16))).digest(), "big")
+    wide = (n.bit_length() + 7) // 8 + 16
+    size = max(16, min(64, len(raw) + 16)) if wide <= 64 else 64
+    digest = hashlib.blake2b(bytes([r]) + tag + b"\0" + raw, key=key, digest_size=size).digest()
+    return int.from_bytes(digest if wide <= 64 else hashlib.shake_256(digest).digest(wide), "big")
 
 
 def _walk(x: int, n: int, key: bytes, kind: str, ok: Callable[[int], bool]) -> int:
@@ -131,50 +135,74 @@ def _ordinal(y: str, m: str, d: str) -> int | None:
         return None
 
 
-def _day(x: int, key: bytes, ok: Callable[[int], bool] = lambda _: True) -> dt.date:
-    """Days of 1900 to 2099 stay among them, the other days of the calendar among those."""
+def _form(x: int) -> tuple[bool, bool, bool]:
+    """What a date's written form can show of its day: one-digit day or month, and a day that can't be a month."""
+    d = dt.date.fromordinal(x)
+    return d.day < 10, d.month < 10, d.day > 12
+
+
+def _day(x: int, key: bytes) -> dt.date:
+    """Days of 1900 to 2099 stay among them, the other days of the calendar among those, and either among the days that
+    can be written in the same forms."""
+    form = _form(x)
     if _D0 <= x < _D1:
-        return dt.date.fromordinal(_D0 + _walk(x - _D0, _D1 - _D0, key, "day", lambda v: ok(v + _D0)))
-    return dt.date.fromordinal(1 + _walk(x - 1, _LAST, key, "days", lambda v: not _D0 <= v + 1 < _D1 and ok(v + 1)))
+        return dt.date.fromordinal(_D0 + _walk(x - _D0, _D1 - _D0, key, "day", lambda v: _form(v + _D0) == form))
+    return dt.date.fromordinal(1 + _walk(x - 1, _LAST, key, "days", lambda v: not _D0 <= v + 1 < _D1 and _form(v + 1) == form))
 
 
 def date(s: str, key: bytes) -> str | None:
-    """yyyy-mm-dd (also with / or .), dd/mm/yyyy, or mm/dd/yyyy where only that is a date. One permutation of days for
-    all orders, so a date stays linked across them; a month-first date stays one that only month-first can be."""
+    """yyyy-mm-dd (also with / or .), dd/mm/yyyy, or mm/dd/yyyy where only that is a date; day and month may have one
+    digit. One permutation of days for all forms, so a date stays linked across them and each field keeps its width:
+    whether day and month are below 10, and whether the day is above 12, is part of the format."""
     a, sep, b, sep2, c = re.match(r"(\d+)(.)(\d+)(.)(\d+)$", s).groups()
     if sep != sep2:
         return None
-    if len(a) == 4:
-        x = _ordinal(a, b, c)
-        return None if x is None else (lambda d: f"{d.year:04d}{sep}{d.month:02d}{sep}{d.day:02d}")(_day(x, key))
-    if (x := _ordinal(c, b, a)) is not None:
-        d = _day(x, key)
-        return f"{d.day:02d}{sep}{d.month:02d}{sep}{d.year:04d}"
-    if (x := _ordinal(c, a, b)) is not None:
-        d = _day(x, key, lambda v: dt.date.fromordinal(v).day > 12)
-        return f"{d.month:02d}{sep}{d.day:02d}{sep}{d.year:04d}"
+    for names, y, m, d in (("ymd", a, b, c),) if len(a) == 4 else (("dmy", c, b, a), ("mdy", c, a, b)):
+        if (x := _ordinal(y, m, d)) is not None:
+            new = _day(x, key)
+            parts = {"y": new.year, "m": new.month, "d": new.day}
+            return sep.join(f"{parts[k]:0{len(old)}d}" for k, old in zip(names, (a, b, c), strict=True))
     return None
 
 
+#: Digits of a number that are joined one by one.
+_FEW = 256
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+def _join(digits: list[int], sizes: list[int]) -> tuple[int, int, list]:
+    """The number of mixed radix, the size of its domain and the halves that it was made of; by halves, so that long
+    values take no quadratic time."""
+    if len(digits) <= _FEW:
+        x, n = 0, 1
+        for d, size in zip(digits, sizes, strict=True):
+            x, n = x * size + d, n * size
+        return x, n, sizes
+    h = len(digits) // 2
+    x, n, left = _join(digits[:h], sizes[:h])
+    y, m, right = _join(digits[h:], sizes[h:])
+    return x * m + y, n * m, [left, m, right]
+
+
+def _split(x: int, parts: list) -> list[int]:
+    """The digits again."""
+    if len(parts) == 3 and isinstance(parts[0], list):
+        x, y = divmod(x, parts[1])
+        return _split(x, parts[0]) + _split(y, parts[2])
+    out = []
+    for size in reversed(parts):
+        x, r = divmod(x, size)
+        out.append(r)
+    return out[::-1]
+
+
 def _letters(s: str, key: bytes, kind: str) -> str:
     """Every ASCII letter and digit within its own class, as one number of mixed radix; others stay."""
     sets = [next((x for x in _ALPHABETS if c in x), "") for c in s]
-    x, n = 0, 1
-    for c, x_set in zip(s, sets, strict=True):
-        if x_set:
-            x, n = x * len(x_set) + x_set.index(c), n * len(x_set)
     shape = "".join(str(_ALPHABETS.index(x_set)) if x_set else c for c, x_set in zip(s, sets, strict=True))
-    x = feistel(x, n, key, kind + shape)
-    out = []
-    for c, x_set in zip(reversed(s), reversed(sets), strict=True):
-        if x_set:
-            x, r = divmod(x, len(x_set))
-            c = x_set[r]
-        out.append(c)
-    return "".join(reversed(out))
+    x, n, parts = _join([x_set.index(c) for c, x_set in zip(s, sets, strict=True) if x_set], [len(x_set) for x_set in sets if x_set])
+    new = iter(_split(feistel(x, n, key, kind + shape), parts))
+    return "".join(x_set[next(new)] if x_set else c for c, x_set in zip(s, sets, strict=True))
 
 
 def email(s: str, key: bytes) -> str | None:
@@ -196,10 +224,10 @@ def secret(s: str, key: bytes) -> str | None:
 #: In this order: a later kind doesn't look inside what an earlier one replaced.
 KINDS: tuple[tuple[str, str, str, Callable[[str, bytes], str | None]], ...] = (
     ("email", "@", r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])", email),
-    ("secret", "=:", r"(?i:(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key))[\"']?\s{0,3}[:=]\s{0,3}[\"']?()([A-Za-z0-9/+_-]{16,128})(?![A-Za-z0-9/+_-])", secret),
+    ("secret", "=:", r"(?i:(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key))[\"']?\s{0,3}[:=]\s{0,3}[\"']?()([A-Za-z0-9/+_-]{16,})(?![A-Za-z0-9/+_-])", secret),
     ("iban", "", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", iban),
     ("ipv4", ".", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\w)", ipv4),
-    ("date", "", r"(?<![\w./-])(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})(?![\w/-]|\.\d)", date),
+    ("date", "", r"(?<![\w./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?:(?=[Tt]\d\d)|(?![\w/-]|\.\d))", date),
     ("card", "", r"(?<![\w.])\d{13,19}(?!\w)|(?<![\w.])\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?!\w)|(?<![\w.])\d{4}([ -])\d{6}\2\d{5}(?!\w)", card),
     ("ssn", "-", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     ("phone", "", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])", phone),
@@ -208,11 +236,19 @@ _COMPILED = [(k, need, re.compile(p, re.ASCII if k not in ("email",) else 0), f)
 _DIGIT = re.compile("[0-9]")
 
 
+_LONG = 256
+
+
 @lru_cache(100_000)
-def _swap(kind: int, s: str, key: bytes) -> str | None:
+def _swap_short(kind: int, s: str, key: bytes) -> str | None:
     return _COMPILED[kind][3](s, key)
 
 
+def _swap(kind: int, s: str, key: bytes) -> str | None:
+    """Long values aren't kept, so that the memory of what was swapped is bounded."""
+    return _swap_short(kind, s, key) if len(s) <= _LONG else _COMPILED[kind][3](s, key)
+
+
 def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, dict[str, int]]:
     """The text with its personal data replaced, and how many of each kind. Null gives null, empty gives empty."""
     found: dict[str, int] = {}

@@ -50,6 +50,35 @@ def test_cards_stay_apart_and_linked(bodies):
     assert len(set(out)) == len(cards) and out == [pii.card(c, KEY) for c in cards] and all(pii.luhn_digit(c[:-1]) == c[-1] for c in out)
 
 
+def test_dates_before_a_time_and_of_one_digit():
+    new = lambda t: pii.pseudonymise(t, KEY)[0]
+    y, m, d = re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", new("1984-05-17")).groups()
+    assert new("1984-05-17T00:00:00Z") == f"{y}-{m}-{d}T00:00:00Z" and f"{y}-{m}-{d}" != "1984-05-17"
+    assert new("17/5/1984, 17.05.1984, 5/17/1984, 05/17/1984 and 1984/5/17") == f"{d}/{int(m)}/{y}, {d}.{m}.{y}, {int(m)}/{d}/{y}, {m}/{d}/{y} and {y}/{int(m)}/{d}"
+    y, m, d = re.fullmatch(r"(\d{4})-0(\d)-0(\d)", new("1984-07-05")).groups()
+    assert new("5/7/1984 05/7/1984 1984-7-5") == f"{d}/{m}/{y} 0{d}/{m}/{y} {y}-{m}-{d}"
+    assert new("31/2/1984 1984-2-31T10 0/7/1984 1984-05-17Q") == "31/2/1984 1984-2-31T10 0/7/1984 1984-05-17Q"
+    days = [f"{i % 31 + 1}/{i % 12 + 1}/{1900 + i % 200}" for i in range(3000)]
+    out = {t: pii.date(t, KEY) for t in days}
+    assert len({v for v in out.values() if v}) == sum(v is not None for v in out.values()) > 2900
+    assert all(v is None or [*map(len, v.split("/"))] == [*map(len, t.split("/"))] for t, v in out.items())
+
+
+@pytest.mark.parametrize("n", [128, 129, 172, 1000, 60_000])
+def test_secrets_of_any_length(n):
+    rng = random.Random(n)
+    for letters in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"):
+        value = "7" + "".join(rng.choice(letters) for _ in range(n - 1))
+        new, found = pii.pseudonymise(f"token = '{value}' end", KEY)
+        got = re.fullmatch(r"token = '([A-Za-z0-9]+)' end", new).group(1)
+        assert found == {"secret": 1} and len(got) == n
+        # nothing of it stays in place but what chance lets stay, at either end and in the middle
+        for part in (slice(0, 40), slice(n // 2 - 20, n // 2 + 20), slice(n - 40, n)):
+            assert sum(a == b for a, b in zip(value[part], got[part], strict=True)) < 16
+        other = value[:-1] + ("1" if value[-1] != "1" else "2")
+        assert pii.secret(other, KEY) != got
+
+
 def test_pii_table(spark):
     rows = [(1, "x 97.51.17.173", "k"), (2, "y 97.51.17.173", "k"), (3, None, "k"), (4, "", "k"), (None, "clean text, 12 items", "k"), (5, "a" * 200_000 + " 97.51.17.173", "k")]
     d = spark.createDataFrame(rows, "doc_id int, text string, pii_found string")
