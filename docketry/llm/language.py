@@ -20,6 +20,7 @@ from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -303,30 +304,47 @@ def _identify(held: Broadcast, min_gain: float, min_margin: float, batches: Iter
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words by label; the empty word counts the rows."""
     total: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            total[lang, ""] += 1
             total.update((lang, w) for w in words(text))
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array([*total.values()], pa.int64())], ["lang", "word", "n"])
 
 
+def _sample_words(d: DataFrame, shares: dict[str, float], sample_rows: int, seed: int) -> pd.DataFrame:
+    """(lang, word, n) of the ``sample_rows`` rows of each label that come first by hash of seed, id and text, among
+    those whose hash is within the label's share."""
+    share = F.lit(0.0)
+    for lang, part in shares.items():
+        share = F.when(F.col("lang") == lang, F.lit(part)).otherwise(share)
+    drawn = d.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("cell", F.pmod("draw", F.lit(1 << 30)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("cell", "draw", "doc_id"))
+    sample = drawn.where(F.col("cell") < share * float(1 << 30)).withColumn("place", place).where(F.col("place") <= sample_rows).select("lang", "text")
+    return sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+
+
 def fit(docs: DataFrame, vocabulary_path: str | None = None, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, smoothing: float = SMOOTHING, seed: int = 11) -> Model | None:
-    """Trains on ``docs`` (doc_id, text, lang), on at most ``sample_rows`` rows of each label: those of least hash of
-    seed, id and text. Rows with null text or label don't take part; None if there is no word to learn from."""
+    """Trains on ``docs`` (doc_id, text, lang), on ``sample_rows`` rows of each label, or all where it has fewer: those
+    of least hash of seed, id and text, whatever ids are null or repeated. Rows with null text or label don't take part;
+    None if there is no word to learn from."""
     common.small_batches(docs.sparkSession)
     d = common.pick(docs, "doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    # a share a little above the bound is drawn by hash first, so that only about that many rows are ordered
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * sample_rows + 100) / n))).otherwise(share)
-    draw = F.xxhash64(F.lit(seed), "doc_id")
-    drawn = d.where(F.pmod(draw, F.lit(1 << 30)) < share * float(1 << 30)).withColumn("draw", draw)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text")))
-    sample = drawn.withColumn("place", place).where(F.col("place") <= sample_rows).select("lang", "text")
-    found = sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    # a share a little above the bound is drawn by hash first, so that only about that many rows are ordered; where
+    # many equal rows, which have one hash, leave fewer than the bound, a larger share is drawn
+    shares = {lang: min(1.0, (2 * sample_rows + 100) / n) for lang, n in sizes.items()}
+    while True:
+        found = _sample_words(d, shares, sample_rows, seed)
+        rows = {lang: n for lang, word, n in zip(found["lang"], found["word"], found["n"], strict=True) if word == ""}
+        few = [lang for lang, n in sizes.items() if shares[lang] < 1 and rows.get(lang, 0) < min(n, sample_rows)]
+        if not few:
+            break
+        shares |= {lang: min(1.0, 16 * shares[lang]) for lang in few}
+    found = found[found["word"] != ""]
     if not len(found):
         return None
     languages = sorted(found["lang"].unique())

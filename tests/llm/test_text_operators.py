@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docketry.llm import chat, language, licences, pii, quality, tokens
 from docketry.llm.licence_texts import TEMPLATES
@@ -155,6 +156,36 @@ def test_keep_identified(spark):
     assert language.keep_identified(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("equal", [False, True])
+def test_sample_of_null_and_repeated_ids(spark, equal):
+    n = 1500
+    rows = [(i, None if i % 2 else 7, f"{t} {'x' if equal else chr(97 + i % 26) * (i // 26 + 1)}", lang) for i in range(n) for t, lang in (("der hund und die katze", "de"), ("the dog and the cat", "en"))]
+    d = spark.createDataFrame(rows, "n int, doc_id int, text string, lang string")
+    for some in (d, d.withColumn("doc_id", F.lit(None).cast("int")), d.withColumn("doc_id", F.lit(3))):
+        model = language.fit(some, rounds=1)
+        assert model is not None and model.languages == ["de", "en"]
+        assert language.keep_identified(some, rounds=1).count() == 2 * n
+
+
+def test_sample_is_full_and_of_least_hash(spark):
+    texts = ["rare words", *["same text"] * 5000, *[f"own {i}" for i in range(30)]]
+    d = spark.createDataFrame([(None, t, "en") for t in texts], "doc_id int, text string, lang string")
+    for seed in range(4):
+        counts = {s: dict(zip((f := language._sample_words(d, {"en": s}, 40, seed))["word"], f["n"], strict=True)).get("", 0) for s in (180 / len(texts), 1.0)}
+        assert counts[1.0] == 40
+        seen = []
+        real = language._sample_words
+        try:
+            language._sample_words = lambda *a: seen.append(real(*a)) or seen[-1]
+            assert language.fit(d, sample_rows=40, rounds=1, seed=seed).languages == ["en"]
+        finally:
+            language._sample_words = real
+        last = dict(zip(seen[-1]["word"], seen[-1]["n"], strict=True))
+        assert last[""] == 40
+        whole = real(d, {"en": 1.0}, 40, seed)
+        assert last == dict(zip(whole["word"], whole["n"], strict=True))
+
+
 # 4. token counts
 
 BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
