@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,10 @@ from pyspark.sql import types as T
 from docketry.llm import common
 
 SAMPLE_ROWS, ROUNDS, SMOOTHING, UNKNOWN = 400, 4, 0.02, 1e-6
-#: Longer words are scored in runs of so many letters, so that no product of probabilities underflows.
+#: In training, a longer run of letters counts as several words; in scoring, words of any length are one.
 LONGEST = 40
+#: The forward sums of a word are brought back to 1 after so many letters, so that no product underflows.
+_RESCALE = 32
 _KNOWN = 300_000
 _WORDS_AT_ONCE = 10_000
 _U = np.uint64
@@ -41,7 +44,7 @@ _MARK = ord("▁")
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters, lower case, cut to LONGEST."""
+    """Runs of letters, lower case, those for training cut to LONGEST."""
     runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
     return [w[i : i + LONGEST] for w in runs for i in range(0, len(w), LONGEST)]
 
@@ -135,12 +138,13 @@ class Pieces:
             found_n.append(np.full(len(here), n))
             found_piece.append(piece)
         at, n, piece = np.concatenate(found_at), np.concatenate(found_n), np.concatenate(found_piece)
-        place = (every - start[word])[at].astype(np.int16)
+        place = (every - start[word])[at].astype(np.int32)
         order = np.argsort(place, kind="stable")
         at, n, piece = at[order], n[order], piece[order]
         cuts = np.flatnonzero(np.diff(place[order])) + 1
         node = at + word[at]
-        return start + np.arange(len(lengths)), [*zip(np.split(node, cuts), np.split(node + n, cuts), np.split(piece, cuts), strict=True)]
+        edges = [0, *cuts.tolist(), len(node)]
+        return start + np.arange(len(lengths)), [(node[a:b], node[a:b] + n[a:b], piece[a:b]) for a, b in pairwise(edges)]
 
 
 def _code(s: str) -> np.ndarray:
@@ -152,7 +156,7 @@ def _marked(batch: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forward(lattice: tuple[np.ndarray, list], lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Sum over all segmentations up to each node, one column a model."""
+    """Sum over all segmentations up to each node, one column a model; for words short enough not to underflow."""
     first, steps = lattice
     alpha = np.zeros((int(lengths.sum()) + len(lengths), p.shape[1]))
     alpha[first] = 1
@@ -162,8 +166,22 @@ def forward(lattice: tuple[np.ndarray, list], lengths: np.ndarray, p: np.ndarray
 
 
 def _logs(pieces: Pieces, flat: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
-    lattice = pieces.lattice(flat, lengths)
-    return np.log(forward(lattice, lengths, p)[lattice[0] + lengths])
+    """Logarithms of whole words' sums: every _RESCALE letters the sums that later arcs may begin at are divided by
+    the greatest of them, which is kept as a logarithm."""
+    first, steps = pieces.lattice(flat, lengths)
+    alpha = np.zeros((len(flat) + len(lengths), p.shape[1]))
+    alpha[first] = 1
+    scale = np.zeros((len(lengths), p.shape[1]))
+    for i, (a, b, piece) in enumerate(steps, 1):
+        alpha[b] += alpha[a] * p[piece]
+        if i % _RESCALE == 0 and len(on := np.flatnonzero(lengths > i)):
+            # nodes at and after place i that an arc has reached; no later arc begins before them
+            ahead = np.minimum(i + np.arange(pieces.longest), lengths[on, None]) + first[on, None]
+            most = alpha[ahead].max(axis=1)
+            scale[on] += np.log(most)
+            window = np.unique(ahead)
+            alpha[window] /= most[np.searchsorted(first[on], window, "right") - 1]
+    return np.log(alpha[first + lengths]) + scale
 
 
 def log_scores(pieces: Pieces, batch: Sequence[str], p: np.ndarray) -> np.ndarray:
@@ -248,11 +266,6 @@ def _score(model: Model, low: list[str], known: Known) -> tuple[np.ndarray, np.n
     edge[ends] = True
     start = np.flatnonzero(on[1:-1] & (~on[:-2] | edge[:-1]))
     stop = np.flatnonzero(on[1:-1] & (~on[2:] | edge[1:])) + 1
-    if len(start) and int((stop - start).max()) > LONGEST:
-        runs = -(-(stop - start) // LONGEST)
-        nth = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
-        start, stop = np.repeat(start, runs) + nth * LONGEST, np.repeat(stop, runs)
-        stop = np.minimum(stop, start + LONGEST)
     doc = np.searchsorted(ends, start, "right")
     letters = np.bincount(doc, stop - start, len(low))
     if not len(start):
@@ -316,17 +329,16 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sample_words(d: DataFrame, shares: dict[str, float], sample_rows: int, seed: int) -> pd.DataFrame:
     """(lang, word, n) of the ``sample_rows`` rows of each label that come first by hash of seed, id and text, among
     those whose hash is within the label's share."""
-    share = F.lit(0.0)
-    for lang, part in shares.items():
-        share = F.when(F.col("lang") == lang, F.lit(part)).otherwise(share)
-    drawn = d.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("cell", F.pmod("draw", F.lit(1 << 30)))
+    # one row a label, as many as the model has columns
+    share = F.broadcast(d.sparkSession.createDataFrame([*shares.items()], "lang string, share double"))
+    drawn = d.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("cell", F.pmod("draw", F.lit(1 << 30))).join(share, "lang")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("cell", "draw", "doc_id"))
-    sample = drawn.where(F.col("cell") < share * float(1 << 30)).withColumn("place", place).where(F.col("place") <= sample_rows).select("lang", "text")
+    sample = drawn.where(F.col("cell") < F.col("share") * float(1 << 30)).withColumn("place", place).where(F.col("place") <= sample_rows).select("lang", "text")
     return sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
 
 
 def fit(docs: DataFrame, vocabulary_path: str | None = None, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, smoothing: float = SMOOTHING, seed: int = 11) -> Model | None:
-    """Trains on ``docs`` (doc_id, text, lang), on ``sample_rows`` rows of each label, or all where it has fewer: those
+    """Trains on ``docs`` (doc_id, text, lang; as many languages as there are labels), on ``sample_rows`` rows of each label, or all where it has fewer: those
     of least hash of seed, id and text, whatever ids are null or repeated. Rows with null text or label don't take part;
     None if there is no word to learn from."""
     common.small_batches(docs.sparkSession)
@@ -386,11 +398,12 @@ def _accept(held: Broadcast, text: str, min_gain: float, min_margin: float, batc
 
 def keep_identified(docs: DataFrame, vocabulary_path: str | None = None, min_gain: float = 0.0, min_margin: float = 0.0, **training: float) -> DataFrame:
     """The rows of ``docs`` whose language ``identify`` accepts, with all their columns, by a model fitted to their own
-    labels; in one narrow stage, the text being sent once."""
+    labels; in one narrow stage, the text being sent once. Where no row has both a label and a word there is nothing
+    to fit, so only texts without letters are rejected."""
     model = fit(docs, vocabulary_path, **training)
     box = common.Boxed(docs)
     if model is None:
-        return docs.limit(0)
+        return box.open(box.df.where(F.col(box["text"]).rlike("\\p{L}")))
     held = docs.sparkSession.sparkContext.broadcast(model)
     return box.open(box.df.mapInArrow(partial(_accept, held, box["text"], min_gain, min_margin), box.df.schema))
 

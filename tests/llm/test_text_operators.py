@@ -97,6 +97,19 @@ def pieces():
     return language.Pieces(language.vocabulary("/opt/tokenizers/piece_bpe_32k.model"))
 
 
+def brute_log(at, p, word):
+    """Logarithm of the sum over all segmentations of a word of any length, letter by letter in logarithms."""
+    word, longest = "▁" + word, max(map(len, at))
+    out = []
+    for j in range(p.shape[1]):
+        logs = [0.0]
+        for i in range(1, len(word) + 1):
+            arcs = [logs[k] + np.log(p[at.get(word[k:i], len(at)), j]) for k in range(max(0, i - longest), i) if word[k:i] in at or i - k == 1]
+            logs.append(max(arcs) + np.log(sum(np.exp(a - max(arcs)) for a in arcs)))
+        out.append(logs[-1])
+    return np.array(out)
+
+
 def test_forward_sums_all_segmentations(pieces):
     vocab = language.vocabulary("/opt/tokenizers/piece_bpe_32k.model")
     at = {v: i for i, v in enumerate(vocab)}
@@ -117,10 +130,12 @@ def test_forward_sums_all_segmentations(pieces):
     words = ["the", "x", "élan", "zürich", "漢字", "aaaaaaaa", "wordsmith"]
     assert np.allclose(language.log_scores(pieces, words, p), [brute(w) for w in words])
     model = language.Model(["a"], pieces, p)
-    texts = ["the x", None, "", "12 !", "élan the the", "q" * 95 + " x"]
+    rng = random.Random(8)
+    long = ["q" * 95, "".join(rng.choice("abcdeéñß漢字仮名") for _ in range(3000)), "the" * 40, "x" * 31, "y" * 32, "z" * 33, "ab" * 32]
+    texts = ["the x", None, "", "12 !", "élan the the", long[0] + " x", " ".join(long), long[1]]
     scores, letters = language.score(model, texts, language.Known(2))
-    want = [sum((language.log_scores(pieces, [w], p)[0] for w in language.words(t or "")), np.zeros(2)) for t in texts]
-    assert np.allclose(scores, want) and letters.tolist() == [4, 0, 0, 0, 10, 96]
+    want = [sum((brute_log(at, p, w) for w in "".join(c if c.isalpha() else " " for c in (t or "")).split()), np.zeros(2)) for t in texts]
+    assert np.allclose(scores, want, rtol=1e-9) and letters.tolist() == [4, 0, 0, 0, 10, 96, sum(map(len, long)), 3000]
 
 
 def test_training_raises_likelihood(pieces):
@@ -154,6 +169,41 @@ def test_keep_identified(spark):
     got = language.keep_identified(d)
     assert got.columns == d.columns and sorted(r["doc_id"] for r in got.collect()) == list(range(10))
     assert language.keep_identified(d.limit(0)).count() == 0
+    # nothing to learn from: only texts without letters go, and no more
+    none = d.selectExpr("doc_id", "text", "cast(null as string) AS lang", "LANG_ID")
+    assert sorted(r["doc_id"] for r in language.keep_identified(none).collect()) == list(range(10))
+
+
+FOREIGN = (
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待" * 3,
+    "qzxv jkwq vbnmx zzkq xjqv wqkz pqxz vkjq zxqw kqvj",
+    "2AbfKq9zXv7Lm3RtYpWsDgHjKlQwErTyUiOpZxCvBnM0aSdFg",
+)
+
+
+def test_language_rejects_foreign_and_junk_texts(spark):
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(FOREIGN)], clean.schema)
+    labelled = clean.where("doc_id % 2 = 0")
+    kept = {r["doc_id"] for r in language.keep_identified(labelled.union(odd), rounds=2).collect()}
+    assert not any(10**6 + i in kept for i in range(len(FOREIGN)))
+    assert len(kept) >= 0.99 * labelled.count()
+    # rows that the model has not seen
+    model = language.fit(labelled, rounds=2)
+    unseen = language.identify(clean.where("doc_id % 2 = 1").union(odd), model).collect()
+    assert all(r["accepted"] == (r["doc_id"] < 10**6) for r in unseen if r["doc_id"] >= 10**6)
+    assert sum(r["accepted"] for r in unseen) >= 0.99 * (len(unseen) - len(FOREIGN))
+
+
+def test_language_of_equal_scores(pieces):
+    p = np.full((pieces.unknown + 1, 3), 1e-5)
+    model = language.Model(["aa", "bb"], pieces, p)
+    scores, _ = language.score(model, ["tied text"] * 2, language.Known(3))
+    assert (scores[0] == scores[1]).all() and len(set(scores[0])) == 1 and scores[0, :2].argmax() == 0
 
 
 @pytest.mark.parametrize("equal", [False, True])
