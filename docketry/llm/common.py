@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,28 +79,49 @@ def shared_dir(spark: SparkSession) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = got.get() if got.isDefined() else None
     if where is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="docketry-")
+        own = tempfile.mkdtemp(prefix="docketry-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = "file://" + own
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
-_scratch: list[tuple[SparkSession, str]] = []
+#: Scratch tables by path, with their file system and place in it, which outlive the session.
+_scratch: dict[str, tuple] = {}
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Removes a scratch table."""
+def register(spark: SparkSession, path: str) -> str:
+    """Makes ``path`` a scratch table: it goes with ``drop``, with the ``scratch`` around it, or at exit."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _scratch[path] = at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+    return path
+
+
+def drop(*paths: str) -> None:
+    """Removes scratch tables."""
+    for path in paths:
+        files, at = _scratch.pop(path)
+        files.delete(at, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the tables that were materialised within, once what reads them is written."""
+    before = set(_scratch)
+    try:
+        yield
+    finally:
+        drop(*(set(_scratch) - before))
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _scratch:
+    for path in [*_scratch]:
         try:
-            drop(spark, path)
-        except Exception:  # the session is gone; its own scratch folder goes with it
+            drop(path)
+        except Exception:  # the virtual machine is gone: nothing can be removed any more
             return
 
 
@@ -104,12 +129,19 @@ def materialise(df: DataFrame, what: str, *partition: str) -> tuple[DataFrame, s
     """Writes ``df`` to the shared folder as Parquet, in folders by ``partition``, and reads it back: lineage ends, and
     a lost executor costs nothing. Returns the table and its path, for ``drop``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docketry/{what}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
+    path = register(spark, f"{shared_dir(spark)}/docketry/{what}-{uuid.uuid4().hex}")
     (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def sized(keys: DataFrame, most_bytes: int) -> DataFrame:
+    """Broadcast only if its measured size (its values as text, and 16 bytes a field) allows, else left to a sorted
+    shuffle."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in keys.columns), F.lit(0))
+    size = keys.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    return F.broadcast(keys) if size <= most_bytes else keys.hint("merge")
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

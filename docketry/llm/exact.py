@@ -6,10 +6,12 @@ bytes, 32 to begin with and each eight times as long as the one before, so a tex
 rounds. Texts are only ever compared with themselves, byte by byte; no digest stands for one.
 
 Scale: the first round moves a length and 32 bytes a document, combined on the map side, so a text with millions of
-copies is one row. Only documents that share both go on (their texts are written once to the shared folder); each
-further round groups on the group's number and the next digit, again combined on the map side, and drops what has
-become single. Keys of the first round are broadcast only if their measured size is below ``broadcast_bytes``; beyond
-it they are joined by a sorted shuffle.
+copies is one row. Only documents that share both go on (they are written once to the shared folder, with a number for
+each row); each further round groups on the group's number and the next digit, again combined on the map side, and
+joins digits without their texts, so that the copies of one text meet as numbers; that join is sorted, and adaptive
+execution cuts its skewed partitions. Texts move by row number, evenly, and only those of rows that are still in a group.
+Keys are broadcast only if their measured size is below ``broadcast_bytes``; beyond it they are joined by a sorted
+shuffle.
 """
 
 from __future__ import annotations
@@ -33,37 +35,36 @@ def exact_dedup(docs: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
     All columns are returned. A null text equals no other, so its rows all stay; the empty text is a text like others.
     Equality is that of bytes: case, white space and normal forms count. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
     box = common.Boxed(docs)
     text, doc_id = box["text"], box["doc_id"]
     d = box.df.withColumn("len", F.octet_length(text)).withColumn("head", _digit(text, 0, FIRST))
     shared, _ = common.materialise(d.where("len IS NOT NULL").groupBy("len", "head").count().where("count > 1").select("len", "head"), "exact-keys")
-    size = shared.count() * (FIRST + 24)
-    if size == 0:
+    if shared.isEmpty():
         return docs
-    keys = F.broadcast(shared) if size <= broadcast_bytes else shared.hint("merge")
-    parts = [d.join(keys, ["len", "head"], "left_anti").select(*box.columns)]
-    alive, path = common.materialise(d.join(keys, ["len", "head"], "left_semi").drop("head").withColumns({"rid": F.monotonically_increasing_id(), "gid": F.lit(0).cast("bigint")}), "exact-0")
-    at, width, level = 0, FIRST * (GROWTH + 1), 0
-    first = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("rid"))
-    by = ["len", "gid", "digit"]
+    keys = common.sized(shared, broadcast_bytes)
+    alone = d.join(keys, ["len", "head"], "left_anti").select(*box.columns)
+    meet, _ = common.materialise(d.join(keys, ["len", "head"], "left_semi").drop("head").withColumn("rid", F.monotonically_increasing_id()), "exact-texts")
+    first = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("rid").alias("rid"))
+    alive, path = meet.select("rid", F.lit(0).cast("bigint").alias("gid"), "len", first.alias("first"), F.col(text).alias("text")), None
+    at, width, by, kept = 0, FIRST * (GROWTH + 1), ["len", "gid", "digit"], []
     while True:
-        keyed = alive.withColumn("digit", _digit(text, at, width))
-        groups = keyed.groupBy(*by).agg(F.min(first).alias("least"), F.count(F.lit(1)).alias("n")).select(*by, "n", F.col("least.rid").alias("new"))
+        keyed = alive.select("rid", "gid", "len", "first", _digit("text", at, width).alias("digit"))
+        groups = keyed.groupBy(*by).agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n")).select(*by, "n", F.col("least.rid").alias("new"))
         done = (F.col("n") == 1) | (F.col("len") <= at + width)
-        split = keyed.join(groups, by).withColumn("done", done).where(~F.col("done") | (F.col("rid") == F.col("new")))
-        level += 1
-        table, new_path = common.materialise(split.select(*box.columns, "len", "rid", F.col("new").alias("gid"), "done"), f"exact-{level}", "done")
-        common.drop(spark, path)
-        parts.append(table.where("done").select(*box.columns))
-        alive, path = table.where("NOT done").drop("done"), f"{new_path}/done=false"
-        at, width = at + width, width // (GROWTH + 1) * GROWTH * GROWTH if level == 1 else width * GROWTH
-        if alive.isEmpty():
+        split = keyed.drop("first").join(groups.hint("merge"), by).select("rid", F.col("new").alias("gid"), done.alias("done"))
+        split, _ = common.materialise(split.where(~F.col("done") | (F.col("rid") == F.col("gid"))), "exact-split", "done")
+        kept.append(split.where("done").select("rid"))
+        live, old = split.where("NOT done").select("rid", "gid"), path
+        if live.isEmpty():
             break
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.toDF(*box.names)
+        alive, path = common.materialise(alive.drop("gid").join(common.sized(live, broadcast_bytes), "rid"), "exact-alive")
+        if old:
+            common.drop(old)
+        at, width = at + width, FIRST * GROWTH * GROWTH if at == 0 else width * GROWTH
+    stays = kept[0]
+    for more in kept[1:]:
+        stays = stays.union(more)
+    return alone.union(meet.join(common.sized(stays, broadcast_bytes), "rid", "left_semi").select(*box.columns)).toDF(*box.names)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,30 +1,34 @@
 """Operator 3. Near-duplicate removal by DartMinHash signatures and a banded join.
 
-A document is a weighted set: its elements are pairs of adjacent words (lower case, letters and digits), weighted by
-their count. Every element has a half-plane of weight and rank in which darts are thrown by hashing, one on average
+A document is a weighted set: its elements are pairs of adjacent words, weighted by their count. Words are runs of
+letters, marks and digits of any script, lower case; in scripts written without blanks each sign is a word. Every element has a half-plane of weight and rank in which darts are thrown by hashing, one on average
 for each unit of area, the same for every document. A document keeps the darts in its own region, under its elements'
 weights and below a rank that lets about k ln k + 2k darts through; each dart belongs to one of k coordinates, and the
 earliest of each coordinate, by rank, is the signature's entry. Two signatures agree in a coordinate with probability
 equal to the weighted Jaccard similarity. See Christiani, "DartMinHash: Fast Sketching for Weighted Sets" (2020).
 
 Signatures are cut into bands; documents that agree in a whole band meet. Within such a bucket everyone is compared
-with the least, and whoever isn't similar to that with everyone else, so the groups are those of comparing all pairs;
-similarity is the share of equal coordinates. Similar documents are joined into groups as connected components.
+with the least, and whoever isn't similar to that with everyone else, but those whose similarity to the least differs
+so much that the triangle inequality keeps them apart, so the groups are those of comparing all pairs; similarity is
+the share of equal coordinates. Similar documents are joined into groups as connected components.
 
 Scale: throwing darts is one narrow stage. Equal signatures are collapsed first (with partial sums), so thousands of
 copies meet as one row. The banded join moves a hash and a number for each band; signatures follow only for pairs that
-met. Components take a number of rounds that grows with the logarithm of a component's width.
+met; the least of a bucket is a partial minimum, and bands that one document has are dropped before anything is joined.
+Components take a number of rounds that grows with the logarithm of a component's width.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +51,9 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 
 _WORD_BYTE = np.zeros(256, bool)
-_WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: Scripts written without blanks: Thai, Lao, Myanmar, Khmer, kana and ideographs.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x1B000, 0x1B16F), (0x20000, 0x323AF))
 _BYTE_MIX = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -66,6 +72,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0]
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """Of every code point: 0 between words, 1 part of a word, 2 a word of its own."""
+    kinds = np.fromiter((unicodedata.category(chr(i))[0] in "LMN" for i in range(sys.maxunicode + 1)), np.int8, sys.maxunicode + 1)
+    for a, b in _UNSPACED:
+        kinds[a : b + 1] *= 2
+    return kinds
+
+
+def _beyond_ascii(data: np.ndarray, word: np.ndarray, edge: np.ndarray) -> None:
+    """Marks the bytes of words in ``word`` and the bounds of words of one sign in ``edge``, for signs of several bytes."""
+    at = np.flatnonzero(data >= 0xC0)
+    if not len(at):
+        return
+    lead = data[at].astype(np.int64)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    code = lead & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+    for i in range(1, 4):
+        code = np.where(size > i, code << 6 | data[np.minimum(at + i, len(data) - 1)] & 0x3F, code)
+    kind = _kinds()[np.minimum(code, sys.maxunicode)]
+    for i in range(4):
+        word[at[(kind > 0) & (size > i)] + i] = True
+    own = kind == 2
+    edge[at[own]] = True
+    edge[at[own] + size[own]] = True
+
+
 def elements(data: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct elements of documents laid end to end in ``data``: (document, 64-bit hash, count), by document.
 
@@ -74,6 +107,7 @@ def elements(data: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np.ndarr
     word = _WORD_BYTE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[ends[:-1]] = True
+    _beyond_ascii(data, word, edge)
     before = np.concatenate([[False], word[:-1]]) if len(word) else word
     start = np.flatnonzero(word & (~before | edge[:-1]))
     after = np.concatenate([word[1:], [False]]) if len(word) else word
@@ -230,7 +264,6 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014)
     until nothing changes; each is a partial minimum and a join, written to the shared folder. Self-edges count for
     nothing; an empty table gives an empty table."""
-    spark = edges.sparkSession
     flat = edges.where("u <> v").select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("root")).distinct()
     now, path = common.materialise(flat, "components")
     seen = None
@@ -242,13 +275,13 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "v").where("root <> m").select(F.col("root").alias("v"), F.col("m").alias("root"))
         table, new = common.materialise(small.union(down.select("v", F.col("m").alias("root"))).distinct(), "components")
         state = tuple(table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "root").cast("decimal(38,0)"))).first())
-        common.drop(spark, path)
+        common.drop(path)
         if state == seen or state[0] == 0:
             return table
         now, path, seen = table, new, state
 
 
-def similar(sigs: DataFrame, threshold: float = THRESHOLD, coordinates: int = COORDINATES) -> tuple[DataFrame, DataFrame]:
+def similar(sigs: DataFrame, threshold: float = THRESHOLD, coordinates: int = COORDINATES, broadcast_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
     """Of ``signed`` rows: (rid, root) for those whose signature more than one row has, root being the least of them, and
     (a, b, similarity) for rows of different signatures, in part through the least of a bucket: it is compared with all of its bucket, and
     whoever isn't similar to it with all of them too."""
@@ -256,12 +289,17 @@ def similar(sigs: DataFrame, threshold: float = THRESHOLD, coordinates: int = CO
     groups, _ = common.materialise(groups.select("h1", "h2", "n", F.col("first.rid").alias("root"), F.col("first.bands").alias("bands")), "near-groups")
     copies = sigs.select("rid", "h1", "h2").join(groups.where("n > 1").select("h1", "h2", "root"), ["h1", "h2"]).select("rid", "root")
     members = groups.select(F.col("root").alias("rid"), F.explode("bands").alias("band"))
-    bucket = Window.partitionBy("band")
-    met = members.withColumns({"a": F.min("rid").over(bucket), "n": F.count(F.lit(1)).over(bucket)}).where("n > 1").select("band", "a", F.col("rid").alias("b"))
+    least, _ = common.materialise(members.groupBy("band").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a"), "near-least")
+    met = members.join(common.sized(least, broadcast_bytes), "band").where("a <> rid").select("band", "a", F.col("rid").alias("b"))
     met, _ = common.materialise(met, "near-met")
-    first, _ = common.materialise(_compared(met.where("a <> b").select("a", "b").distinct(), sigs, threshold, coordinates), "near-first")
-    far = met.join(first.where("NOT near"), ["a", "b"]).select("band", F.col("b").alias("x"))
-    rest = far.join(met.where("a <> b").select("band", F.col("b").alias("y")), "band").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    first, _ = common.materialise(_compared(met.select("a", "b").distinct(), sigs, threshold, coordinates), "near-first")
+    # who of a bucket isn't similar to its least, and all others of such buckets
+    far = met.join(first.where("NOT near"), ["a", "b"]).select("band", F.col("b").alias("x"), F.col("similarity").alias("of_x"))
+    far, _ = common.materialise(far, "near-far")
+    others = met.join(far.select("band").distinct(), "band", "left_semi").join(first, ["a", "b"]).select("band", F.col("b").alias("y"), F.col("similarity").alias("of_y"))
+    # shares of unequal coordinates are a metric: x and y can't be similar if theirs to the least differ by more
+    close = F.abs(F.col("of_x") - F.col("of_y")) <= 1 - threshold + 1e-9
+    rest = far.join(others, "band").where((F.col("x") != F.col("y")) & close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = _compared(rest, sigs, threshold, coordinates)
     return copies, first.where("near").select("a", "b", "similarity").union(second.where("near").select("a", "b", "similarity"))
 
@@ -275,25 +313,20 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, coordinates: int =
     and wordless texts have no elements, are near to nothing and stay. An empty table gives an empty table.
     """
     sigs, _ = common.materialise(signed(docs, coordinates, bands, shingle), "near-signatures")
-    copies, pairs = similar(sigs, threshold, coordinates)
+    copies, pairs = similar(sigs, threshold, coordinates, broadcast_bytes)
     copies, _ = common.materialise(copies, "near-copies")
     roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     lost, _ = common.materialise(copies.where("rid <> root").select("rid").union(roots.select("v")).distinct(), "near-lost")
     again, _ = common.materialise(copies.groupBy("rid").count().where("count > 1").select("rid").join(lost, "rid", "left_anti"), "near-again")
     box = common.Boxed(docs)
     d = box.df.withColumn("rid", row_key(box["doc_id"], box["text"]))
-    kept = d.join(_sized(lost, broadcast_bytes), "rid", "left_anti")
+    kept = d.join(common.sized(lost, broadcast_bytes), "rid", "left_anti")
     if not again.isEmpty():
-        twice = _sized(again, broadcast_bytes)
+        twice = common.sized(again, broadcast_bytes)
         kept = kept.join(twice, "rid", "left_anti").union(kept.join(twice, "rid", "left_semi").dropDuplicates(["rid"]))
     return box.open(kept)
 
 
-def _sized(keys: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """Broadcast only if its measured size allows, at 40 bytes a key; else left to a shuffled join."""
-    return F.broadcast(keys) if keys.count() * 40 <= broadcast_bytes else keys.hint("merge")
-
-
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(common.documents(spark, sf_dir))
 

@@ -41,6 +41,14 @@ def test_exact_edges(spark):
     assert exact.exact_dedup(clash).columns == clash.columns and exact.exact_dedup(clash).count() == 8
 
 
+def test_exact_of_one_hot_text(spark):
+    """A text of 5,000 copies among others, long enough for three rounds, and groups that part in each of them."""
+    hot = "h" * 5000
+    d = spark.range(8000).selectExpr("id AS doc_id", f"CASE WHEN id < 5000 THEN '{hot}' WHEN id < 6000 THEN concat('{hot[:-4]}', lpad(id % 7, 4, '0')) WHEN id < 7000 THEN concat(lpad(id % 5, 300, 'x'), '{hot}') ELSE concat(repeat('y', 400), lpad(id % 3, 9, 'z')) END AS text")
+    for size in (0, 8 << 20):
+        assert ids(exact.exact_dedup(d, broadcast_bytes=size)) == [0, *range(5000, 5007), *range(6000, 6005), 7000, 7001, 7002]
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 20), st.one_of(st.none(), st.text("ab", max_size=4), st.sampled_from(["p" * 31, "p" * 32, "p" * 33, "p" * 290 + "a", "p" * 290 + "b", "é" * 144 + "x"]))), max_size=30))
 def test_exact_against_brute_force(spark, rows):
@@ -50,7 +58,11 @@ def test_exact_against_brute_force(spark, rows):
 
 
 def brute_elements(text, n=2):
-    words = "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split()
+    import unicodedata
+
+    spaced = "".join(f" {c} " if "\u4e00" <= c <= "\u9fff" or "\u0e00" <= c <= "\u0eff" and unicodedata.category(c)[0] in "LMN" else c if unicodedata.category(c)[0] in "LMN" else " " for c in text.lower())
+    words = spaced.split(" ")
+    words = [w for w in words if w]
     return Counter(zip(*[words[i:] for i in range(n)], strict=False)) if len(words) >= n else Counter([tuple(words)] if words else [])
 
 
@@ -60,7 +72,7 @@ def jaccard(a, b):
 
 
 def test_elements(spark):
-    texts = ["a b a b c", "", "one", "é-É x", None, "  !! ", "a b"]
+    texts = ["a b a b c", "", "one", "é-É x", None, "  !! ", "a b", "«mot» — l’été\u00a0fini", "漢字漢字。漢", "สวัสดีครับ x", "ⅷ 𝒳𝒳 e\u0301a", "漢", "🙂 🙂", "x漢y"]
     arr = pa.array([t.lower() if t else "" for t in texts])
     raw = b"".join((t or "").lower().encode() for t in texts)
     ends = np.cumsum([len((t or "").lower().encode()) for t in texts])
@@ -89,6 +101,29 @@ def test_signatures_estimate_weighted_jaccard():
         assert abs(np.mean(got) - true) < 0.05
 
 
+def test_near_of_unspaced_scripts_and_long_texts(spark):
+    rng = random.Random(4)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(840))
+    other = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(840))
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(300_000))
+    rows = [(1, han), (2, han[:-1] + "一"), (3, other), (4, "«" + " ".join(han[:300]) + "»"), (5, " ".join(han[:300])), (6, long), (7, long + " more")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert ids(near.near_dedup(d)) == [1, 3, 4, 6]
+
+
+def test_near_in_a_large_bucket(spark):
+    """Thousands of texts that share a passage and meet in the same buckets, three groups of near copies among them."""
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    passage = [word() for _ in range(45)]
+    rows = [(i, " ".join(passage + [word() for _ in range(55)])) for i in range(3000)]
+    for g, base in enumerate((100, 1500, 2900)):
+        text = rows[base][1].split(" ")
+        rows += [(10_000 + 10 * g + j, " ".join([*text[: 98 - j], *[word() for _ in range(2 + j)]])) for j in range(4)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert ids(near.near_dedup(d)) == [*range(3000)]
+
+
 def near_docs():
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(400)]
