@@ -120,12 +120,15 @@ def chat_format(turns: DataFrame) -> DataFrame:
     """(conv_id, cost, steps, rendered), one row for each conversation of ``turns`` (conv_id, turn, role, text).
 
     Turns go by number, null numbers first; those of equal number by role, then text, nulls first, so repeated rows
-    stay next to each other and each counts. A null role or one of another name is unknown; a null text is empty. Rows
-    of null conv_id are one conversation of their own. An empty table gives an empty table; further columns are ignored.
+    stay next to each other and each counts. A null role or one of another name is unknown; a null text is empty. Which
+    conversation a row of null conv_id belongs to isn't known, so each is one by itself. An empty table gives an empty
+    table; further columns are ignored.
     """
     common.small_batches(turns.sparkSession)
     d = common.pick(turns, "conv_id", "turn", "role", "text")
-    grouped = d.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turn = F.struct("turn", "role", "text")
+    grouped = d.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    grouped = grouped.union(d.where("conv_id IS NULL").select("conv_id", F.array(turn)))
     schema = T.StructType([d.schema["conv_id"], T.StructField("cost", T.IntegerType()), T.StructField("steps", T.StringType()), T.StructField("rendered", T.StringType())])
     return grouped.mapInArrow(_format, schema)
 

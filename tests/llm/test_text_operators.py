@@ -332,6 +332,10 @@ def test_chat_table(spark):
     assert got[1]["rendered"] == "<|user|>\nq<|end|>\n<|assistant|>\nhi < |user|><|end|>\n" and got[1]["cost"] == 0
     assert got[2]["steps"] == "keep:user,merge:user,keep:assistant" and "a\nb" in got[2]["rendered"]
     assert got[None]["cost"] == 7 and got[3]["cost"] in (3, 6)
+    nameless = chat.chat_format(spark.createDataFrame([(None, i % 2, "user", "same", i) for i in range(6)], "conv_id int, turn int, role string, text string, x int")).collect()
+    assert [(r["conv_id"], r["cost"], r["rendered"]) for r in nameless] == [(None, 4, "<|user|>\nsame<|end|>\n<|assistant|>\n<|end|>\n")] * 6
+    long = chat.chat_format(spark.createDataFrame([(1, i, "user" if i % 3 else "assistant", "" if i % 2 else "x" * 500) for i in range(6000)], "conv_id int, turn int, role string, text string")).collect()
+    assert len(long) == 1 and long[0]["rendered"].count("x" * 500) == 3000
     assert chat.chat_format(d.limit(0)).count() == 0 and chat.repair([]) == (0, [])
     assert chat.repair(["user", "assistant"] * 500)[0] == 0
 
