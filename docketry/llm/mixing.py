@@ -4,10 +4,12 @@ Each source's documents are put in a keyed random order; a document's virtual fi
 and with it, divided by the source's weight; all documents are sorted by finish time and cut where the tokens reach the
 budget. Sources that run dry leave their share to the others.
 
-Scale: a source may hold most of the corpus, so no window runs over a whole source. The random order is a hash, its
-leading digits are buckets of about ``bucket_rows`` rows; sums of buckets (a few numbers each) are accumulated, then
-rows within a bucket. The global cut works alike over buckets of finish time. Texts take no part: within a source the
-cut is a single place in its order, so the kept documents are a filter by one place a source.
+Scale: a source may hold most of the corpus, so no window runs over a whole source. The random order is a hash of id
+and text, its leading digits are buckets of about ``bucket_rows`` rows; sums of buckets (a few numbers each) are
+accumulated, then rows within a bucket. The global cut is found by dividing time: tokens are summed for 1,024 slots of
+finish time, then for 1,024 slots of the one in which the budget ends, and so on until it has few rows, however uneven
+the weights; each round is a partial sum over a narrow table. What is kept is a filter by the place that was found.
+Texts take no part: within a source the cut is a single place in its order.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ WEIGHTS = {"src1": 3, "src2": 2, "src3": 2}
 BUDGET_SHARE = 0.8
 
 
-def _order(doc_id: str, seed: int) -> F.Column:
-    """The keyed random order, as 16 hexadecimal digits."""
-    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 16)
+_SLOTS = 1024
+
+
+def _order(doc_id: str, tie: str, seed: int) -> F.Column:
+    """The keyed random order, as 16 hexadecimal digits: of id and text, so that rows of null or equal ids are spread."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.col(tie))), 1, 16)
 
 
 def _tie(text: str) -> F.Column:
@@ -46,11 +51,11 @@ def finish_times(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, seed:
     """(doc_id, source, tokens, key, place, tie, finish) for every row: its place in its source's random order and its
     virtual finish time.
 
-    A null source is a source of its own; unlisted ones weigh 1; a null or empty text has 0 tokens. Rows of equal or
-    null ids follow each other by digest of their text; rows equal in that too finish together. An empty table gives
-    an empty table; further columns are ignored.
+    A null source is a source of its own; unlisted ones weigh 1; tokens are white-space separated words, a null or
+    empty text has 0. Rows equal in id and text finish together. An empty table gives an empty table; further columns
+    are ignored.
     """
-    rows = common.pick(docs, "doc_id", "text", "source").select("doc_id", "source", common.word_count("text").alias("tokens"), _key("source").alias("key"), _order("doc_id", seed).alias("place"), _tie("text").alias("tie"))
+    rows = common.pick(docs, "doc_id", "text", "source").select("doc_id", "source", common.word_count("text").alias("tokens"), _key("source").alias("key"), _tie("text").alias("tie")).withColumn("place", _order("doc_id", "tie", seed))
     digits, n = 1, docs.count()
     while n / 16**digits > bucket_rows:
         digits += 1
@@ -65,20 +70,43 @@ def finish_times(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, seed:
     return rows.join(before, ["key", "bucket"]).withColumn("finish", served / weight).drop("bucket", "before")
 
 
+def _ending(timed: DataFrame, budget: int, bucket_rows: int) -> tuple[float, float, int] | None:
+    """(low, high, spent): the stretch of finish times, both ends included, in which the tokens pass the budget, and the
+    tokens before it; divided until it has ``bucket_rows`` rows with tokens or fewer, or a single time. None if they
+    never do."""
+    rows, all_tokens, low, high = timed.where("tokens > 0").agg(F.count(F.lit(1)), F.sum("tokens"), F.min("finish"), F.max("finish")).first()
+    if not rows or all_tokens <= budget:
+        return None
+    before = 0
+    while rows > bucket_rows and low < high:
+        slot = F.least(F.floor((F.col("finish") - low) / F.lit(high - low) * _SLOTS), F.lit(_SLOTS - 1)).alias("slot")
+        inside = timed.where((F.col("tokens") > 0) & F.col("finish").between(low, high))
+        sums = inside.groupBy(slot).agg(F.sum("tokens").alias("mine"), F.count(F.lit(1)).alias("n"), F.min("finish").alias("lo"), F.max("finish").alias("hi"))
+        for _, mine, n, lo, hi in sorted(sums.collect()):  # _SLOTS rows at most
+            if before + mine > budget:
+                break
+            before += mine
+        rows, low, high = n, lo, hi
+    return low, high, before
+
+
 def _mixed(docs: DataFrame, weights: Mapping[str, float], budget_share: float, seed: int, bucket_rows: int) -> DataFrame:
     timed, _ = common.materialise(finish_times(docs, weights, seed, bucket_rows), "finish")
-    n, total, last = timed.agg(F.count(F.lit(1)), F.sum("tokens"), F.max("finish")).first()
-    if not total or budget_share >= 1:
+    total = timed.agg(F.sum("tokens")).first()[0]
+    budget = int(budget_share * total) if total else 0
+    ending = _ending(timed, budget, bucket_rows) if total and budget_share < 1 else None
+    if ending is None:
         return timed
-    budget = int(budget_share * total)
-    steps = 16 * (n // bucket_rows + 1)
-    slot = F.floor(F.col("finish") / F.lit(last) * steps)
-    # a few sums for each slot of time, whatever the corpus; the slot in which the budget ends is the one to sort
-    spent = F.sum("mine").over(Window.orderBy("slot").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    slots = timed.groupBy(slot.alias("slot")).agg(F.sum("tokens").alias("mine")).withColumn("spent", spent)
-    at, before = slots.where(F.col("spent") > budget).agg(F.min(F.struct("slot", F.col("spent") - F.col("mine")))).first()[0]
-    inside = timed.where(slot == at).withColumn("spent", F.sum("tokens").over(Window.partitionBy(F.lit(0)).orderBy("finish", "key", "place", "tie").rangeBetween(Window.unboundedPreceding, Window.currentRow)) + F.lit(before))
-    return timed.where(slot < at).union(inside.where(F.col("spent") <= budget).drop("spent"))
+    low, high, before = ending
+    order = ("finish", "key", "place", "tie")
+    some = timed.where((F.col("tokens") > 0) & F.col("finish").between(low, high)).select(*order, "tokens")
+    spent = F.sum("tokens").over(Window.partitionBy(F.lit(0)).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)) + F.lit(before)
+    # the first place at which the budget is passed; what comes before it stays, without tokens too
+    cut = some.withColumn("spent", spent).where(F.col("spent") > budget).agg(F.min(F.struct(*order)).alias("cut")).first()["cut"]
+    here = F.lit(False)
+    for c in reversed(order):
+        here = (F.col(c) < cut[c]) | ((F.col(c) == cut[c]) & here)
+    return timed.where(here)
 
 
 def mix_order(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, budget_share: float = BUDGET_SHARE, seed: int = 7, bucket_rows: int = 50_000) -> DataFrame:
@@ -97,8 +125,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, budget_share: f
         last = F.broadcast(last)
     box = common.Boxed(docs)
     d = box.df.withColumn("key", _key(box["source"]))
-    here = F.struct(_order(box["doc_id"], seed).alias("place"), _tie(box["text"]).alias("tie"))
-    return box.open(d.join(last, "key").where(here <= F.col("last")))
+    d = d.withColumn("tie", _tie(box["text"])).withColumn("place", _order(box["doc_id"], "tie", seed))
+    return box.open(d.join(last, "key").where(F.struct("place", "tie") <= F.col("last")))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +138,7 @@ _CASES = " ".join(f"WHEN source = '{k}' THEN {float(v)}" for k, v in WEIGHTS.ite
 ORACLE = {
     "op9_mixing": f"""
 WITH r AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')), 0)::BIGINT AS tokens,
-    coalesce('=' || source, '') AS key, substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 16) AS place,
+    coalesce('=' || source, '') AS key, substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')), 1, 16) AS place,
     coalesce(md5(text), '') AS tie FROM documents),
 f AS (SELECT *, (sum(tokens) OVER (PARTITION BY key ORDER BY place, tie))::DOUBLE
     / CAST(CASE {_CASES} ELSE 1.0 END AS DOUBLE) AS finish FROM r),

@@ -47,6 +47,15 @@ def test_mix(spark):
     g = {r["source"]: r["count"] for r in mixing.mix(long, {"src1": 3}, 0.4).groupBy("source").count().collect()}
     assert 2.9 < g["src1"] / g["src0"] < 3.1
     assert mixing.mix(d.limit(0)).count() == 0 and mixing.mix_order(d.limit(0)).count() == 0
+    # one weight of a ten-thousandth, so nearly all finish within the first part of all times, and rows of no id
+    skew = spark.createDataFrame([(None, f"w{i} " * (1 + i % 5), "en", f"src{i % 2}", 0) for i in range(3000)] + [(1, "", "en", "src0", 0)] * 40, DOCS)
+    for share in (0.3, 0.62, 0.97):
+        order = mixing.mix_order(skew, {"src1": 0.0001}, share, bucket_rows=20).collect()
+        everything = mixing.mix_order(skew, {"src1": 0.0001}, 1.0, bucket_rows=10**6).collect()
+        budget, n = int(share * sum(r["tokens"] for r in everything)), 0
+        while sum(r["tokens"] for r in everything[: n + 1]) <= budget:
+            n += 1
+        assert sorted(map(str, order)) == sorted(map(str, everything[:n]))
     clash = d.selectExpr("*", "1 AS key", "2 AS PLACE", "3 AS tie", "4 AS last", "5 AS bucket")
     assert mixing.mix(clash).columns == clash.columns
     with pytest.raises(ValueError, match="weight"):
@@ -55,8 +64,9 @@ def test_mix(spark):
 
 def test_pack(spark):
     d = small(spark).union(spark.createDataFrame([(200, "w " * 45, "en", "s", 0), (201, "w " * 20, "en", "s", 0)], DOCS)).selectExpr("*", "1 AS piece", "2 AS SHARD", "3 AS bin")
-    for shard_rows in (10, 10**6):
-        rows = packing.pack(d, 10, shard_rows).collect()
+    for shards in (1, 5, 32):
+        rows = packing.pack(d, 10, shards).collect()
+        assert {r["shard"] for r in rows} <= set(range(shards))
         bins = {}
         for r in rows:
             if r["bin"] is not None:
@@ -71,6 +81,8 @@ def test_pack(spark):
     assert packing.pack(d.limit(0)).count() == 0
     with pytest.raises(ValueError, match="capacity"):
         packing.pack(d, 0)
+    nameless = spark.createDataFrame([(None, f"text {i}", "en", "s", 0) for i in range(200)], DOCS)
+    assert len({r["shard"] for r in packing.pack(nameless, 10, 8).collect()}) == 8
 
 
 def brute_pipeline(spark):
@@ -104,7 +116,8 @@ def brute_pipeline(spark):
     docs = [d for i, d in enumerate(docs) if find(i) == i]
     order, served = [], {}
     size = lambda d: len(d["text"].split())
-    for d in sorted(docs, key=lambda d: hashlib.md5(f"7:{d['doc_id']}".encode()).hexdigest()[:16]):
+    digest = lambda d: hashlib.md5(d["text"].encode()).hexdigest()
+    for d in sorted(docs, key=lambda d: hashlib.md5(f"7:{d['doc_id']}:{digest(d)}".encode()).hexdigest()[:16]):
         served[d["source"]] = served.get(d["source"], 0) + size(d)
         order.append((served[d["source"]] / mixing.WEIGHTS.get(d["source"], 1), d["source"], d["doc_id"], d))
     budget, kept = int(mixing.BUDGET_SHARE * sum(map(size, docs))), []
@@ -119,20 +132,21 @@ def brute_pipeline(spark):
         while True:
             length = min(packing.CAPACITY, n - start)
             k = packing.CAPACITY // length
-            out.append((d["doc_id"], start // packing.CAPACITY, length, k))
+            shard = int(hashlib.md5(f"{d['doc_id']}:{digest(d)}".encode()).hexdigest()[:8], 16) % packing.SHARDS
+            out.append((d["doc_id"], start // packing.CAPACITY, length, shard, k))
             start += length
             if start >= n:
                 break
-    for i, (_, _, _, k) in enumerate(out):
-        at = place[k] = place.get(k, -1) + 1
+    for i, (_, _, _, shard, k) in enumerate(out):
+        at = place[shard, k] = place.get((shard, k), -1) + 1
         out[i] = (*out[i], at // k, at % k)
     return sorted(out)
 
 
 def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SF).collect()
-    assert sorted((r["doc_id"], r["piece"], r["length"], r["fill_class"], r["bin"], r["slot"]) for r in got) == brute_pipeline(spark)
-    assert all(r["shard"] == 0 for r in got)
+    assert sorted((r["doc_id"], r["piece"], r["length"], r["shard"], r["fill_class"], r["bin"], r["slot"]) for r in got) == brute_pipeline(spark)
+    assert len({r["shard"] for r in got}) > 1
 
 
 def test_stages(spark):
