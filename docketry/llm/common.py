@@ -96,6 +96,8 @@ def register(spark: SparkSession, path: str) -> str:
     """Makes ``path`` a scratch table: it goes with ``drop``, with the ``scratch`` around it, or at exit."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     _scratch[path] = at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+    if _inner:
+        _inner[-1].add(path)
     return path
 
 
@@ -106,14 +108,18 @@ def drop(*paths: str) -> None:
         files.delete(at, True)
 
 
+_inner: list[set[str]] = []
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Removes the tables that were materialised within, once what reads them is written."""
-    before = set(_scratch)
+    """Removes the tables that were materialised within, once what reads them is written; those of ``keep`` stay for
+    the one around it."""
+    _inner.append(set())
     try:
         yield
     finally:
-        drop(*(set(_scratch) - before))
+        drop(*(_inner.pop() & set(_scratch)))
 
 
 @atexit.register
@@ -142,6 +148,16 @@ def sized(keys: DataFrame, most_bytes: int) -> DataFrame:
     return F.broadcast(keys) if size <= most_bytes else keys.hint("merge")
 
 
+def keep(df: DataFrame, what: str) -> DataFrame:
+    """``materialise`` for what a ``scratch`` returns: the table outlives it."""
+    table, path = materialise(df, what)
+    if _inner:
+        _inner[-1].discard(path)
+    if len(_inner) > 1:
+        _inner[-2].add(path)
+    return table
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

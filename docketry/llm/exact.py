@@ -47,7 +47,7 @@ def exact_dedup(docs: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
     first = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("rid").alias("rid"))
     alive, path = meet.select("rid", F.lit(0).cast("bigint").alias("gid"), "len", first.alias("first"), F.col(text).alias("text")), None
     at, width, by, kept = 0, FIRST * (GROWTH + 1), ["len", "gid", "digit"], []
-    while True:
+    while True:  # a round for each digit
         keyed = alive.select("rid", "gid", "len", "first", _digit("text", at, width).alias("digit"))
         groups = keyed.groupBy(*by).agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n")).select(*by, "n", F.col("least.rid").alias("new"))
         done = (F.col("n") == 1) | (F.col("len") <= at + width)
@@ -56,6 +56,8 @@ def exact_dedup(docs: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
         kept.append(split.where("done").select("rid"))
         live, old = split.where("NOT done").select("rid", "gid"), path
         if live.isEmpty():
+            if old:
+                common.drop(old)
             break
         alive, path = common.materialise(alive.drop("gid").join(common.sized(live, broadcast_bytes), "rid"), "exact-alive")
         if old:

@@ -212,19 +212,18 @@ def signatures(texts: pa.StringArray, k: int, shingle: int) -> np.ndarray:
 
 
 def _sign(k: int, bands: int, shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # the coordinates of a band side by side
+    order = np.arange(k).reshape(k // bands, bands).T.ravel()
     for batch in batches:
         full = signatures(batch.column("text").cast(pa.string()), k, shingle)
         at = np.flatnonzero(full.any(axis=1))
         full = full[at].astype(_U)
-        rows, whole = np.zeros((len(at), bands), _U), np.zeros((len(at), 2), _U)
-        for c in range(k // bands):
-            rows = mix64(rows * _U(3) + full[:, c :: k // bands] + np.arange(bands, dtype=_U)[None, :] * _U(0x9E3779B97F4A7C15))
+        whole = np.zeros((len(at), 2), _U)
         for c in range(k):
             whole = mix64(whole * _U(5) + full[:, c : c + 1] + np.array([[1, 2]], _U))
-        short = (full & _U(0xFFFF)).astype(np.uint16)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands), pa.array(rows.view(np.int64).ravel()))
-        columns = [batch.column("rid").take(pa.array(at)), pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), pa.array([x.tobytes() for x in short], pa.binary()), lists]
-        yield pa.RecordBatch.from_arrays(columns, ["rid", "h1", "h2", "sig", "bands"])
+        short = (full[:, order] & _U(0xFFFF)).astype(np.uint16)
+        columns = [batch.column("rid").take(pa.array(at)), pa.array(whole[:, 0].view(np.int64)), pa.array(whole[:, 1].view(np.int64)), pa.array([x.tobytes() for x in short], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["rid", "h1", "h2", "sig"])
 
 
 def _compare(threshold: float, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,11 +233,11 @@ def _compare(threshold: float, k: int, batches: Iterator[pa.RecordBatch]) -> Ite
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share), pa.array(share >= threshold)], ["a", "b", "similarity", "near"])
 
 
-def _compared(pairs: DataFrame, sigs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(a, b, similarity, near) for pairs (a, b) of rows: the share of coordinates in which their signatures agree."""
-    both = pairs.join(sigs.select(F.col("rid").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rid").alias("b"), F.col("sig").alias("sb")), "b")
-    schema = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("similarity", T.DoubleType()), T.StructField("near", T.BooleanType())])
-    return both.select("a", "b", "sa", "sb").mapInArrow(partial(_compare, threshold, k), schema)
+def _compared(pairs: DataFrame, groups: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b, similarity, near) for pairs (a, b) of groups: the share of coordinates in which their signatures agree."""
+    side = lambda c: groups.select(F.col("gid").alias(c), F.col("sig").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(partial(_compare, threshold, k), "a bigint, b bigint, similarity double, near boolean")
 
 
 def row_key(doc_id: str, text: str) -> F.Column:
@@ -247,17 +246,23 @@ def row_key(doc_id: str, text: str) -> F.Column:
 
 
 def signed(docs: DataFrame, coordinates: int = COORDINATES, bands: int = BANDS, shingle: int = SHINGLE) -> DataFrame:
-    """(rid, h1, h2, sig, bands) of every row of ``docs`` that has a word: its key, two hashes of the whole signature,
-    the signature and the hash of each band."""
+    """(rid, h1, h2, sig) of every row of ``docs`` that has a word: its key, two hashes of the whole signature, and the
+    signature, 16 bits a coordinate, band by band."""
     if coordinates % bands:
         raise ValueError("bands must divide coordinates")
     common.small_batches(docs.sparkSession)
     d = common.pick(docs, "doc_id", "text").select(row_key("doc_id", "text").alias("rid"), F.lower("text").alias("text")).where("text IS NOT NULL")
-    whole, bits = T.LongType(), T.ArrayType(T.LongType())
-    schema = T.StructType([d.schema["rid"], T.StructField("h1", whole), T.StructField("h2", whole), T.StructField("sig", T.BinaryType()), T.StructField("bands", bits)])
+    whole = T.LongType()
+    schema = T.StructType([d.schema["rid"], T.StructField("h1", whole), T.StructField("h2", whole), T.StructField("sig", T.BinaryType())])
     return d.mapInArrow(partial(_sign, coordinates, bands, shingle), schema)
 
 
+def grouped(sigs: DataFrame) -> DataFrame:
+    """(gid, h1, h2, n, root, sig): one row a signature, with a number, how many rows have it and the least of them."""
+    groups = sigs.groupBy("h1", "h2").agg(F.min(F.struct("rid", "sig")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return common.materialise(groups.select(F.monotonically_increasing_id().alias("gid"), "h1", "h2", "n", F.col("first.rid").alias("root"), F.col("first.sig").alias("sig")), "near-groups")[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every node of ``edges`` (u, v) but the roots: the least node of its connected component.
 
@@ -281,18 +286,17 @@ def components(edges: DataFrame) -> DataFrame:
         now, path, seen = table, new, state
 
 
-def similar(sigs: DataFrame, threshold: float = THRESHOLD, coordinates: int = COORDINATES, broadcast_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
-    """Of ``signed`` rows: (rid, root) for those whose signature more than one row has, root being the least of them, and
-    (a, b, similarity) for rows of different signatures, in part through the least of a bucket: it is compared with all of its bucket, and
-    whoever isn't similar to it with all of them too."""
-    groups = sigs.groupBy("h1", "h2").agg(F.min(F.struct("rid", "bands")).alias("first"), F.count(F.lit(1)).alias("n"))
-    groups, _ = common.materialise(groups.select("h1", "h2", "n", F.col("first.rid").alias("root"), F.col("first.bands").alias("bands")), "near-groups")
-    copies = sigs.select("rid", "h1", "h2").join(groups.where("n > 1").select("h1", "h2", "root"), ["h1", "h2"]).select("rid", "root")
-    members = groups.select(F.col("root").alias("rid"), F.explode("bands").alias("band"))
-    least, _ = common.materialise(members.groupBy("band").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a"), "near-least")
-    met = members.join(common.sized(least, broadcast_bytes), "band").where("a <> rid").select("band", "a", F.col("rid").alias("b"))
+def similar(groups: DataFrame, threshold: float = THRESHOLD, coordinates: int = COORDINATES, bands: int = BANDS) -> DataFrame:
+    """(a, b, similarity) for numbers of ``grouped`` rows, in part through the least of a bucket: it is compared with
+    all of its bucket, and whoever isn't similar to it with all of them too. Reads tables that it writes to the shared
+    folder; they are scratch."""
+    width = 2 * (coordinates // bands)
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
+    members = groups.select("gid", F.explode(band).alias("band"))
+    least = members.groupBy("band").agg(F.min("gid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
+    met = members.join(least.hint("merge"), "band").where("a <> gid").select("band", "a", F.col("gid").alias("b"))
     met, _ = common.materialise(met, "near-met")
-    first, _ = common.materialise(_compared(met.select("a", "b").distinct(), sigs, threshold, coordinates), "near-first")
+    first, _ = common.materialise(_compared(met.select("a", "b").distinct(), groups, threshold, coordinates), "near-first")
     # who of a bucket isn't similar to its least, and all others of such buckets
     far = met.join(first.where("NOT near"), ["a", "b"]).select("band", F.col("b").alias("x"), F.col("similarity").alias("of_x"))
     far, _ = common.materialise(far, "near-far")
@@ -300,8 +304,8 @@ def similar(sigs: DataFrame, threshold: float = THRESHOLD, coordinates: int = CO
     # shares of unequal coordinates are a metric: x and y can't be similar if theirs to the least differ by more
     close = F.abs(F.col("of_x") - F.col("of_y")) <= 1 - threshold + 1e-9
     rest = far.join(others, "band").where((F.col("x") != F.col("y")) & close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = _compared(rest, sigs, threshold, coordinates)
-    return copies, first.where("near").select("a", "b", "similarity").union(second.where("near").select("a", "b", "similarity"))
+    second = _compared(rest, groups, threshold, coordinates)
+    return first.where("near").select("a", "b", "similarity").union(second.where("near").select("a", "b", "similarity"))
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, coordinates: int = COORDINATES, bands: int = BANDS, shingle: int = SHINGLE, broadcast_bytes: int = 8 << 20) -> DataFrame:
@@ -312,12 +316,19 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, coordinates: int =
     groups are connected components. Rows equal in id and text are one document, of which one row stays. Null, empty
     and wordless texts have no elements, are near to nothing and stay. An empty table gives an empty table.
     """
-    sigs, _ = common.materialise(signed(docs, coordinates, bands, shingle), "near-signatures")
-    copies, pairs = similar(sigs, threshold, coordinates, broadcast_bytes)
-    copies, _ = common.materialise(copies, "near-copies")
-    roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    lost, _ = common.materialise(copies.where("rid <> root").select("rid").union(roots.select("v")).distinct(), "near-lost")
-    again, _ = common.materialise(copies.groupBy("rid").count().where("count > 1").select("rid").join(lost, "rid", "left_anti"), "near-again")
+    with common.scratch():
+        sigs, _ = common.materialise(signed(docs, coordinates, bands, shingle), "near-signatures")
+        groups = grouped(sigs)
+        with common.scratch():
+            roots = components(similar(groups, threshold, coordinates, bands).select(F.col("a").alias("u"), F.col("b").alias("v")))
+            # the least document of each component, among the least of each signature in it
+            inside = roots.union(roots.select(F.col("root").alias("v"), "root").distinct())
+            inside = inside.join(groups.select(F.col("gid").alias("v"), F.col("root").alias("rid")), "v").select("root", "rid")
+            stays = inside.groupBy("root").agg(F.min("rid").alias("rid"))
+            worse = common.keep(inside.join(stays, ["root", "rid"], "left_anti").select("rid"), "near-worse")
+        copies, _ = common.materialise(sigs.select("rid", "h1", "h2").join(groups.where("n > 1").select("h1", "h2", "root"), ["h1", "h2"]).select("rid", "root"), "near-copies")
+        lost = common.keep(copies.where("rid <> root").select("rid").union(worse).distinct(), "near-lost")
+        again = common.keep(copies.groupBy("rid").count().where("count > 1").select("rid").join(lost, "rid", "left_anti"), "near-again")
     box = common.Boxed(docs)
     d = box.df.withColumn("rid", row_key(box["doc_id"], box["text"]))
     kept = d.join(common.sized(lost, broadcast_bytes), "rid", "left_anti")

@@ -149,9 +149,26 @@ def test_near_against_brute_force(spark):
     pairs = [(a, b) for a, b in itertools.combinations(range(len(docs)), 2) if jaccard(bags[a], bags[b]) >= near.THRESHOLD + 0.1]
     caught = sum(not (a in kept and b in kept) for a, b in pairs)
     assert len(pairs) > 30 and caught >= 0.9 * len(pairs)
-    copies, found = near.similar(near.signed(d).cache())
-    far = [(r["a"]["id"], r["b"]["id"]) for r in found.collect() if jaccard(bags[r["a"]["id"]], bags[r["b"]["id"]]) < near.THRESHOLD - 0.2]
-    assert not far and all(bags[r['rid']['id']] == bags[r['root']['id']] for r in copies.collect())
+    with common.scratch():
+        groups = near.grouped(near.signed(d))
+        at = {r["gid"]: r["root"]["id"] for r in groups.collect()}
+        found = [(at[r["a"]], at[r["b"]]) for r in near.similar(groups).collect()]
+    assert not [(a, b) for a, b in found if jaccard(bags[a], bags[b]) < near.THRESHOLD - 0.2]
+    # all pairs of equal bags have equal signatures, and pairs are those of comparing everyone who shares a band
+    sigs = {r["rid"]["id"]: np.frombuffer(r["sig"], np.uint16) for r in near.signed(d).collect()}
+    assert all((sigs[a] == sigs[b]).all() == (bags[a] == bags[b]) for a, b in itertools.combinations(sigs, 2))
+    parent = {i: i for i in sigs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sigs), 2):
+        if (sigs[a].reshape(near.BANDS, -1) == sigs[b].reshape(near.BANDS, -1)).all(axis=1).any() and (sigs[a] == sigs[b]).mean() >= near.THRESHOLD:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    assert kept == {i for i in sigs if find(i) == i}
 
 
 def test_near_edges(spark):
