@@ -5,7 +5,9 @@ social security numbers, dialling shape for telephone numbers), calendar dates,
 credentials are replaced by a keyed permutation of the set of all values of the same format. The permutation is an
 alternating Feistel network over the exact domain, cycle-walked where the domain isn't a product, so equal values get
 equal pseudonyms in every document and two values never share one. Check digits are computed anew; separators, letter
-case and field widths stay. Digits that fail the check are left as they are.
+case, field widths, country codes and top-level domains stay. Digits that fail the check are left as they are. Nothing
+is too long to be replaced. Who has the key can undo the permutation, so it is no part of the code: the production query
+takes it from the session's setting ``spark.docketry.pii.key``; where that is unset, a random one serves the session.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import secrets
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from math import isqrt
@@ -118,12 +122,16 @@ def ssn(s: str, key: bytes) -> str | None:
     return _refill(s, new)
 
 
+#: Country codes of two digits; those that begin with 1 or 7 have one, all others three.
+_TWO = {*"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
 def phone(s: str, key: bytes) -> str | None:
-    """8 to 15 digits; the first digit of an international number stays."""
+    """8 to 15 digits; the country code of an international number stays."""
     d = re.sub(r"\D", "", s)
     if not 8 <= len(d) <= 15:
         return None
-    keep = 1 if s.lstrip("(").startswith("+") else 0
+    keep = 0 if not s.lstrip("(").startswith("+") else 1 if d[0] in "17" else 2 if d[:2] in _TWO else 3
     rest = d[keep:]
     return _refill(s, d[:keep] + f"{feistel(int(rest), 10 ** len(rest), key, f'phone{d[:keep]}.{len(rest)}'):0{len(rest)}d}")
 
@@ -170,6 +178,21 @@ _FEW = 256
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+@lru_cache(4096)
+def _alphabet(block: int, category: str) -> str:
+    """The letters or digits of one category among 256 code points, without those of ASCII."""
+    return "".join(c for c in map(chr, range(max(128, block << 8), (block + 1) << 8)) if unicodedata.category(c) == category)
+
+
+def _class(c: str) -> tuple[str, str]:
+    """The signs that may stand for this one, and a name for them; itself if it is no letter or digit."""
+    if c.isascii():
+        i = next((i for i, x in enumerate(_ALPHABETS) if c in x), None)
+        return ("", c) if i is None else (_ALPHABETS[i], str(i))
+    kind = unicodedata.category(c)
+    return (_alphabet(ord(c) >> 8, kind), f"<{ord(c) >> 8}{kind}>") if kind in ("Ll", "Lu", "Lt", "Lm", "Lo", "Nd") else ("", c)
+
+
 def _join(digits: list[int], sizes: list[int]) -> tuple[int, int, list]:
     """The number of mixed radix, the size of its domain and the halves that it was made of; by halves, so that long
     values take no quadratic time."""
@@ -197,9 +220,9 @@ def _split(x: int, parts: list) -> list[int]:
 
 
 def _letters(s: str, key: bytes, kind: str) -> str:
-    """Every ASCII letter and digit within its own class, as one number of mixed radix; others stay."""
-    sets = [next((x for x in _ALPHABETS if c in x), "") for c in s]
-    shape = "".join(str(_ALPHABETS.index(x_set)) if x_set else c for c, x_set in zip(s, sets, strict=True))
+    """Every letter and digit within its own class (of its alphabet and case), as one number of mixed radix; others stay."""
+    classes = [_class(c) for c in s]
+    sets, shape = [x for x, _ in classes], "".join(name for _, name in classes)
     x, n, parts = _join([x_set.index(c) for c, x_set in zip(s, sets, strict=True) if x_set], [len(x_set) for x_set in sets if x_set])
     new = iter(_split(feistel(x, n, key, kind + shape), parts))
     return "".join(x_set[next(new)] if x_set else c for c, x_set in zip(s, sets, strict=True))
@@ -223,8 +246,8 @@ def secret(s: str, key: bytes) -> str | None:
 
 #: In this order: a later kind doesn't look inside what an earlier one replaced.
 KINDS: tuple[tuple[str, str, str, Callable[[str, bytes], str | None]], ...] = (
-    ("email", "@", r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])", email),
-    ("secret", "=:", r"(?i:(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key))[\"']?\s{0,3}[:=]\s{0,3}[\"']?()([A-Za-z0-9/+_-]{16,})(?![A-Za-z0-9/+_-])", secret),
+    ("email", "@", r"(?<![\w.%+-])[\w.%+-]+@(?:[\w-]+\.)+[^\W\d_]{2,}", email),
+    ("secret", "=:", r"(?i:(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key))[\"']?\s*[:=]\s*[\"']?()([A-Za-z0-9/+_-]{16,})", secret),
     ("iban", "", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", iban),
     ("ipv4", ".", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\w)", ipv4),
     ("date", "", r"(?<![\w./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?:(?=[Tt]\d\d)|(?![\w/-]|\.\d))", date),
@@ -288,20 +311,32 @@ def _batches(key: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, maps], ["doc_id", "text", "pii_found"])
 
 
-def pseudonyms(docs: DataFrame, key: bytes = b"docketry pseudonyms") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, pii_found) for every row of ``docs``, which needs doc_id and text; one narrow stage, no shuffle.
+    Values stay linked wherever the same key of 1 to 64 bytes is used.
 
     Null text gives null text and an empty map; empty text stays empty; repeated rows are each transformed alike; an
     empty table gives an empty table; further columns are ignored. Whole texts are searched, however long.
     """
+    if not 1 <= len(key) <= 64:
+        raise ValueError("the key must have 1 to 64 bytes")
     common.small_batches(docs.sparkSession)
     d = common.pick(docs, "doc_id", "text")
     schema = T.StructType([d.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("pii_found", T.MapType(T.StringType(), T.IntegerType()))])
     return d.mapInArrow(partial(_batches, key), schema)
 
 
+_SESSION_KEY = secrets.token_bytes(32)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """A digest of the setting ``spark.docketry.pii.key``, or this process's random key where it is unset."""
+    named = spark.conf.get("spark.docketry.pii.key", None) or spark.sparkContext.getConf().get("spark.docketry.pii.key", None)
+    return hashlib.blake2b(named.encode(), digest_size=32).digest() if named else _SESSION_KEY
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms(common.documents(spark, sf_dir))
+    return pseudonyms(common.documents(spark, sf_dir), session_key(spark))
 
 
 QUERIES = {"op1_pii": op1_pii}
