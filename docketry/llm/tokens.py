@@ -9,7 +9,8 @@ space is the one place where a prefix is cut otherwise than the text: a run of i
 Stored for each document: its count, and the change of the count at every code point, one signed byte each, or more by
 escape; their running sum is the exact count of every prefix. Truncation and budgets are answered from these alone.
 
-Scale: one narrow stage over Arrow batches, no shuffle; a worker keeps the changes of pieces that it has met.
+Scale: one narrow stage over Arrow batches, no shuffle; a worker keeps the changes of short pieces that it has met, in
+two generations, so that those in use stay when the oldest go.
 """
 
 from __future__ import annotations
@@ -64,7 +65,8 @@ def units(text: str) -> list[str]:
     return _unit(0x10FFFF if _ASTRAL.search(text) else 0xFFFF).findall(text)
 
 
-_KNOWN = 400_000
+#: Pieces of a generation, and the longest that are kept: together they bound a worker's memory.
+_KNOWN, _SHORT = 200_000, 32
 
 
 class Encoding:
@@ -147,17 +149,37 @@ class Encoding:
         return count
 
 
-_encodings: dict[str, tuple[Encoding, dict[str, bytes]]] = {}
+class Met(dict):
+    """Changes of units by unit: a missing one is taken from the generation before, or computed."""
+
+    def __init__(self, e: Encoding) -> None:
+        self.e, self.before = e, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(unit) > _SHORT:
+            return _unit_changes(self.e, unit)
+        got = self.before.get(unit)
+        if got is None:
+            got = _unit_changes(self.e, unit)
+        if len(self) >= _KNOWN:
+            self.before = dict(self)
+            self.clear()
+        self[unit] = got
+        return got
+
+
+_encodings: dict[str, tuple[Encoding, Met]] = {}
 
 
 def encoding(path: str) -> Encoding:
     return _loaded(path)[0]
 
 
-def _loaded(path: str) -> tuple[Encoding, dict[str, bytes]]:
+def _loaded(path: str) -> tuple[Encoding, Met]:
     if path not in _encodings:
         with open(path, "rb") as f:
-            _encodings[path] = Encoding({base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}), {}
+            e = Encoding({base64.b64decode(a): int(b) for a, b in (line.split() for line in f)})
+        _encodings[path] = e, Met(e)
     return _encodings[path]
 
 
@@ -213,17 +235,7 @@ def _unit_changes(e: Encoding, unit: str) -> bytes:
 
 def changes(path: str, text: str) -> bytes:
     """The change of the token count at every code point of ``text``, packed."""
-    e, known = _loaded(path)
-    if len(known) > _KNOWN:
-        known.clear()
-    cut = units(text)
-    try:
-        return b"".join([known[u] for u in cut])
-    except KeyError:
-        for u in cut:
-            if u not in known:
-                known[u] = _unit_changes(e, u)
-        return b"".join([known[u] for u in cut])
+    return b"".join(map(_loaded(path)[1].__getitem__, units(text)))
 
 
 def longest_within(counts: np.ndarray, budget: int) -> int:
@@ -249,6 +261,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str | None = None, budgets: t
     ``fits_b`` is the length in code points of the longest prefix of at most b tokens; ``prefix_changes`` holds the
     exact count of every prefix (see ``prefix_counts``). A null text has nulls; an empty one has 0 tokens and no
     changes. Repeated rows each give a row; an empty table gives an empty table; further columns are ignored.
+    ``vocabulary_path`` names the ranks of a byte-level BPE that cuts texts by PATTERN, as both of the public ones do.
     """
     common.small_batches(docs.sparkSession)
     d = common.pick(docs, "doc_id", "text")
