@@ -31,6 +31,9 @@ STOP_WORDS = (
     "el los las y es en por con para una su no se al lo como más"
 ).split()
 
+#: Words from which a text in one of the languages of STOP_WORDS has some of them: the stop words of shorter texts are
+#: an unknown measure for the rule that asks for a least share.
+LONG = 50
 #: The production table.
 RULES = (
     Rule("too_short", "n_words", 3, None),
@@ -38,6 +41,7 @@ RULES = (
     Rule("word_length", "mean_word_length", 1.5, 16),
     Rule("symbols", "symbol_ratio", None, 0.2),
     Rule("stop_words", "stop_word_ratio", None, 0.9),
+    Rule("no_stop_words", "long_stop_word_ratio", 0.02, None),
     Rule("repeated_words", "repeat_ratio", None, 0.2),
     Rule("repeated_lines", "duplicate_line_ratio", None, 0.5),
     Rule("bullet_lines", "bullet_line_ratio", None, 0.9),
@@ -60,6 +64,7 @@ def measures(text: Column) -> list[tuple[str, Column]]:
         ("mean_word_length", per(F.col("_letters"), n)),
         ("symbol_ratio", per(F.col("_symbols"), n)),
         ("stop_word_ratio", per(F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))), n)),
+        ("long_stop_word_ratio", F.when(n >= LONG, F.col("stop_word_ratio"))),
         ("repeat_ratio", per(F.size(F.filter(F.zip_with(F.slice(w, 2, F.greatest(n - 1, F.lit(0))), F.slice(w, 1, F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda x: x)), n)),
         ("duplicate_line_ratio", per(m - F.size(F.array_distinct(lines)), m)),
         ("bullet_line_ratio", per(F.size(F.filter(lines, lambda x: F.ltrim(x).rlike("^[-*•]"))), m)),
@@ -67,7 +72,7 @@ def measures(text: Column) -> list[tuple[str, Column]]:
     ]
 
 
-MEASURES = ("n_words", "mean_word_length", "symbol_ratio", "stop_word_ratio", "repeat_ratio", "duplicate_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio")
+MEASURES = ("n_words", "mean_word_length", "symbol_ratio", "stop_word_ratio", "long_stop_word_ratio", "repeat_ratio", "duplicate_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio")
 
 
 def quality(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -113,6 +118,7 @@ c AS (SELECT doc_id, n_words,
     CASE WHEN n > 0 THEN round(letters / n, 6) WHEN known THEN 0 END AS mean_word_length,
     CASE WHEN n > 0 THEN round(symbols / n, 6) WHEN known THEN 0 END AS symbol_ratio,
     CASE WHEN n > 0 THEN round(len(list_filter(w, lambda x: x IN ({stop}))) / n, 6) WHEN known THEN 0 END AS stop_word_ratio,
+    CASE WHEN n >= {LONG} THEN round(len(list_filter(w, lambda x: x IN ({stop}))) / n, 6) END AS long_stop_word_ratio,
     CASE WHEN n > 0 THEN round(len(list_filter(list_zip(w[2:], w[:-2]), lambda x: x[1] = x[2])) / n, 6) WHEN known THEN 0 END AS repeat_ratio,
     CASE WHEN m > 0 THEN round((m - len(list_distinct(l))) / m, 6) WHEN known THEN 0 END AS duplicate_line_ratio,
     CASE WHEN m > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(ltrim(x, ' '), '^[-*•]'))) / m, 6) WHEN known THEN 0 END AS bullet_line_ratio,
