@@ -1,4 +1,8 @@
-"""Public licence texts and customary notices, as templates for the licence scan."""
+"""Public licence texts and customary notices, as templates for the licence scan; whole legal texts are in the folder
+``licence_files`` beside this module."""
+
+from functools import cache
+from pathlib import Path
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -75,3 +79,10 @@ TEMPLATES: dict[str, str] = {
     **{f"CC {k} {v} notice": f"Licensed under CC {k} {v}" for k in _CC for v in ("3.0", "4.0")},
     **{f"CC {k} 4.0": f"This work is licensed under a Creative Commons Attribution {w}4.0 International License" for k, w in _CC.items()},
 }
+
+
+@cache
+def templates() -> dict[str, str]:
+    """All templates by name, the whole legal texts under ``<name> text``; read where the query is planned."""
+    files = sorted((Path(__file__).parent / "licence_files").glob("*.txt"))
+    return TEMPLATES | {f"{p.stem} text": p.read_text(encoding="utf-8") for p in files}

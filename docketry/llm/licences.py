@@ -7,7 +7,7 @@ Runs of ``min_run`` tokens or more, each as long as its own place in its own tem
 template, into spans with rising template places; a span is reported if it covers enough of its template.
 
 Scale: one narrow stage over Arrow batches. The automaton has fewer states than twice the templates' tokens, whatever
-the corpus; a token that no template has costs one look-up.
+the corpus, and is broadcast once; a token that no template has costs one look-up.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from docketry.llm import common
-from docketry.llm.licence_texts import TEMPLATES
+from docketry.llm import common, licence_texts
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Production bounds: tokens of a run, tokens between chained runs, least share of the template covered.
 MIN_RUN, MAX_GAP, MIN_COVER = 4, 8, 0.7
+#: Long templates may lack a line here and there: their runs may be so much of the template apart.
+GAP_SHARE = 0.02
 
 
 def tokens(text: str) -> list[str]:
@@ -182,8 +184,8 @@ def _chains(runs: list[Run], max_gap: int) -> Iterator[tuple[int, int, int]]:
 def spans(a: Automaton, text: str | None, min_run: int = MIN_RUN, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER) -> list[Span]:
     """Covered spans of each template, by start, then template. Null and empty texts have none.
 
-    A run joins a chain of its template whose last run ends at most ``max_gap`` tokens before it in the document and
-    in the template, the one with which most tokens are matched.
+    A run joins a chain of its template whose last run ends at most ``max_gap`` tokens, or GAP_SHARE of the template
+    where that is more, before it in the document and in the template, the one with which most tokens are matched.
     Where templates share a run each has its chain, a template within a longer one too; of spans of one place only those
     that no other span of more tokens contains are returned.
     """
@@ -194,7 +196,7 @@ def spans(a: Automaton, text: str | None, min_run: int = MIN_RUN, max_gap: int =
     runs: dict[int, list[Run]] = {}
     for t, run in _runs(a, ids, min_run):
         runs.setdefault(t, []).append(run)
-    found = [Span(a.names[t], start, end, n, round(n / a.sizes[t], 6)) for t, all_of in runs.items() for start, end, n in _chains(all_of, max_gap) if n >= min_cover * a.sizes[t]]
+    found = [Span(a.names[t], start, end, n, round(n / a.sizes[t], 6)) for t, all_of in runs.items() for start, end, n in _chains(all_of, max(max_gap, int(GAP_SHARE * a.sizes[t]))) if n >= min_cover * a.sizes[t]]
     # a span that contains another and has more comes before it
     found.sort(key=lambda s: (s.start, -s.matched, -s.cover, s.licence))
     kept: list[Span] = []
@@ -207,7 +209,8 @@ def spans(a: Automaton, text: str | None, min_run: int = MIN_RUN, max_gap: int =
     return kept
 
 
-def _scan(a: Automaton, min_run: int, max_gap: int, min_cover: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(held: Broadcast, min_run: int, max_gap: int, min_cover: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a: Automaton = held.value
     for batch in batches:
         at: list[int] = []
         rows: list[Span] = []
@@ -219,14 +222,15 @@ def _scan(a: Automaton, min_run: int, max_gap: int, min_cover: float, batches: I
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *columns], ["doc_id", "licence", "start_token", "end_token", "matched_tokens", "cover"])
 
 
-def licence_spans(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, min_run: int = MIN_RUN, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER) -> DataFrame:
+def licence_spans(docs: DataFrame, templates: Mapping[str, str] | None = None, min_run: int = MIN_RUN, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER) -> DataFrame:
     """(doc_id, licence, start_token, end_token, matched_tokens, cover): a row for each covered span of each row of
-    ``docs`` (doc_id, text). Tokens are runs of letters and digits, lower case. Null, empty and unlicensed texts give
+    ``docs`` (doc_id, text). ``templates`` are texts by name, those of ``licence_texts`` unless given. Tokens are runs of letters and digits, lower case. Null, empty and unlicensed texts give
     no row; repeated rows each give theirs; an empty table gives an empty table; further columns are ignored."""
     common.small_batches(docs.sparkSession)
     d = common.pick(docs, "doc_id", "text")
     schema = T.StructType([d.schema["doc_id"], T.StructField("licence", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("start_token", "end_token", "matched_tokens")], T.StructField("cover", T.DoubleType())])
-    return d.mapInArrow(partial(_scan, Automaton(templates), min_run, max_gap, min_cover), schema)
+    held = d.sparkSession.sparkContext.broadcast(Automaton(licence_texts.templates() if templates is None else templates))
+    return d.mapInArrow(partial(_scan, held, min_run, max_gap, min_cover), schema)
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

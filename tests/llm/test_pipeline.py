@@ -1,6 +1,7 @@
 """Mixing, packing, the pipeline and the queries' SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -86,11 +87,27 @@ def test_pack(spark):
 
 
 def brute_pipeline(spark):
-    """The stages one after the other on the driver, from each operator's own definition."""
+    """The stages one after the other on the driver, from each operator's own definition; the probabilities of the
+    language model are the operator's, its scores are summed here letter by letter."""
     docs = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     model = language.fit(spark.read.parquet(f"{SF}/documents.parquet"))
-    scores, letters = language.score(model, [d["text"] for d in docs], language.Known(model.p.shape[1]))
-    docs = [d for d, s, n in zip(docs, scores, letters, strict=True) if n > 0 and s[:-1].max() / n - s[-1] / n > 0]
+    at = {v: i for i, v in enumerate(language.vocabulary("/opt/tokenizers/piece_bpe_32k.model"))}
+    longest, logs = max(map(len, at)), {}
+
+    def word(w):
+        if w not in logs:
+            marked, sums = "▁" + w, [np.ones(model.p.shape[1])]
+            for i in range(1, len(marked) + 1):
+                sums.append(sum(sums[k] * model.p[at.get(marked[k:i], len(at))] for k in range(max(0, i - longest), i) if marked[k:i] in at or i - k == 1))
+            logs[w] = np.log(sums[-1])
+        return logs[w]
+
+    def accepted(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        total = sum(map(word, words)) if words else None
+        return total is not None and total[:-1].max() > total[-1]
+
+    docs = [d for d in docs if d["text"] and accepted(d["text"])]
     first = {}
     for d in sorted(docs, key=lambda d: d["doc_id"]):
         first.setdefault(d["text"], d)
@@ -149,6 +166,36 @@ def test_pipeline(spark):
     assert len({r["shard"] for r in got}) > 1
 
 
+def test_pipeline_leaves_one_table(spark):
+    from docketry.llm import common
+
+    with common.scratch():
+        before = set(common._scratch)
+        corpus_pipeline.run(spark, SF).count()
+        left = set(common._scratch) - before
+        assert len(left) == 1 and "pipeline-mix" in min(left)
+    assert not set(common._scratch) - before
+
+
+def test_stages_on_nulls_ties_and_clashing_columns(spark, tmp_path):
+    text = "the thing and the other one, " * 20
+    rows = [(i, f"{text} {i}", "en", "src1", 1) for i in range(4)] + [(None, None, None, None, None)] * 2 + [(None, text, "en", None, 1)] * 3 + [(7, "", "en", "src2", 0), (7, "der hund und die katze", "de", "src2", 9), (7, "der hund und die katze", "de", "src2", 9), (8, "12 34", "en", "src1", 3), (9, "one thing " * 30_000, "en", "src3", 1)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS rid", "'x' AS TEXT_", "2 AS key", "3 AS Place", "4 AS len", "5 AS band", "6 AS share")
+    kept = {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / str(i)))
+        after = spark.read.parquet(str(tmp_path / str(i)))
+        if name != "pack":
+            assert after.columns == docs.columns
+            kept[name] = sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "")[-9:]) for r in after.collect())
+        docs = after
+    assert len(kept["language"]) == 10  # null, empty and digits only go
+    assert [k[:2] for k in kept["exact"]] == [(False, 0), (False, 1), (False, 2), (False, 3), (False, 7), (False, 9), (True, 0)]
+    assert [k[:2] for k in kept["near"]] == [(False, 0), (False, 7), (False, 9)]
+    assert docs.where("doc_id = 9").agg({"length": "sum"}).first()[0] in (None, 60_000)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact", "near", "mix", "pack"] and corpus_pipeline.ORACLE_SQL is None

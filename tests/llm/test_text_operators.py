@@ -83,10 +83,65 @@ def test_secrets_of_any_length(n):
 def test_pii_table(spark):
     rows = [(1, "x 97.51.17.173", "k"), (2, "y 97.51.17.173", "k"), (3, None, "k"), (4, "", "k"), (None, "clean text, 12 items", "k"), (5, "a" * 200_000 + " 97.51.17.173", "k")]
     d = spark.createDataFrame(rows, "doc_id int, text string, pii_found string")
-    got = {r["doc_id"]: r for r in pii.pseudonyms(d).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonyms(d, KEY).collect()}
     assert got[1]["text"][2:] == got[2]["text"][2:] == got[5]["text"][-len(got[1]["text"][2:]) :] and got[1]["pii_found"] == {"ipv4": 1}
     assert got[3]["text"] is None and got[4]["text"] == "" and got[None]["text"] == "clean text, 12 items" and got[None]["pii_found"] == {}
-    assert pii.pseudonyms(d.limit(0)).count() == 0
+    assert pii.pseudonyms(d.limit(0), KEY).count() == 0
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonyms(d, b"")
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 32
+    spark.conf.set("spark.docketry.pii.key", "named")
+    try:
+        assert pii.session_key(spark) == pii.session_key(spark) != pii._SESSION_KEY
+    finally:
+        spark.conf.unset("spark.docketry.pii.key")
+
+
+#: Values by kind, and texts that hold none; the spans to be replaced are known from how the text is put together.
+HELD = {
+    "email": ["a.b-9@mail7.example.com", "x" * 65 + "@mail.example.org", "q@" + "sub." * 17 + "example.net", "josé.müller@exämple.de", "иван@почта.рф", "n1@a-b.co"],
+    "card": ["4539 5787 6362 1486", "4539578763621486", "378282246310005", "3782 822463 10005", "6011-1111-1111-1117"],
+    "iban": ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"],
+    "ipv4": ["97.51.17.173", "8.8.4.4"],
+    "date": ["2020-02-29", "29/02/2020", "5/17/1984", "1.5.1999"],
+    "ssn": ["123-45-6789"],
+    "phone": ["+1 (017) 555-7713", "+49 30 1234 5678", "(555) 555-1234", "555-555-1234"],
+    "secret": ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "Ab3" * 2000],
+}
+CLEAR = ["some words", "4539 5787 6362 1487", "300.1.1.1", "000-12-3456", "2021-02-29", "@ here", "1234", "v1.2.3", "token = short", "12 items", "a@b", "GB83 WEST 1234 5698 7654 32"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([(None, c) for c in CLEAR]), st.sampled_from([(k, v) for k, vs in HELD.items() for v in vs])), max_size=8))
+def test_spans_against_planted_values(parts):
+    text = lambda k, v: f'token = "{v}"' if k == "secret" else v
+    new, found = pii.pseudonymise(" ; ".join(text(k, v) for k, v in parts), KEY)
+    want = {}
+    for k, _ in parts:
+        if k:
+            want[k] = want.get(k, 0) + 1
+    assert found == want
+    got = new.split(" ; ")
+    assert len(got) == max(1, len(parts))
+    for (k, v), g in zip(parts, got, strict=False):
+        if k is None:
+            assert g == v
+        else:
+            assert g != text(k, v) and (k == "ipv4" or len(g) == len(text(k, v))) and g == pii.pseudonymise(text(k, v), KEY)[0]
+
+
+def test_formats_that_stay():
+    assert [pii.phone(s, KEY)[:4] for s in ("+49 30 1234 5678", "+351 21 123 4567", "+44 20 7946 0958")] == ["+49 ", "+351", "+44 "] and pii.phone("+7 495 123 4567", KEY)[:3] == "+7 "
+    new = pii.email("josé.müller@exämple.de", KEY)
+    assert new.endswith(".de") and re.fullmatch(r"[^\W\d_]{4}\.[^\W\d_]{6}@[^\W\d_]{7}\.de", new)
+    assert all(a != b for a, b in zip("иван", pii.email("иван@почта.рф", KEY), strict=False)) or pii.email("иван@почта.рф", KEY)[:4] != "иван"
+    linked = {"dmy": lambda y, m, d: f"{d:02d}/{m:02d}/{y}", "mdy": lambda y, m, d: f"{m:02d}/{d:02d}/{y}", "ymd": lambda y, m, d: f"{y}-{m:02d}-{d:02d}"}
+    for i in range(2000):  # one day in any order of its parts has one pseudonym, wherever the order can be told
+        y, m, d = 1950 + i % 120, 1 + i % 12, 13 + i % 16
+        a, b, c = (pii.date(f(y, m, d), KEY) for f in linked.values())
+        assert c.split("-") == a.split("/")[::-1] == [b.split("/")[2], b.split("/")[0], b.split("/")[1]]
+    long = "k" * 500_000 + "@" + "d." * 3 + "example.com"
+    assert pii.pseudonymise("x " + long, KEY)[0].endswith(".com") and "k" * 30 not in pii.pseudonymise("x " + long, KEY)[0]
 
 
 # 2. languages
@@ -265,6 +320,24 @@ def test_prefix_counts_of_documents(encoder):
         assert tokens.prefix_counts(tokens.changes(BPE, t))[-1] == len(encoder.encode_ordinary(t))
 
 
+def test_pieces_that_are_forgotten(monkeypatch):
+    other = BPE.replace("byte_bpe_50k", "byte_bpe_multi_50k")
+    text = " ".join(f"word{i} épée{i % 7}" for i in range(300)) + " " + "x" * 90 + " tail" * 3
+    want = {path: tokens.changes(path, text) for path in (BPE, other)}
+    monkeypatch.setattr(tokens, "_KNOWN", 50)
+    for path in (BPE, other):
+        met = tokens.Met(tokens.encoding(path))
+        for _ in range(2):
+            assert b"".join(map(met.__getitem__, tokens.units(text))) == want[path]
+            assert len(met) <= 50 and len(met.before) <= 50 and max(map(len, met)) <= 32
+
+
+def test_counts_of_long_texts(encoder):
+    rng = random.Random(9)
+    for text in ("".join(rng.choice("ab c1!é漢\n") for _ in range(400_000)), "z" * 20_000, " " * 50_000 + "a"):
+        assert tokens.prefix_counts(tokens.changes(BPE, text))[-1] == len(encoder.encode_ordinary(text))
+
+
 def test_wide_changes():
     assert tokens.prefix_counts(tokens._pack([0, 1, 500, 2])).tolist() == [0, 1, 500, 2]
 
@@ -409,10 +482,53 @@ def test_runs_of_every_place():
         assert len(got) == len(want) and set(got) == want
 
 
+def test_whole_legal_texts():
+    from docketry.llm.licence_texts import templates
+
+    a = licences.Automaton(templates())
+    whole = [n for n in templates() if n.endswith(" text")]
+    assert len(whole) == 13
+    for name in whole:
+        got = licences.spans(a, "Some prose before it. " + templates()[name] + " And after it.")
+        assert [s.licence for s in got] == [name] and got[0].cover == 1.0, name
+    # every ninth line gone: still found, as itself
+    rng = random.Random(3)
+    for name in ("Apache-2.0 text", "GPL-3 text", "MPL-2.0 text"):
+        cut = "\n".join(line for i, line in enumerate(templates()[name].splitlines()) if i % 9)
+        assert max(licences.spans(a, cut), key=lambda s: s.matched).licence == name
+    many = "Released under the MIT License. " * 3000 + " ".join(rng.choice(["the", "license", "of", "work", "terms"]) for _ in range(100_000))
+    assert len(licences.spans(a, many)) >= 3000
+
+
+def brute_chain(runs, max_gap):
+    """Most tokens of a chain that ends with each run."""
+    best = []
+    for i, (end, last, n) in enumerate(runs):
+        most = n
+        for j in range(i):
+            e, la, _ = runs[j]
+            new = min(n, end - e, last - la)
+            if new > 0 and end - n - e <= max_gap and last - n - la <= max_gap:
+                most = max(most, best[j] + new)
+        best.append(most)
+    return max(best, default=0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 40), st.integers(1, 6)), max_size=9), st.integers(0, 8))
+def test_chains_against_brute_force(raw, gap):
+    runs = sorted(licences.Run(e + n, p + n, n) for e, p, n in raw)
+    chains = [*licences._chains(runs, gap)]
+    assert max((m for _, _, m in chains), default=0) == brute_chain(runs, gap)
+    assert sum(1 for _ in chains) <= len(runs) and all(a < b for a, b, _ in chains)
+
+
 def test_licence_table(spark):
     d = spark.createDataFrame([(1, "Released under the MIT License.", "x"), (1, "Released under the MIT License.", "x"), (2, None, "x"), (3, "", "x")], "doc_id int, text string, licence string")
     assert [(r["doc_id"], r["licence"], r["start_token"], r["end_token"], r["cover"]) for r in licences.licence_spans(d).collect()] == [(1, "MIT notice", 0, 5, 1.0)] * 2
     assert licences.licence_spans(d.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, "Released under the MIT License.")] * 2, "doc_id int, text string")
+    assert [r["doc_id"] for r in licences.licence_spans(nameless).collect()] == [None, None]
 
 
 # 10. quality
@@ -424,6 +540,8 @@ def test_quality_edges(spark):
     got = {r["doc_id"]: r for r in quality.quality(d).collect()}
     assert got[1]["failed"] == "too_short" and got[1]["symbol_ratio"] is None and got[2]["failed"].startswith("too_short") and got[8]["n_words"] == 0
     assert got[3]["keep"] and "symbols" in got[4]["failed"] and "repeated_words" in got[5]["failed"] and "stop_words" in got[5]["failed"]
+    none = quality.quality(spark.createDataFrame([(1, " ".join(f"kw{i}" for i in range(50))), (2, " ".join(f"kw{i}" for i in range(49))), (3, "the " + " ".join(f"kw{i}" for i in range(49))), (3, "the " + " ".join(f"kw{i}" for i in range(49))), (4, "of a word " * 200_000)], "doc_id int, text string")).collect()
+    assert sorted((r["doc_id"], r["failed"]) for r in none) == [(1, "no_stop_words"), (2, ""), (3, ""), (3, ""), (4, "")]
     assert got[6]["failed"] == "repeated_lines" and "bullet_lines" in got[7]["failed"]
     assert quality.quality(d.limit(0)).count() == 0
     plan = quality.quality(d)._jdf.queryExecution().executedPlan().toString()
