@@ -47,11 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's table is written to the shared folder and read by the next."""
-    docs = common.documents(spark, sf_dir)
-    base = f"{common.shared_dir(spark)}/docketry/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES[:-1]):
-        path = f"{base}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over documents; each stage's table is written to the shared folder and read by the next. A table goes
+    when the one after it is written, the last at exit, as the result is read from it."""
+    docs, before = common.documents(spark, sf_dir), None
+    for name, stage in STAGES[:-1]:
+        path = common.register(spark, f"{common.shared_dir(spark)}/docketry/pipeline-{name}-{uuid.uuid4().hex}")
+        with common.scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            common.drop(before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
