@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
@@ -38,11 +38,14 @@ OUTCOMES_OF_CLASS = {c: (*_ANY_END, *merits.split()) for classes, merits in FAMI
 
 def verdict(c: Column) -> Column:
     """The first verdict of the ladder that the text has, whatever its case and accents; else null."""
-    low = F.lower(tx.strip_accents(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)\\s+", " ")))
-    out = F.lit(None).cast("string")
-    for label, pattern in reversed(VERDICTS.items()):
-        out = F.when(low.rlike(pattern), F.lit(label)).otherwise(out)
-    return out
+
+    def first(low: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for label, pattern in reversed(VERDICTS.items()):
+            out = F.when(low.rlike(pattern), F.lit(label)).otherwise(out)
+        return out
+
+    return tx.stages(F.lower(tx.strip_accents(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)\\s+", " "))), first)
 
 
 def won(outcome: Column) -> Column:
@@ -80,7 +83,7 @@ def derive_outcome(sessions: Column, events: Column) -> Column:
 
 
 # docket events: label -> tests on the upper-case text, tried in this order
-# "^x" begins with, "=x" equals, "x" contains; "x&y" both; "@n:x" within the first n characters
+# "^x" begins with, "=x" equals, "x" contains; "x&y" both; "@n:x" within the first n characters; "!" before any: not
 
 EVENT_RULES: dict[str, str] = {
     "destaque": "DESTAQUE",
@@ -124,7 +127,9 @@ def _test(c: Column, rule: str) -> Column:
     for alternative in rule.split("|"):
         both = None
         for part in alternative.split("&"):
-            if part[0] == "^":
+            if part[0] == "!":
+                one = ~_test(c, part[1:])
+            elif part[0] == "^":
                 one = c.startswith(part[1:])
             elif part[0] == "=":
                 one = c == part[1:]
@@ -141,11 +146,64 @@ def _test(c: Column, rule: str) -> Column:
 def classify_event(c: Column, rules: Mapping[str, str] = EVENT_RULES) -> Column:
     """The first label whose test the upper-case text passes, else the empty string, also for null. Accents aren't
     stripped: accented spellings of the rules' words don't match, as in the data the rules were made for."""
-    up = F.upper(F.coalesce(c, F.lit("")))
-    out = F.lit("")
-    for label, rule in reversed(rules.items()):
-        out = F.when(_test(up, rule), F.lit(label)).otherwise(out)
-    return out
+
+    def first(up: Column) -> Column:
+        out = F.lit("")
+        for label, rule in reversed(rules.items()):
+            out = F.when(_test(up, rule), F.lit(label)).otherwise(out)
+        return out
+
+    return tx.stages(F.upper(F.coalesce(c, F.lit(""))), first)
+
+
+# events judged by their complement too, as the archived analysis did: a label has (name, complement) alternatives,
+# each a rule as above or empty; both must hold
+
+ARCHIVED_RULES: dict[str, tuple[tuple[str, str], ...]] = {
+    "art12": (("ADOTADO RITO DO ART. 12,&DA LEI 9.868/99", ""), ("DECISAO", "RITO DO ART. 12")),
+    "amicus_curiae": (("PETICAO", "AMICUS CURIAE"), ("PROVIDO", "CURIAE&DEFIRO O PEDIDO"), ("DEFERIDO", "AMICUS CURIAE")),
+    "liminar_comunicada": (("COMUNICADO DEFERIMENTO DE LIMINAR", ""),),
+    "liminar_decisao": (
+        *(("LIMINAR&!=PEDIDO DE LIMINAR&!COMUNICADO DEFERIMENTO DE LIMINAR", ""), ("!COMUNICADO DEFERIMENTO DE LIMINAR", "DETERMINO O SOBRESTAMENTO DO PROCESSO")),
+        *(("PROVIDO", "EMBARGOS DE DECLARACAO COMO PEDIDO CAUTELAR"), ("REJEITADO", "REJEITO O PEDIDO DE MEDIDA CAUTELAR"), ("DECISAO", "CAUTELAR|LIMINAR")),
+    ),
+    "agravo": (("AGRAVO", ""), ("PROVIDO", "PROVIMENTO AO AGRAVO REGIMENTAL|@30:O AG.REG. NO")),
+    "embargo": (
+        *(("EMBARGO", ""), ("", "CONHECEU DOS EMBARGOS DE DECLARACAO E OS ACOLHEU|NEGO PROVIMENTO AOS DECLARATORIOS"), ("PROVI", "DESPROVEJO OS DECLARATORIOS")),
+        ("PROVIDO", "^NOS TERCEIROS ED|@30:OS EMB.DECL. NO|DOU PROVIMENTO AOS EMBARGOS DE DECLARACAO|EMBARGOS DE DECLARACAO ACOLHIDOS|PROVEJO OS EMBARGOS DECLARATORIOS"),
+    ),
+    "excluidos": (("DETERMIN&DISTRIB", ""), ("PROVIDO", "@30:PETICAO"), (EVENT_RULES["excluidos"], "")),
+}
+
+
+def archived_labels(nome: Column, complemento: Column, rules: Mapping[str, Sequence[tuple[str, str]]] = ARCHIVED_RULES) -> Column:
+    """array<string>: every label of the archived analysis that an event has, by its folded name and complement, in the
+    order of the table. Null texts are empty."""
+
+    def labels(t: Column) -> Column:
+        out = []
+        for label, alternatives in rules.items():
+            held = F.lit(False)
+            for name, more in alternatives:
+                held = held | ((_test(t["n"], name) if name else F.lit(True)) & (_test(t["c"], more) if more else F.lit(True)))
+            out.append(F.when(held, F.lit(label)))
+        return F.array_compact(F.array(*out))
+
+    return tx.stages(F.struct(tx.fold(nome).alias("n"), tx.fold(complemento).alias("c")), labels)
+
+
+def decision_by(nome: Column) -> Column:
+    """struct(nome, julgador) of a folded name: who decided, where the name of a decision says so, and the rest of it."""
+
+    def told(n: Column) -> Column:
+        rest, who = n, F.lit(None).cast("string")
+        for prefix, judge in (("DECISAO DA PRESIDENCIA - ", "PRESIDENCIA"), ("DECISAO DO(A) RELATOR(A) - ", "RELATOR")):
+            rest, who = F.when(n.startswith(prefix), F.replace(n, F.lit(prefix), F.lit(""))).otherwise(rest), F.when(n.startswith(prefix), judge).otherwise(who)
+        for whole, judge in (("DECISAO DO RELATOR", "RELATOR"), ("DECISAO DA RELATORA", "RELATOR"), ("DECISAO DA PRESIDENCIA", "PRESIDENCIA")):
+            rest, who = F.when(n == whole, "DECISAO").otherwise(rest), F.when(n == whole, judge).otherwise(who)
+        return F.struct(rest.alias("nome"), who.alias("julgador"))
+
+    return tx.stages(tx.fold(nome), told)
 
 
 # parties
@@ -158,7 +216,8 @@ def lawyer_key(c: Column) -> Column:
     variants."""
     clean = F.trim(F.regexp_replace(F.trim(F.regexp_replace(c, _PAREN, " ")), "(?i)\\s+E\\s+OUTRO[AS]?S?\\s*$", ""))
     key = F.upper(F.trim(F.regexp_replace(clean, ",+$", "")))
-    return F.when(key.rlike("^I?[AO]S?\\s*,?\\s*MESM[A0O]S?(\\s+E\\s+OUTRO[AS]?S?)?$"), F.lit("")).otherwise(key)
+    same = "^I?[AO]S?\\s*,?\\s*MESM[A0O]S?(\\s+E\\s+OUTRO[AS]?S?)?$"
+    return tx.stages(key, lambda k: F.when(k.rlike(same), F.lit("")).otherwise(k))
 
 
 def bar_codes(c: Column) -> Column:
@@ -173,8 +232,7 @@ _BEFORE = "\\bOAB[\\s/-]+([0-9.]+[A-Z]?)[\\s/-]*/[\\s-]*([A-Z]{2})"
 
 def bar_codes_anywhere(c: Column) -> Column:
     """Codes written after the word OAB, state first or last, as NNNN/UF without thousands points, in order."""
-    up = F.upper(c)
-    whole = F.regexp_extract_all(up, F.lit(f"{_AFTER}|{_BEFORE}"), F.lit(0))
+    whole = F.regexp_extract_all(F.upper(c), F.lit(f"{_AFTER}|{_BEFORE}"), F.lit(0))
 
     def code(m: Column) -> Column:
         state_first = m.rlike(f"^{_AFTER[2:]}")
@@ -197,18 +255,26 @@ _KINDS = (
 def classify_lawyer(c: Column) -> Column:
     """struct(kind, key, codes): sentinel, placeholder, pro_se, institutional, juridical, court, with_oab or bare, the
     first that holds, whatever the accents. Sentinels have an empty key; they, placeholders and pro_se have no codes."""
-    key = lawyer_key(c)
-    folded = tx.strip_accents(key)
-    paren = bar_codes(c)
-    every = F.array_distinct(F.concat(paren, bar_codes_anywhere(c)))
     none = F.array().cast("array<string>")
-    kind = F.when(F.size(every) > 0, F.lit("with_oab")).otherwise(F.lit("bare"))
-    for label, rule in reversed(_KINDS):
-        test = _test(folded, rule) | folded.contains("& ADVOGADOS") if label == "juridical" else _test(folded, rule)
-        kind = F.when(test, F.lit(label)).otherwise(kind)
-    kind = F.when(key == "", F.lit("sentinel")).otherwise(kind)
-    codes = F.when(kind.isin("sentinel", "placeholder", "pro_se"), none).when(kind == "with_oab", every).when(kind == "bare", none).otherwise(paren)
-    return F.struct(kind.alias("kind"), key.alias("key"), codes.alias("codes"))
+
+    def read(x: Column) -> Column:
+        return F.struct(lawyer_key(x).alias("key"), bar_codes(x).alias("paren"), F.when(x.rlike("(?i)OAB"), bar_codes_anywhere(x)).otherwise(none).alias("anywhere"))
+
+    def kind_of(t: Column) -> Column:
+        kind = F.when(F.size(t["paren"]) + F.size(t["anywhere"]) > 0, F.lit("with_oab")).otherwise(F.lit("bare"))
+        for label, rule in reversed(_KINDS):
+            test = _test(t["folded"], rule) | t["folded"].contains("& ADVOGADOS") if label == "juridical" else _test(t["folded"], rule)
+            kind = F.when(test, F.lit(label)).otherwise(kind)
+        return F.when(t["key"] == "", F.lit("sentinel")).otherwise(kind)
+
+    def judged(t: Column) -> Column:
+        every = F.array_distinct(F.concat(t["paren"], t["anywhere"]))
+        codes = F.when(t["kind"].isin("sentinel", "placeholder", "pro_se", "bare"), none).when(t["kind"] == "with_oab", every).otherwise(t["paren"])
+        return F.struct(t["kind"].alias("kind"), t["key"].alias("key"), codes.alias("codes"))
+
+    folded = lambda t: F.struct(t["key"].alias("key"), t["paren"].alias("paren"), t["anywhere"].alias("anywhere"), tx.strip_accents(t["key"]).alias("folded"))
+    with_kind = lambda t: F.struct(t["key"].alias("key"), t["paren"].alias("paren"), t["anywhere"].alias("anywhere"), kind_of(t).alias("kind"))
+    return tx.stages(c, read, folded, with_kind, judged)
 
 
 def primeiro_autor(partes: Column, prefixes: tuple[str, ...] = ("AGTE", "AUTOR", "EMBTE", "IMPTE", "PACTE", "RECLTE", "RECTE", "REQTE")) -> Column:
@@ -251,6 +317,15 @@ def suspicious_short(chars: Column, doc_type: Column) -> Column:
     return F.when(chars.isNotNull() & doc_type.isNotNull(), tx.fold(doc_type).isin(*SUBSTANTIVE) & (chars < SHORT_CHARS))
 
 
+def register(spark: SparkSession) -> None:
+    """Makes ``is_suspicious_short(n, doc_type)`` known to the session's SQL, as an expression and no user function;
+    an earlier one is replaced."""
+    folded = "trim(upper(translate(regexp_replace(doc_type, '[\\u0300-\\u036f]+', ''), '{}', '{}')))".format(*tx.ACCENTS)
+    known = ", ".join(f"'{t}'" for t in SUBSTANTIVE)
+    body = f"CASE WHEN n IS NOT NULL AND doc_type IS NOT NULL THEN {folded} IN ({known}) AND n < {SHORT_CHARS} END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_suspicious_short(n INT, doc_type STRING) RETURNS BOOLEAN RETURN {body}")
+
+
 def pick_provider(doc_type: Column, ocr: str = "tesseract") -> Column:
     """The extractor for a type: OCR for full judgements, the text layer for the rest."""
     return F.when(tx.fold(doc_type) == "INTEIRO TEOR DO ACORDAO", F.lit(ocr)).otherwise(F.lit("pypdf"))

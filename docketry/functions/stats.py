@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Mapping
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,64 +82,137 @@ def posterior(groups: DataFrame, alpha: float, beta: float, wins: str = "wins",
     return groups.withColumns({"shrunk_rate": a / (a + b), "ci_lo": beta_ppf(F.lit(tail), a.cast("double"), b.cast("double")), "ci_hi": beta_ppf(F.lit(1 - tail), a.cast("double"), b.cast("double"))})
 
 
-# percentile flavours: each is exact, of a group's values brought together; null values don't count
+# percentile flavours: exact ranks among a group's values
+
+#: Place (from 0) of a rank among n values, and what share of the way to the next it lies, by flavour.
+FLAVOURS: dict[str, Callable[[Column, float], tuple[Column, Column]]] = {
+    # round(q (n - 1)), halves to even
+    "nearest": lambda n, q: (F.bround(F.lit(q) * (n - 1)), F.lit(0.0)),
+    # int(q n)
+    "floor": lambda n, q: (F.least(F.floor(F.lit(q) * n), n - 1), F.lit(0.0)),
+    # int(q n) - 1, the least at least
+    "low": lambda n, q: (F.greatest(F.floor(F.lit(q) * n) - 1, F.lit(0)), F.lit(0.0)),
+    # the q-th cut of the exclusive method; beyond the ends by the outer pair
+    "exclusive": lambda n, q: ((at := F.greatest(F.least(F.floor(F.lit(q) * (n + 1)) - 1, n - 2), F.lit(0))), F.round(F.lit(q) * (n + 1), 9) - 1 - at),
+    # linear between neighbours
+    "median": lambda n, q: ((at := F.floor(F.lit(q) * (n - 1))), F.lit(q) * (n - 1) - at),
+}
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """(by, one column for each of ``wanted``: name -> (flavour, q)) for every group with a value; an exclusive cut of
+    under two values is null. Equal values are counted first, with partial sums, so what meets is a group's distinct
+    values with their counts, and a rank is found by running sums; no group is brought together as a list."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    ordered = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy(value)), "_all": F.sum("_n").over(group)})
+    x, picks = F.col(value), []
+    for name, (flavour, q) in wanted.items():
+        place, share = FLAVOURS[flavour](F.col("_all"), q)
+        at = F.min(F.when(F.col("_upto") > place, x))
+        if flavour in ("exclusive", "median"):
+            after = F.min(F.when(F.col("_upto") > F.least(place + 1, F.col("_all") - 1), x))
+            at = at + (after - at) * F.max(share)
+        picks.append((F.when(F.max("_all") > 1, at) if flavour == "exclusive" else at).alias(name))
+    return ordered.groupBy(*by).agg(*picks)
 
 
-def _sorted(x: Column) -> Column:
-    return F.array_sort(F.collect_list(x))
+# costs
 
+class Provider(NamedTuple):
+    """What an extractor costs: dollars for 1,000 pages, and in a batch where there are any; seconds for a document,
+    None where nobody has measured them, and for a whole batch. ``extract`` takes bytes and gives text; it is put in by
+    whoever has the vendor's library."""
+
+    dollars: float
+    seconds: float | None
+    batch_dollars: float | None = None
+    batch_seconds: float | None = None
+    extract: Callable[[bytes], str] | None = None
+
+
+#: The eleven extractors known, with public list prices; a batch takes its time to hand in, whatever its size.
+PROVIDERS: dict[str, Provider] = {
+    "chandra": Provider(3.0, 15.0),
+    "chandra_runpod": Provider(0.31, None),
+    "gemini": Provider(1.32, 5.0, 0.66, 30.0),
+    "mistral": Provider(2.0, 3.5, 1.0, 30.0),
+    "paddle": Provider(0.08, None),
+    "pypdf": Provider(0.0, 0.1),
+    "surya": Provider(0.18, None),
+    "tesseract": Provider(0.0, 3.0),
+    "tesseract_fly": Provider(0.005, 3.0),
+    "tesseract_modal": Provider(0.14, None),
+    "unstructured": Provider(10.0, 25.0),
+}
+PAGES_PER_DOCUMENT = 4.9
+
+
+def _rate(provider: Column, of: Callable[[Provider], float | None], known: Mapping[str, Provider]) -> Column:
+    rate = F.lit(None).cast("double")
+    for name, p in known.items():
+        if (r := of(p)) is not None:
+            rate = F.when(provider == name, F.lit(float(r))).otherwise(rate)
+    return rate
 
-def _at(values: Column, index: Column) -> Column:
-    return F.try_element_at(values, (F.greatest(index, F.lit(0)) + 1).cast("int"))
 
+def ocr_cost(provider: Column, pages: Column, batch: bool = False, known: Mapping[str, Provider] = PROVIDERS) -> Column:
+    """Dollars for so many pages, in a batch where the provider has one; null for unknown providers."""
+    return pages * _rate(provider, lambda p: p.batch_dollars if batch and p.batch_dollars is not None else p.dollars, known) / 1000
 
-def percentile_nearest(x: Column, q: float) -> Column:
-    """The value of rank round(q (n - 1)), halves to even."""
-    v = _sorted(x)
-    return _at(v, F.bround(F.lit(q) * (F.size(v) - 1)))
 
+def ocr_wall(provider: Column, documents: Column, workers: int = 1, batch: bool = False, known: Mapping[str, Provider] = PROVIDERS) -> Column:
+    """Seconds for so many documents among so many workers, or for a batch of them where the provider has one; null for
+    providers that are unknown or not measured."""
+    in_turn = documents * _rate(provider, lambda p: p.seconds, known) / workers
+    return F.coalesce(_rate(provider, lambda p: p.batch_seconds, known), in_turn) if batch else in_turn
 
-def percentile_floor(x: Column, q: float) -> Column:
-    """The value of rank int(q n)."""
-    v = _sorted(x)
-    return _at(v, F.least(F.floor(F.lit(q) * F.size(v)), F.size(v) - 1))
 
+def provider_table(spark: SparkSession, documents: int = 1, pages: int = 5, batch: bool = True, known: Mapping[str, Provider] = PROVIDERS) -> DataFrame:
+    """(provider, usd, seconds, has_batch) of every provider for a piece of work, the cheapest first, equal ones by
+    name; providers of unknown cost last."""
+    rows = spark.createDataFrame([(n, p.batch_dollars is not None) for n, p in known.items()], "provider string, has_batch boolean")
+    t = rows.select("provider", ocr_cost(F.col("provider"), F.lit(pages), batch, known).alias("usd"), ocr_wall(F.col("provider"), F.lit(documents), 1, batch, known).alias("seconds"), "has_batch")
+    return t.orderBy(F.col("usd").asc_nulls_last(), "provider")
 
-def percentile_low(x: Column, q: float) -> Column:
-    """The value of rank int(q n) - 1, the least at least."""
-    v = _sorted(x)
-    return _at(v, F.floor(F.lit(q) * F.size(v)) - 1)
 
+def cheapest(table: DataFrame) -> DataFrame:
+    """(provider, usd): the first of ``provider_table`` that recognises pages, which a text layer's reader doesn't."""
+    return table.where("provider <> 'pypdf' AND usd IS NOT NULL").orderBy("usd", "provider").limit(1).select("provider", "usd")
 
-def decile_exclusive(x: Column, i: int) -> Column:
-    """The i-th of nine cuts into ten, exclusive method; null for under two values."""
-    v = _sorted(x)
-    n = F.size(v)
-    j = F.least(F.greatest(F.floor(F.lit(i) * (n + 1) / 10), F.lit(1)), n - 1)
-    delta = F.lit(i) * (n + 1) - j * 10
-    return F.when(n > 1, (_at(v, j - 1) * (10 - delta) + _at(v, j) * delta) / 10)
 
+class Pace(NamedTuple):
+    """Megabytes and seconds of one unit of work fetched in turn from one address."""
 
-# costs
+    megabytes: float
+    seconds: float
 
-#: dollars for 1,000 pages, seconds for a page
-PROVIDER_RATES = {"pypdf": (0.0, 0.05), "tesseract": (0.0, 2.0), "mistral": (1.0, 0.4), "chandra": (3.0, 1.2), "unstructured": (10.0, 1.5)}
 
+PACES = {"documents": Pace(0.1685, 3.0), "cases": Pace(47 / 1024, 2.0)}
+SPEEDUP, SHARDS, USD_PER_GB = 12.7, 16, 3.65
 
-def ocr_cost(provider: Column, pages: Column) -> Column:
-    """Dollars for so many pages; null for unknown providers."""
-    rate = F.lit(None).cast("double")
-    for name, (dollars, _) in PROVIDER_RATES.items():
-        rate = F.when(provider == name, F.lit(dollars)).otherwise(rate)
-    return pages * rate / 1000
 
+def forecast(units: Column, pace: Pace, speedup: float = SPEEDUP, shards: int = SHARDS, usd_per_gb: float = USD_PER_GB) -> Column:
+    """array<struct(mode, seconds, gb, usd)> before a run: in turn from one address, which costs nothing, and by shards
+    through proxies, which bill what is transferred."""
+    gb, alone = units * pace.megabytes / 1024, units * pace.seconds
+    row = lambda mode, s, usd: F.struct(F.lit(mode).alias("mode"), s.alias("seconds"), gb.alias("gb"), usd.alias("usd"))
+    return F.array(row("direct", alone, F.lit(0.0)), row(f"{shards} shards", alone / speedup, gb * usd_per_gb))
 
-def ocr_wall(provider: Column, pages: Column, workers: int = 1) -> Column:
-    """Seconds for so many pages among so many workers; null for unknown providers."""
-    rate = F.lit(None).cast("double")
-    for name, (_, seconds) in PROVIDER_RATES.items():
-        rate = F.when(provider == name, F.lit(seconds)).otherwise(rate)
-    return pages * rate / workers
+
+def extraction_forecast(documents: Column, provider: Column, pages: float = PAGES_PER_DOCUMENT) -> Column:
+    """struct(seconds, usd) of extracting so many documents of ``pages`` pages on average, pages cut to a whole number."""
+    return F.struct(ocr_wall(provider, documents).alias("seconds"), ocr_cost(provider, F.floor(documents * pages)).alias("usd"))
+
+
+def proxy_cost(transferred: Column, used: Column, usd_per_gb: float = USD_PER_GB) -> Column:
+    """Dollars for bytes through a proxy, by gigabytes of 10**9; nothing where none was used."""
+    return F.when(used, transferred / 1e9 * usd_per_gb).otherwise(0.0)
+
+
+def parsed_cost(lines: Column) -> Column:
+    """Dollars that a log line ``cost: ~$1.23`` tells; null for other lines."""
+    return F.nullif(F.regexp_extract(lines, "cost: ~?\\$([0-9]+(?:\\.[0-9]+)?)", 1), F.lit("")).cast("double")
 
 
 def eta(done: Column, total: Column, elapsed_s: Column) -> Column:

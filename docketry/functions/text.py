@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-import html
+import json
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import cache
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+
+def stages(c: Column, *steps: Callable[[Column], Column]) -> Column:
+    """The last step of the one before, from ``c`` on. Each step's value is bound before the next one uses it, however
+    often that is, so expressions don't multiply."""
+    rows = F.array(c)
+    for step in steps:
+        rows = F.transform(rows, step)
+    return rows[0]
 
 
 def _accent_table() -> tuple[str, str]:
@@ -23,7 +32,7 @@ def _accent_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-_FROM, _TO = _accent_table()
+ACCENTS = _FROM, _TO = _accent_table()
 
 
 def strip_accents(c: Column) -> Column:
@@ -41,11 +50,39 @@ def normalize_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "(?U)\\s+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def normalize_name_exact(names: pd.Series) -> pd.Series:
-    """Compatibility decomposition, ASCII only, upper case, single blanks; null gives the empty string. For scripts
-    that ``normalize_name`` doesn't cover."""
-    return names.map(lambda s: " ".join("".join(c for c in unicodedata.normalize("NFKD", s or "") if c.isascii()).split()).upper())
+def _table(entries: dict[str, str]) -> Column:
+    """A map of constants, from one literal that the optimizer folds."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+@cache
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """Signs beyond ASCII whose compatibility decomposition has ASCII in it: those with one such sign, one for one, and
+    those with several, by their replacement."""
+    one, many = {}, {}
+    for i in range(0x80, 0x1FBFA):
+        if 0xAC00 <= i < 0xE000 or 0x3400 <= i < 0xA000:  # Hangul, ideographs and surrogates have none
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if c.isascii())
+        if len(plain) == 1:
+            one[chr(i)] = plain
+        elif plain:
+            many[chr(i)] = plain
+    return "".join(one), "".join(one.values()), many
+
+
+def normalize_name_exact(c: Column) -> Column:
+    """Compatibility decomposition, ASCII only, upper case, single blanks; null gives the empty string. Covers what
+    ``normalize_name`` drops: ligatures, ordinals, full-width and styled letters. Signs that decompose into several
+    are looked up in texts that have any of them only."""
+    source, target, many = _compatible()
+
+    def expanded(x: Column) -> Column:
+        table = _table(many)
+        one = F.transform(F.split(x, ""), lambda s: F.coalesce(F.try_element_at(table, s), s))
+        return F.when(x.rlike(f"[{''.join(many)}]"), F.array_join(one, "")).otherwise(x)
+
+    return F.coalesce(stages(c, expanded, lambda x: F.regexp_replace(F.translate(x, source, target), "[^\\x00-\\x7F]+", ""), lambda x: F.upper(normalize_spaces(x))), F.lit(""))
 
 
 def normalize_name(c: Column) -> Column:
@@ -166,10 +203,25 @@ def clean_pdf_text(c: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(F.split(c, "\n"), line), "\n"), "\n{3,}", "\n\n")
 
 
-@F.pandas_udf(T.StringType())
-def strip_html(fragments: pd.Series) -> pd.Series:
-    """Text of an HTML fragment: tags become blanks, entities characters, white space single blanks."""
-    return fragments.str.replace(r"<[^>]*>", " ", regex=True).map(lambda s: None if s is None else " ".join(html.unescape(s).split()))
+def _entity(e: Column) -> Column:
+    """The sign of an entity &...; by name or number; an unknown one as it is."""
+    names = _table({k: sign for k, sign in html5.items() if k.endswith(";")})
+    code = F.when(e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]{1,6});", 1), 16, 10)).when(e.rlike("^&#"), F.regexp_extract(e, "^&#([0-9]{1,7});", 1)).try_cast("int")
+    # a code point as UTF-32
+    sign = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return F.coalesce(F.when(e.startswith("&#"), sign).otherwise(F.try_element_at(names, F.substring(e, 2, 40))), e)
+
+
+def strip_html(c: Column) -> Column:
+    """Text of an HTML fragment: tags become blanks, entities that end in a semicolon characters, white space single
+    blanks. Texts without entities are spared the look-up."""
+    entity = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+    def unescaped(x: Column) -> Column:
+        pieces = F.split(F.regexp_replace(x, f"({entity})", "\u0000$1\u0000"), "\u0000")
+        return F.when(x.rlike(entity), F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^{entity}$"), _entity(p)).otherwise(p)), "")).otherwise(x)
+
+    return stages(c, lambda x: F.regexp_replace(x, "<[^>]*>", " "), unescaped, normalize_spaces)
 
 
 # keys and similarity
