@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.sources import logs
+
 NOISE = ("_meta", "extraido", "schema_version", "status_http")
 #: Lists that grow as a case goes on, newest first.
 GROWING = ("andamentos", "deslocamentos", "peticoes", "recursos")
@@ -64,3 +66,43 @@ def match_gold(names: DataFrame, gold: DataFrame) -> DataFrame:
     by_head = gold.select(F.col("name").alias("gold"), F.substring_index("name", " ", 1).alias("head"))
     near = rest.withColumn("head", head).join(by_head, "head").groupBy("name").agg(F.min("gold").alias("gold"))
     return exact.unionByName(near)
+
+
+# what was last seen
+
+
+def save_snapshots(spark: SparkSession, cases: DataFrame, root: str, keys: tuple[str, ...] = ("classe", "numero")) -> str:
+    """Puts the watched cases of this run in the place of what was last seen of them, and keeps what was seen of others;
+    readers see the table before or after, never between. Returns the version's folder."""
+    old = load_snapshots(spark, root)
+    if old is not None:
+        rest = old.join(cases.select(*keys).distinct(), [*keys], "left_anti")
+        cases = cases.unionByName(rest, allowMissingColumns=True)
+    return logs.publish({"snapshots": cases}, root)
+
+
+def load_snapshots(spark: SparkSession, root: str) -> DataFrame | None:
+    """What was last seen of every watched case; None before the first run."""
+    version = logs.published(spark, root)
+    return None if version is None else spark.read.parquet(f"{version}/snapshots")
+
+
+def raise_marks(marks: DataFrame | None, cases: DataFrame) -> DataFrame:
+    """(classe, max_numero): the highest number seen of each class, never below the mark that was there."""
+    seen = cases.groupBy("classe").agg(F.max("numero").alias("max_numero"))
+    if marks is not None:
+        seen = seen.unionByName(marks.select("classe", "max_numero")).groupBy("classe").agg(F.max("max_numero").alias("max_numero"))
+    return seen
+
+
+def save_marks(spark: SparkSession, marks: DataFrame, root: str, last_run_utc: str) -> str:
+    """Publishes the marks and when they were made."""
+    return logs.publish({"marks": marks, "run": spark.createDataFrame([(last_run_utc,)], "last_run_utc string")}, root)
+
+
+def load_marks(spark: SparkSession, root: str) -> tuple[DataFrame | None, str]:
+    """The marks and the time of the last run; None and the empty string before the first."""
+    version = logs.published(spark, root)
+    if version is None:
+        return None, ""
+    return spark.read.parquet(f"{version}/marks"), spark.read.parquet(f"{version}/run").first()[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from docketry.functions import text as tx
 #: types of the docket, tier and least length; texts of unknown length pass
 DOCKET_TYPES = (("DECISÃO MONOCRÁTICA", "A", None), ("INTEIRO TEOR DO ACÓRDÃO", "A", None), ("MANIFESTAÇÃO DA PGR", "A", 1000), ("DESPACHO", "B", 1500))
 SESSION_TYPES = ("Relatório", "Voto", "Voto Vista", "Voto Vogal")
+#: Rows of a narrow table up to which it is broadcast; beyond it is shuffled.
+BROADCAST_ROWS = 10_000
 #: least share of cases with a child row
 FLOORS = {"andamentos": 0.99, "partes": 0.99, "pautas": 0.15, "publicacoes_dje": 0.05, "sessao_virtual": 0.15}
 
@@ -78,9 +82,9 @@ def spot_check(documents: DataFrame, cases: DataFrame, n: int, seed: int = 0, do
         d = d.where(F.col("tier") == tier)
     if year is not None:
         d = d.join(cases.where(F.year("data_protocolo_iso") == year).select("classe", "processo_id").distinct(), ["classe", "processo_id"], "left_semi")
-    thin = sample(d.select("classe", "processo_id", "doc_type", "url", "seq", "sha1"), n, ["classe", "processo_id", "url", "seq"], seed)
+    thin = sample(d.select("classe", "processo_id", "doc_type", "url", "seq", "sha1"), n, ["classe", "processo_id", "url", "seq"], seed).drop("sha1")
     bodies = d.select("classe", "processo_id", "url", "seq", "text", "n_chars")
-    return bodies.join(F.broadcast(thin.drop("sha1")), ["classe", "processo_id", "url", "seq"]).select("classe", "processo_id", "doc_type", "url", "n_chars", F.substring("text", 1, head).alias("head"))
+    return bodies.join(F.broadcast(thin) if n <= BROADCAST_ROWS else thin, ["classe", "processo_id", "url", "seq"]).select("classe", "processo_id", "doc_type", "url", "n_chars", F.substring("text", 1, head).alias("head"))
 
 
 def population(cases: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
@@ -155,10 +159,10 @@ def unseen_types(rows: DataFrame) -> DataFrame:
 
 def host_stats(requests: DataFrame) -> DataFrame:
     """(host, n, n_cached, n_errors, p50_ms, p95_ms): times are of requests that weren't answered from a cache."""
-    ms = F.when(~F.coalesce(F.col("from_cache"), F.lit(False)), F.col("elapsed_ms"))
-    return requests.groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("from_cache"), F.lit(False))).alias("n_cached"), F.count_if(F.coalesce(F.col("http_status") >= 400, F.lit(False))).alias("n_errors"), stats.percentile_nearest(ms, 0.5).alias("p50_ms"), stats.percentile_nearest(ms, 0.95).alias("p95_ms")
-    )
+    cached = F.coalesce(F.col("from_cache"), F.lit(False))
+    counts = requests.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(cached).alias("n_cached"), F.count_if(F.coalesce(F.col("http_status") >= 400, F.lit(False))).alias("n_errors"))
+    times = stats.percentiles(requests.where(~cached), ["host"], "elapsed_ms", {"p50_ms": ("nearest", 0.5), "p95_ms": ("nearest", 0.95)})
+    return counts.join(times.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
 
 
 def latest_manifest(manifest: DataFrame) -> DataFrame:
@@ -167,17 +171,92 @@ def latest_manifest(manifest: DataFrame) -> DataFrame:
 
 def ocr_scores(pages: DataFrame, providers: DataFrame, results: DataFrame, gold: DataFrame) -> DataFrame:
     """(sha1, provider, cer, pages_per_s) for every page and provider; a provider's last result counts. Providers are
-    few, which is checked, and broadcast."""
+    broadcast if there are ``BROADCAST_ROWS`` of them or fewer."""
     providers = providers.select("provider").distinct()
-    if (n := providers.count()) > 1000:
-        raise ValueError(f"{n} providers are too many to broadcast")
+    if providers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        providers = F.broadcast(providers)
     last = results.groupBy("sha1", "provider").agg(F.max_by(F.struct("text", "wall_s", "n_pages"), "ts").alias("r"))
-    j = pages.select("sha1").distinct().crossJoin(F.broadcast(providers)).join(last, ["sha1", "provider"], "left").join(gold.select("sha1", F.col("text").alias("gold")), "sha1", "left")
+    j = pages.select("sha1").distinct().crossJoin(providers).join(last, ["sha1", "provider"], "left").join(gold.select("sha1", F.col("text").alias("gold")), "sha1", "left")
     return j.select("sha1", "provider", tx.character_error_rate(F.col("r.text"), F.col("gold")).alias("cer"), F.when(F.col("r.wall_s") > 0, F.col("r.n_pages") / F.col("r.wall_s")).alias("pages_per_s"))
 
 
 def ocr_rollup(scores: DataFrame) -> DataFrame:
     """(provider, n, median_cer, p10_cer, p90_cer, pages_per_s)."""
-    return scores.groupBy("provider").agg(
-        F.count("cer").alias("n"), F.expr("percentile(cer, 0.5)").alias("median_cer"), stats.percentile_low(F.col("cer"), 0.1).alias("p10_cer"), stats.percentile_floor(F.col("cer"), 0.9).alias("p90_cer"), F.avg("pages_per_s").alias("pages_per_s")
-    )
+    means = scores.groupBy("provider").agg(F.count("cer").alias("n"), F.avg("pages_per_s").alias("pages_per_s"))
+    ranks = stats.percentiles(scores, ["provider"], "cer", {"median_cer": ("median", 0.5), "p10_cer": ("low", 0.1), "p90_cer": ("floor", 0.9)})
+    return means.join(ranks, "provider", "left").select("provider", "n", "median_cer", "p10_cer", "p90_cer", "pages_per_s")
+
+
+def ocr_report(files: dict[str, DataFrame], baseline: str = "pypdf") -> DataFrame:
+    """(sha1, provider, stratum, doc_type, n_pages, n_chars, wall_seconds, dollars, cer, similarity) of what
+    ``caches.ocr_files`` read: a row for each text of a manifest's page. Errors count against the corrected text where the
+    manifest says that there is one, similarity to the baseline's text is of the others; white space is folded."""
+    flat = lambda c: tx.normalize_spaces(F.coalesce(c, F.lit("")))
+    m, texts = files["manifest"].select("sha1", "stratum", "doc_type", "n_pages", "gold_corrected"), files["texts"]
+    last = files["results"].groupBy("sha1", "provider").agg(F.max_by(F.struct("n_pages", "wall_seconds", "dollars"), "line").alias("r"))
+    gold = files["gold"].select("sha1", flat(F.col("text")).alias("gold"))
+    base = texts.where(F.col("provider") == baseline).select("sha1", flat(F.col("text")).alias("base"))
+    j = m.join(texts, "sha1").join(last, ["sha1", "provider"], "left").join(gold, "sha1", "left").join(base, "sha1", "left")
+    here = flat(F.col("text"))
+    pages = F.coalesce(F.nullif(F.col("r.n_pages"), F.lit(0)), F.nullif("n_pages", F.lit(0)), F.lit(0))
+    cer = F.when(F.coalesce("gold_corrected", F.lit(False)), tx.character_error_rate(here, F.col("gold")))
+    alike = F.when(F.col("provider") != baseline, F.when((F.col("base") == "") != (here == ""), 0.0).otherwise(tx.similarity(F.col("base"), here)))
+    return j.select("sha1", "provider", "stratum", "doc_type", pages.alias("n_pages"), F.length("text").alias("n_chars"), "r.wall_seconds", "r.dollars", cer.alias("cer"), alike.alias("similarity"))
+
+
+def views(andamentos: DataFrame, documentos: DataFrame, pdfs: DataFrame, disk_bytes: DataFrame, disk_txt: DataFrame) -> dict[str, DataFrame]:
+    """The four views of a warehouse by name."""
+    documents = substantive(andamentos, documentos, pdfs)
+    return {"pdfs_substantive": documents, "missing_bytes": missing(documents, disk_bytes), "missing_text": missing(documents, disk_txt), "orphan_cache_files": orphans(documents, disk_bytes, disk_txt)}
+
+
+def scoped(cases: DataFrame, classes: Iterable[str], low: int, high: int) -> DataFrame:
+    """(classe, processo_id) of the cases of some classes within a range, ends included."""
+    return cases.where(F.col("classe").isin(*classes) & F.col("processo_id").between(low, high)).select("classe", "processo_id")
+
+
+def with_parties(cases: DataFrame, partes: DataFrame) -> DataFrame:
+    """(classe, processo_id, relator, nome): a row for each party of each case."""
+    return cases.join(partes, ["classe", "processo_id"]).select("classe", "processo_id", "relator", "nome")
+
+
+def events_of_year(andamentos: DataFrame, cases: DataFrame, year: int) -> DataFrame:
+    """(processo_id, seq) of the events of cases filed in a year; a semi-join, so no event is doubled."""
+    return andamentos.join(cases.where(F.year("data_protocolo_iso") == year), "processo_id", "left_semi").select("processo_id", "seq")
+
+
+def text_search(andamentos: DataFrame, cases: DataFrame, needle: str) -> DataFrame:
+    """(classe, relator, n): events whose complement has the needle, case aside, by class and rapporteur."""
+    j = andamentos.where(F.lower("complemento").contains(needle.lower())).select("processo_id").join(cases.select("processo_id", "classe", "relator"), "processo_id")
+    return j.groupBy("classe", "relator").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_documents(andamentos: DataFrame) -> DataFrame:
+    """(link_tipo, link_url), each once."""
+    return andamentos.select("link_tipo", "link_url").distinct()
+
+
+def all_keys(*tables: DataFrame) -> DataFrame:
+    """(classe, processo_id) of every row of every table, repetitions included."""
+    out = None
+    for t in tables:
+        keys = t.select("classe", "processo_id")
+        out = keys if out is None else out.unionByName(keys)
+    return out
+
+
+def not_among(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """Rows of ``expected``, each once, that ``present`` doesn't have; null is equal to null."""
+    return expected.subtract(present)
+
+
+def latest_case(cases: DataFrame) -> DataFrame:
+    """(classe, processo_id) of the case filed last; of several, that of the highest number."""
+    return cases.orderBy(F.desc("data_protocolo_iso"), F.desc("processo_id")).limit(1).select("classe", "processo_id")
+
+
+def last_requests(requests: DataFrame, n: int = 3) -> DataFrame:
+    """(url, id, status): the last ``n`` requests of each URL by time, then id; the window's limit cuts before the
+    shuffle."""
+    k = F.row_number().over(Window.partitionBy("url").orderBy(F.desc("ts"), F.desc("id")))
+    return requests.where("url IS NOT NULL").withColumn("k", k).where(F.col("k") <= n).select("url", "id", "status")

@@ -73,7 +73,7 @@ def seeds(targets: DataFrame, meta: DataFrame, urls: DataFrame) -> DataFrame:
     done = m.where("status = 'ok'").select(*key)
     mine = urls.join(done, key, "left_semi")
     b = mine.where("stage = 'fetch_bytes'").select(*key, "url", "status", "retry_count")
-    bytes_ = b.where((F.col("status") != "ok") & again("fetch_bytes")).select(*key, F.lit("fetch_bytes").alias("kind"), F.lit("sistemas").alias("pool"), "url")
+    bytes_ = b.where(~F.coalesce(F.col("status") == "ok", F.lit(False)) & again("fetch_bytes")).select(*key, F.lit("fetch_bytes").alias("kind"), F.lit("sistemas").alias("pool"), "url")
     t = b.where("status = 'ok'").select(*key, "url").join(mine.where("stage = 'extract_text'").select(*key, "url", "status", "retry_count"), [*key, "url"], "left")
     texts = t.where(~F.coalesce(F.col("status") == "ok", F.lit(False)) & again("extract_text")).select(*key, F.lit("extract_text").alias("kind"), F.lit("ocr").alias("pool"), "url")
     return cases.unionByName(bytes_).unionByName(texts)
@@ -103,3 +103,29 @@ def pecas_total(meta: DataFrame) -> DataFrame:
     """One row: the documents of all good cases, null if any of them doesn't say."""
     ok = meta.where("status = 'ok'")
     return ok.agg(F.when(F.bool_or(F.col("n_pecas").isNull()), F.lit(None).cast("bigint")).otherwise(F.coalesce(F.sum("n_pecas"), F.lit(0))).alias("pecas_total"))
+
+
+def sweep_observations(files: DataFrame) -> DataFrame:
+    """(sweep, classe, processo_id, status) of the older sweeps' state files given as (path, body): an object of records
+    by any key. Malformed files, and records without class or whole number, are skipped."""
+    fine = files.where(F.try_parse_json("body").isNotNull() & F.col("body").rlike("^\\s*\\{"))
+    rows = fine.select(F.col("path").alias("sweep"), F.explode(F.from_json("body", "map<string,string>")).alias("key", "value")).where(F.col("value").rlike("^\\s*\\{"))
+    r = rows.select("sweep", F.from_json("value", "classe string, status string").alias("r"), F.get_json_object("value", "$.processo").alias("n"))
+    whole = F.when(F.col("n").rlike("^-?[0-9]+$"), F.col("n").try_cast("int"))
+    return r.select("sweep", "r.classe", whole.alias("processo_id"), "r.status").where("classe IS NOT NULL AND processo_id IS NOT NULL")
+
+
+def sweep_unallocated(observations: DataFrame, classe: str, minimum: int = 2) -> DataFrame:
+    """(processo_id, n_observations, confirmed) of the numbers of a class that older sweeps saw unallocated, by number."""
+    g = observations.where((F.col("classe") == classe) & (F.col("status") == "unallocated")).groupBy("processo_id").agg(F.count(F.lit(1)).alias("n_observations"))
+    return g.withColumn("confirmed", F.col("n_observations") >= minimum).orderBy("processo_id")
+
+
+#: Piles that another pass may empty.
+ACTIONABLE = ("provider_switch", "refetch_upstream", "replay")
+
+
+def actionable(rows: DataFrame) -> DataFrame:
+    """(bucket, n) of the piles that another pass may empty; rows as for ``recovery_plan``."""
+    b = rows.select(rules.recovery_bucket(F.col("kind"), F.col("status"), F.col("retry_count"), F.col("extractor"), F.col("dismissed")).alias("bucket"))
+    return b.where(F.col("bucket").isin(*ACTIONABLE)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))

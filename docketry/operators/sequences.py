@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,6 +92,38 @@ def throttle(latencies: Column, errors: Column, start: float, concurrency: float
     return F.aggregate(pairs, F.lit(float(start)), step)
 
 
+def retract(events: Column, sign: str = "LANCAMENTO INDEVIDO") -> Column:
+    """struct(kept, removed) of a docket (array of struct with folded nome, complemento and data; newest first): an event
+    whose name begins with ``sign`` takes back an earlier one that is still there, and both go.
+
+    Which one, by what its complement has in it, first of these that any has: the name of the event just before; the
+    name and date of one, its complement and date, its name, its date, its complement (of several the nearest); else the
+    one just before. Where nothing is before it goes alone. Null and empty fields are in no complement.
+    """
+    has = lambda c, x: F.coalesce((x != "") & c.contains(x), F.lit(False))
+    kind = "struct<nome:string,complemento:string,data:string>"
+    plain = F.transform(F.reverse(events), lambda e: F.struct(*[e[c].alias(c) for c in ("nome", "complemento", "data")]))
+
+    def step(acc: Column, e: Column) -> Column:
+        kept, gone, c = acc["kept"], acc["removed"], F.coalesce(e["complemento"], F.lit(""))
+        n = F.size(kept)
+        last = F.try_element_at(kept, F.lit(-1))
+        nearest = lambda test: F.array_max(F.filter(F.transform(kept, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull()))
+        tests = (
+            *(lambda x: has(c, x["nome"]) & has(c, x["data"]), lambda x: has(c, x["complemento"]) & has(c, x["data"])),
+            *(lambda x: has(c, x["nome"]), lambda x: has(c, x["data"]), lambda x: has(c, x["complemento"])),
+        )
+        at = F.coalesce(F.when(has(c, last["nome"]), n - 1), *[nearest(t) for t in tests], n - 1)
+        both = F.transform(F.array(at), lambda k: F.struct(F.filter(kept, lambda x, i: i != k).alias("kept"), F.concat(gone, F.array(e), F.array(F.try_element_at(kept, k + 1))).alias("removed")))[0]
+        alone = F.struct(kept.alias("kept"), F.array_append(gone, e).alias("removed"))
+        more = F.struct(F.array_append(kept, e).alias("kept"), gone.alias("removed"))
+        return F.when(~F.coalesce(e["nome"].startswith(sign), F.lit(False)), more).when(n == 0, alone).otherwise(both)
+
+    none = F.array().cast(f"array<{kind}>")
+    out = F.aggregate(plain, F.struct(none.alias("kept"), none.alias("removed")), step)
+    return F.transform(F.array(out), lambda o: F.struct(F.reverse(o["kept"]).alias("kept"), o["removed"].alias("removed")))[0]
+
+
 def cancel_events(names: Column, cancels: Column) -> Column:
     """Events (array of text, oldest first) without those that a later event takes back, nor the takings back:
     ``cancels`` holds for each event the word that the event it takes back contains, or null. The nearest earlier event
@@ -117,12 +149,24 @@ def _segments(anchors: DataFrame, x: str, y: str) -> DataFrame:
     return s.withColumns({"lo": F.when(F.col("i") == 1, F.lit(-(1 << 62))).otherwise(F.col("x0")), "hi": F.when(F.col("i") == last, F.lit(1 << 62)).otherwise(F.col("x1"))})
 
 
+def _by_cell(rows: DataFrame, spread: DataFrame, at: str, cell: Callable[[Column], Column], within: Column) -> DataFrame:
+    mine = rows.withColumn("_mine", cell(F.col(at)))
+    return mine.join(spread, (F.col("_mine") == F.col("_cell")) & within, "left").drop("_mine", "_cell")
+
+
 def interpolate(rows: DataFrame, anchors: DataFrame, at: str, x: str, y: str, out: str, broadcast_rows: int = 10_000) -> DataFrame:
     """Adds ``out``: the piecewise linear value at ``at``, whole, halves to even; beyond the anchors the outer pieces go
-    on. The pieces are broadcast, as their number is checked; more than ``broadcast_rows`` raise."""
+    on. Up to ``broadcast_rows`` pieces are broadcast; more are met by cells of the axis, as many as there are
+    pieces, so the join stays an equality. Null where ``at`` is null or there are fewer than two anchors."""
     pieces = _segments(anchors.groupBy(x).agg(F.min(y).alias(y)), x, y)
-    if (n := pieces.count()) > broadcast_rows:
-        raise ValueError(f"{n} anchors are no calendar")
-    j = rows.join(F.broadcast(pieces), (F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi")), "left")
+    within = (F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi"))
+    n, low, high = pieces.agg(F.count(F.lit(1)), F.min("x0"), F.max("x1")).first()
+    if n <= broadcast_rows:
+        j = rows.join(F.broadcast(pieces), within, "left")
+    else:
+        width = max(1, (high - low) // n)
+        cell = lambda v: F.floor((F.greatest(F.lit(low), F.least(F.lit(high), v)) - low) / width)
+        spread = pieces.withColumn("_cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
+        j = _by_cell(rows, spread, at, cell, within)
     value = F.col("y0") + (F.col(at) - F.col("x0")) / (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     return j.withColumn(out, F.bround(value).cast("bigint")).select(*rows.columns, out)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.functions import rules
+from docketry.sources import logs
 
 
 def _stem(path: Column, suffix: str) -> Column:
@@ -100,3 +101,25 @@ def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def html_archives(spark: SparkSession, root: str) -> DataFrame:
     """(path, tab, html) of every page within the .tar.gz archives under ``root``."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(root).select("path", "content").mapInPandas(_members, "path string, tab string, html string")
+
+
+_MANIFEST = "sha1 string, stratum string, doc_type string, n_pages int, gold_corrected boolean"
+_RESULT = "sha1 string, provider string, n_pages int, wall_seconds double, dollars double"
+
+
+def ocr_files(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """What a comparison of extractors left under ``root``: ``manifest`` and ``results`` (with their line's place; no
+    results without a file), ``texts`` (sha1, provider, text) by the names <sha1>.<provider>.txt, and ``gold`` (sha1,
+    text), the corrected ones. Malformed lines raise."""
+    exists = lambda p: (at := spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{p}")).getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    lines = lambda name, schema: logs.read_jsonl(spark, f"{root}/{name}.jsonl", schema)
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "\\.txt$", "")
+
+    def bodies(folder: str) -> DataFrame:
+        if not exists(folder):
+            return spark.createDataFrame([], "name string, text string")
+        return spark.read.option("pathGlobFilter", "*.txt").text(f"{root}/{folder}", wholetext=True).select(name.alias("name"), F.col("value").alias("text"))
+
+    texts = bodies("texts").where(F.col("name").contains(".")).select(F.substring_index("name", ".", 1).alias("sha1"), F.substring_index("name", ".", -1).alias("provider"), "text")
+    empty = spark.createDataFrame([], _RESULT + ", file string, line bigint")
+    return {"manifest": lines("manifest", _MANIFEST), "results": lines("results", _RESULT) if exists("results.jsonl") else empty, "texts": texts, "gold": bodies("gold").withColumnRenamed("name", "sha1")}

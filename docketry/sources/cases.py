@@ -53,6 +53,19 @@ def scan(spark: SparkSession, root: str, classes: Iterable[str] | None = None, i
     return out.drop("name")
 
 
+def find(spark: SparkSession, roots: Iterable[str], classe: str, number: int, stem: str = "case-mini") -> str | None:
+    """Path of a case's file: under each root in turn, for each of its two names, in the class's folder, then in the root
+    itself. At most four probes a root and no listing; None where there is none, which is no error."""
+    for root in roots:
+        for name in (f"{stem}_{classe}_{number}.json", f"{stem}_{classe}_{number}-{number}.json"):
+            for path in (f"{root}/{classe}/{name}", f"{root}/{name}"):
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+                if files.exists(at) and files.getFileStatus(at).isFile():
+                    return path
+    return None
+
+
 def _is_object(c: Column) -> Column:
     return F.coalesce(c.rlike("^\\s*\\{"), F.lit(False))
 
@@ -301,3 +314,10 @@ def reshape(parsed: DataFrame, now: Column | None = None) -> DataFrame:
         outcome.alias("outcome"),
         F.coalesce(legal.primeiro_autor(c["partes"]), c["primeiro_autor"]).alias("primeiro_autor"),
     )
+
+
+def rewrite(parsed: DataFrame, root: str, now: Column | None = None) -> None:
+    """Writes every case as version 8, one JSON object a line, in a folder for each class; what ``reshape`` doesn't know
+    isn't carried over. Reading it again gives the same cases."""
+    rows = reshape(parsed, now)
+    rows.select(F.col("classe").alias("folder"), F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").partitionBy("folder").text(root)

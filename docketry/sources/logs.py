@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,13 +136,15 @@ def captured(names: DataFrame) -> DataFrame:
 # sinks
 
 
-def publish(tables: dict[str, DataFrame], root: str) -> str:
+def publish(tables: dict[str, DataFrame], root: str, finish: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None) -> str:
     """Full rebuild that readers never see half of: tables go to a new version's folder, then the pointer is replaced by
-    one rename. Returns the version's folder."""
+    one rename. ``finish`` makes further tables of those that are written. Returns the version's folder."""
     spark = next(iter(tables.values())).sparkSession
     version = f"{root}/v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{version}/{name}")
+    for name, df in (finish({n: spark.read.parquet(f"{version}/{n}") for n in tables}) if finish else {}).items():
+        df.write.mode("overwrite").parquet(f"{version}/{name}")
     jvm = spark._jvm
     path = lambda s: jvm.org.apache.hadoop.fs.Path(s)
     fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -185,6 +187,119 @@ def export(rows: DataFrame, path: str, how: str = "all", overwrite: bool = False
         rows.write.mode("overwrite").json(f"{path}/json")
 
 
+def published(spark: SparkSession, root: str) -> str | None:
+    """Folder of the version that readers use; None where nothing was published."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
+    return open_published(spark, root) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def url_list(spark: SparkSession, path: str, field: str, schema: str = LOG_SCHEMA) -> DataFrame:
+    """Rows of a JSON-lines file that have ``field``, whatever its value; blank lines are skipped, malformed ones raise."""
+    raw = spark.read.text(path).where(F.trim("value") != "").where(F.parse_json("value").isNotNull())
+    has = F.array_contains(F.json_object_keys("value"), field)
+    return raw.where(has).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def existing_output(spark: SparkSession, base: str, formats: Iterable[str] = ("csv", "jsonl", "json")) -> tuple[str, str] | None:
+    """(path, format) of the output of an earlier run under ``base``: the first there is of csv, jsonl, json, among the
+    formats that are asked for."""
+    for how in (f for f in ("csv", "jsonl", "json") if f in set(formats)):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{base}.{how}")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return f"{base}.{how}", how
+    return None
+
+
+def existing_numbers(spark: SparkSession, base: str, formats: Iterable[str] = ("csv", "jsonl", "json")) -> DataFrame | None:
+    """(processo_id) of an earlier run's output, as text, each once; None without an output or without that column. A
+    JSON file holds an object or a list of them."""
+    found = existing_output(spark, base, formats)
+    if found is None:
+        return None
+    path, how = found
+    if how == "csv":
+        rows = spark.read.csv(path, header=True)
+        return rows.select(F.col("processo_id").cast("string")).distinct() if "processo_id" in rows.columns else None
+    text = spark.read.text(path, wholetext=how == "json").where(F.trim("value") != "")
+    one = F.when(F.col("value").rlike("^\\s*\\["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    number = F.get_json_object("record", "$.processo_id")
+    return text.select(F.explode(one).alias("record")).select(number.alias("processo_id")).where("processo_id IS NOT NULL").distinct()
+
+
+def missing_numbers(spark: SparkSession, base: str, low: int, high: int, formats: Iterable[str] = ("csv", "jsonl", "json")) -> DataFrame:
+    """(processo_id) of low to high that an earlier run's output lacks; none where there is no output to compare with."""
+    have = existing_numbers(spark, base, formats)
+    every = spark.range(low, high + 1).select(F.col("id").alias("processo_id"))
+    if have is None:
+        return every.where(F.lit(False))
+    return every.join(have.select(F.col("processo_id").try_cast("bigint").alias("processo_id")), "processo_id", "left_anti")
+
+
+def unallocated_numbers(lines: DataFrame) -> DataFrame:
+    """(processo_id) of a list file (value): whole numbers, one a line; notes, blank lines and anything else are
+    skipped."""
+    return lines.select(F.trim("value").alias("v")).where(F.col("v").rlike("^-?[0-9]+$")).select(F.col("v").try_cast("int").alias("processo_id")).where("processo_id IS NOT NULL").distinct()
+
+
+def _one_file(rows: DataFrame, path: str, how: str, **options: object) -> None:
+    """Writes a small sorted table as a folder with one part."""
+    writer = rows.coalesce(1).write.mode("overwrite")
+    writer.options(**options).format(how).save(path)
+
+
+def write_unallocated(found: DataFrame, root: str, classe: str) -> tuple[str, str]:
+    """Writes ``<classe>.txt``, the confirmed numbers, and ``<classe>.candidates.tsv``, all with their counts, from
+    (processo_id, n_observations, confirmed), both by number. Returns both paths; each is a folder with one part."""
+    listed, sheet = f"{root}/{classe}.txt", f"{root}/{classe}.candidates.tsv"
+    _one_file(found.where("confirmed").select(F.col("processo_id").cast("string").alias("value"), F.col("processo_id").alias("n")).repartition(1).sortWithinPartitions("n").select("value"), listed, "text")
+    _one_file(found.select("processo_id", "n_observations").repartition(1).sortWithinPartitions("processo_id"), sheet, "csv", header=True, sep="\t")
+    return listed, sheet
+
+
+def write_gaps(gaps: DataFrame, path: str, classe: str = "HC") -> int:
+    """Writes a sheet (classe, processo) of missing numbers, the highest first, and returns how many there are."""
+    rows = gaps.select(F.lit(classe).alias("classe"), F.col("processo_id").alias("processo"))
+    _one_file(rows.repartition(1).sortWithinPartitions(F.desc("processo")), path, "csv", header=True)
+    return rows.count()
+
+
+# what a command is about
+
+
+def scope(retry: str | None = None, sheet: str | None = None, classe: str | None = None, first: int | None = None, last: int | None = None, **filters: str) -> tuple[str, dict]:
+    """(mode, arguments) of the work that is asked for: a retry of an earlier run goes before a sheet, that before a range
+    of a class (one end given is both), that before filters, comma-separated. Nothing at all raises, as it would mean
+    the whole corpus."""
+    if retry:
+        return "retry", {"path": retry}
+    if sheet:
+        return "sheet", {"path": sheet}
+    if classe and (first is not None or last is not None):
+        low, high = first if first is not None else last, last if last is not None else first
+        return "range", {"classe": classe, "first": low, "last": high}
+    lists = {k: [x.strip() for x in v.split(",") if x.strip()] for k, v in filters.items() if v}
+    lists = {k: v for k, v in lists.items() if v}
+    if not classe and not lists:
+        raise ValueError("name a scope: an earlier run, a sheet, a class with a range, or a filter")
+    return "filters", {"classe": classe, **lists}
+
+
+FORMATS = ("csv", "jsonl", "json", "all")
+
+
+def valid_arguments(classe: str, first: int, last: int, how: str = "json", test: bool = False, classes: Iterable[str] | None = None) -> None:
+    """Raises for a class that isn't known, a range that runs backwards, an unknown format, and for a test run in any
+    format but json."""
+    if classes is not None and classe not in set(classes):
+        raise ValueError(f"unknown class {classe!r}")
+    if first > last:
+        raise ValueError(f"the range runs backwards: {first} to {last}")
+    if how not in FORMATS:
+        raise ValueError(f"unknown format {how!r}")
+    if test and how != "json":
+        raise ValueError("a test run writes json only")
+
+
 def redacted_log(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, tx.redact_credentials(F.col(column)))
 

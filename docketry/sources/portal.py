@@ -11,11 +11,12 @@ import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry import ship
+from docketry.functions import legal
 from docketry.functions import text as tx
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -356,19 +357,27 @@ def extracted(pages: DataFrame, kind: str, html: str = "html", out: str = "field
     """``pages`` with what a page of a kind holds in ``out``; null pages give what empty ones do."""
     function, shape = SHAPES[kind]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(**{out: [function(p) for p in frame[html]]})
+    # in Arrow batches; the page alone goes to Python, the other columns stay where they are
+    ship(pages.sparkSession)
+    return pages.withColumn(out, F.udf(function, shape, useArrow=True)(F.col(html)))
 
-    return pages.mapInPandas(run, T.StructType([*pages.schema.fields, T.StructField(out, shape)]))
 
-
-def assembled(detail: DataFrame, info: DataFrame, partes: DataFrame, andamentos: DataFrame, key: str = "incidente_id") -> DataFrame:
-    """One row a case with the fields of all its pages, each given as (key, fields); a page that is missing gives nulls."""
+def assembled(detail: DataFrame, info: DataFrame, partes: DataFrame, andamentos: DataFrame, key: str = "incidente_id", sessao_virtual: DataFrame | None = None, publicacoes_dje: DataFrame | None = None, **more: DataFrame) -> DataFrame:
+    """One row a case with the fields of all its pages, each given as (key, fields); a page that is missing gives nulls.
+    ``sessao_virtual`` and ``publicacoes_dje`` are (key, fields) with the lists that ``session_entries`` and
+    ``gazette_entries`` make; ``more`` are further pages (moves, petitions, appeals) under their names. With all of them
+    it is a whole case: primeiro_autor and outcome are derived, and lists that are missing are empty."""
     out = detail.select(key, F.col("fields").alias("d"))
-    for name, df in (("i", info), ("partes", partes), ("andamentos", andamentos)):
+    lists = {"partes": partes, "andamentos": andamentos, "sessao_virtual": sessao_virtual, "publicacoes_dje": publicacoes_dje, **more}
+    lists = {k: v for k, v in lists.items() if v is not None}
+    for name, df in ({"i": info} | lists).items():
         out = out.join(df.select(key, F.col("fields").alias(name)), key, "left")
-    return out.select(key, "d.*", "i.*", "partes", "andamentos")
+    if sessao_virtual is None:
+        return out.select(key, "d.*", "i.*", *lists)
+    filled = [F.coalesce(F.col(n), F.array().cast(out.schema[n].dataType)).alias(n) for n in lists]
+    held = F.transform(F.coalesce(F.col("sessao_virtual"), F.array().cast(out.schema["sessao_virtual"].dataType)), lambda s: F.struct(s["metadata"].alias("metadata"), s["voto_relator"].alias("voto_relator")))
+    events = F.coalesce(F.col("andamentos"), F.array().cast(out.schema["andamentos"].dataType))
+    return out.select(key, "d.*", "i.*", *filled, legal.primeiro_autor(F.col("partes")).alias("primeiro_autor"), legal.derive_outcome(held, events).alias("outcome"))
 
 
 def with_details(listing: DataFrame, details: DataFrame) -> DataFrame:
@@ -376,6 +385,18 @@ def with_details(listing: DataFrame, details: DataFrame) -> DataFrame:
     return listing.join(details, "detail_url", "left")
 
 
+def gazette_entries(listings: DataFrame, details: DataFrame, key: str = "incidente_id") -> DataFrame:
+    """(key, fields): each case's gazette entries in the order of its listing, (key, fields), each with the fields of its
+    page, (detail_url, fields); an entry whose page is missing has null ones and no decisions."""
+    rows = listings.select(key, F.posexplode("fields").alias("at", "e"))
+    found = details.select(F.col("detail_url").alias("_url"), F.col("fields").alias("f"))
+    j = rows.join(found, F.col("e.detail_url") == F.col("_url"), "left")
+    decisions = F.transform(F.coalesce(F.col("f.decisoes"), F.array().cast("array<struct<kind:string,texto:string,rtf_url:string>>")), lambda d: F.struct(d["kind"].alias("kind"), d["texto"].alias("texto"), F.when(d["rtf_url"].isNotNull(), F.struct(d["rtf_url"].alias("url"))).alias("rtf")))
+    entry = F.struct("at", "e.*", *[F.col(f"f.{c}").alias(c) for c in ("classe", "procedencia", "relator", "partes", "materia")], decisions.alias("decisoes"))
+    g = j.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("x"))
+    return g.select(key, F.transform("x", lambda t: t.dropFields("at")).alias("fields"))
+
+
 # sessions and themes: JSON
 
 _NAME = "struct<descricao:string>"
@@ -441,3 +462,30 @@ def themes(answers: DataFrame, body: str = "body") -> DataFrame:
         *rest, F.lit("tema").alias("tipo"), F.col("p.numeroTema").alias("tema"), F.col("p.tituloTema").alias("titulo"), tx.to_iso(F.col("p.dataInicioJulgamento")).alias("data_inicio"), tx.to_iso(F.col("p.dataFimPrevistaJulgamento")).alias("data_fim_prevista"),
         F.col("p.siglaClasse").alias("classe"), F.col("p.numeroProcesso").alias("numero"), "p.relator", F.coalesce(votes, F.array().cast(_JUDGE)).alias("votos"), title.alias("julgamento_item_titulo"),
     )
+
+
+Fetch = Callable[[str, DataFrame], DataFrame]
+
+
+def session_entries(cases: DataFrame, fetch: Fetch, key: str = "incidente") -> DataFrame:
+    """(key, fields): the session entries of each of ``cases`` (key, tema): those of its theme first, then those of every
+    subject of its own, in their order.
+
+    ``fetch(what, asked)`` answers questions: for ``what`` "tema", "oi" or "sessaoVirtual" it returns ``asked``, a table
+    with a column ``value``, with the answers' text in ``body``, null where there was none. A part whose answer is
+    missing or malformed has no entries; the others stay. Cases without any have an empty list.
+    """
+    answer = lambda what, asked: fetch(what, asked)
+    of_theme = themes(answer("tema", cases.where("tema IS NOT NULL").select(key, F.col("tema").alias("value"))).where(F.try_parse_json("body").isNotNull()).select(key, "body"))
+    none = F.lit(None).cast("string")
+    entry = lambda tipo, metadata, documents, vote, title: F.struct(tipo.alias("tipo"), metadata.alias("metadata"), documents.alias("documentos"), vote.alias("voto_relator"), title.alias("julgamento_item_titulo"))
+    when = F.struct(F.col("relator").alias("relator"), F.col("data_inicio").alias("data_inicio"), F.col("data_fim_prevista").alias("data_fim_prevista"))
+    a = of_theme.select(key, F.struct(F.lit(0).alias("part"), F.lit(0).alias("i"), F.col("tema").cast("bigint").alias("j")).alias("at"), entry(F.lit("tema"), when, F.array().cast("array<struct<tipo:string,url:string>>"), none, F.col("julgamento_item_titulo")).alias("e"))
+    own = answer("oi", cases.select(key, F.col(key).alias("value"))).select(key, F.posexplode(subjects(F.col("body"))).alias("i", "o"))
+    held = sittings(answer("sessaoVirtual", own.select(key, "i", F.col("o.id").alias("value"))).drop("value"))
+    meta = F.struct("metadata.relator", "metadata.data_inicio", "metadata.data_fim_prevista")
+    at = F.struct(F.lit(1).alias("part"), "i", F.monotonically_increasing_id().alias("j"))
+    b = held.select(key, at.alias("at"), entry(F.lit("sessao"), meta, F.col("documentos"), F.col("voto_relator"), F.col("julgamento_item_titulo")).alias("e"))
+    g = a.unionByName(b).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "e"))).alias("x")).select(key, F.col("x.e").alias("fields"))
+    out = cases.select(key).distinct().join(g, key, "left")
+    return out.withColumn("fields", F.coalesce("fields", F.array().cast(g.schema["fields"].dataType)))
