@@ -128,26 +128,22 @@ def _(d):
     return r.select("id", "o.verdict", "o.source", "o.source_index")
 
 
-def _event_case(column: str) -> str:
-    """The rules of events as DuckDB SQL."""
-    arms = []
-    for label, rule in legal.EVENT_RULES.items():
-        ors = []
-        for alternative in rule.split("|"):
-            ands = []
-            for p in alternative.split("&"):
-                ands.append(f"starts_with({column}, '{p[1:]}')" if p[0] == "^" else f"{column} = '{p[1:]}'" if p[0] == "=" else f"contains(substr({column}, 1, {p[1:].split(':')[0]}), '{p.split(':')[1]}')" if p[0] == "@" else f"contains({column}, '{p}')")
-            ors.append("(" + " AND ".join(ands) + ")")
-        arms.append(f"WHEN {' OR '.join(ors)} THEN '{label}'")
-    return f"CASE {' '.join(arms)} ELSE '' END"
-
-
-@query("st10_classify_event", DOCKET, f"SELECT processo_id, seq, nome, {_event_case('u')} AS categoria FROM (SELECT *, upper(coalesce(nome, '')) AS u FROM {{in}})")
+#: What each of EVENT_NAMES is, written out; "DISTRIBUIDO" in capitals is told, accented words aren't.
+_EVENT_LABELS = (
+    *("protocolo", "autuado", "distribuicao", "distribuicao", "conclusao", "vista", "pedido_vista", "despachos", "", "ordinatorio", "", "publicacao"),
+    *("pauta", "pauta", "adiado", "destaque", "transito", "baixa", "agravo", "embargo", "interposto", "deferido", "indeferido", "qo"),
+    *("decisao_merito", "decisao_merito", "decisao_merito", "excluidos", "excluidos", "excluidos", "suspensao_julgamento", "sustentacao_oral", "julgamento_virtual", "reconsideracao", "conexao", "cancelados"),
+    *("audiencia", "agu", "vista", "imped_susp", "", "", "", "decisao_merito", "decisao_merito"),
+)
+_EVENT = choose("l_partkey", _EVENT_LABELS)
+
+
+@query("st10_classify_event", DOCKET.replace("l_quantity", "l_partkey, l_quantity"), f"SELECT processo_id, seq, nome, {_EVENT} AS categoria FROM {{in}}")
 def _(d):
     return d.select("processo_id", "seq", "nome", legal.classify_event(F.col("nome")).alias("categoria"))
 
 
-@query("ag26_event_tally", DOCKET, f"SELECT categoria, count(*) AS n FROM (SELECT {_event_case('u')} AS categoria FROM (SELECT upper(coalesce(nome, '')) AS u FROM {{in}})) GROUP BY 1")
+@query("ag26_event_tally", DOCKET.replace("l_quantity", "l_partkey, l_quantity"), f"SELECT {_EVENT} AS categoria, count(*) AS n FROM {{in}} GROUP BY 1")
 def _(d):
     return d.groupBy(legal.classify_event(F.col("nome")).alias("categoria")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -170,16 +166,18 @@ def _(d):
     return d.where("link_url IS NOT NULL").select("processo_id", "seq", tx.url_sha1(F.col("link_url")).alias("sha1"), tx.url_host(F.col("link_url")).alias("host"))
 
 
-_SHORT = _list(legal.SUBSTANTIVE)
+#: The types of LINK_TYPES whose text can't be short, and the tiers of all of them, written out.
+_SHORT = "'DESPACHO', 'INTEIRO TEOR DO ACÓRDÃO', 'Relatório', 'DECISÃO MONOCRÁTICA', 'Voto'"
 
 
-@query("st19_suspicious_short", DOCKET, f"SELECT processo_id, seq, CASE WHEN link_tipo IS NOT NULL THEN trim(upper(strip_accents(link_tipo))) IN ({_SHORT}) AND l_quantity * 10 < 200 END AS short FROM {{in}}")
+@query("st19_suspicious_short", DOCKET, f"SELECT processo_id, seq, CASE WHEN link_tipo IS NOT NULL THEN link_tipo IN ({_SHORT}) AND l_quantity * 10 < 200 END AS short FROM {{in}}")
 def _(d):
     return d.select("processo_id", "seq", legal.suspicious_short((F.col("l_quantity") * 10).cast("int"), F.col("link_tipo")).alias("short"))
 
 
 def _tier_sql(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN trim(upper(strip_accents({c}))) IN ({_list(k for k, v in legal.TIER_OF.items() if v == t)}) THEN '{t}'" for t in "ABC") + " END"
+    a, b, z = ("INTEIRO TEOR DO ACÓRDÃO", "Relatório", "DECISÃO MONOCRÁTICA", "MANIFESTAÇÃO DA PGR", "Voto"), ("DESPACHO",), ("CERTIDÃO", "certidao", "OUTRAS PEÇAS")
+    return f"CASE WHEN {c} IN ({_list(a)}) THEN 'A' WHEN {c} IN ({_list(b)}) THEN 'B' WHEN {c} IN ({_list(z)}) THEN 'C' END"
 
 
 @query("ru1_tiers", DOCKET, f"SELECT processo_id, seq, {_tier_sql('link_tipo')} AS tier, CASE WHEN trim(upper(strip_accents(link_tipo))) = 'INTEIRO TEOR DO ACORDAO' THEN 'tesseract' ELSE 'pypdf' END AS provider FROM {{in}}")
@@ -237,7 +235,7 @@ def _(d):
 # rules
 
 _STAGED = f"SELECT *, {choose('id + processo', ('varrer', 'baixar', 'extrair'))} AS stage, {choose('id + 2 * processo', ('ok', 'http_error', 'fail', 'empty', 'no_bytes', 'provider_error', 'unallocated', 'cached', 'unknown_type', 'outlier_skipped', None))} AS st FROM ({LOG}) x"
-_NET = " OR ".join(f"contains(lower(coalesce(error, '')), '{n}')" for n in rules.NETWORK_SIGNS)
+_NET = "regexp_matches(lower(coalesce(error, '')), '403|500|502|503|504|5xx|auth triad|chunkedencodingerror|connectionerror|connectionreset|cookies|proxyerror|ssl|timed out|timeout')"
 _KIND = f"""CASE stage WHEN 'varrer' THEN CASE WHEN st = 'ok' THEN 'ok' WHEN st IN ('unallocated', 'unallocated_pid') OR contains(lower(coalesce(error, '')), 'scrape returned none') OR coalesce(http_status = 404, false) OR contains(coalesce(error, ''), ' 404 ') OR starts_with(coalesce(error, ''), '404') THEN 'terminal' WHEN st IN ('http_error', 'fail', 'error') AND ({_NET}) THEN 'transient' ELSE 'terminal' END
  WHEN 'baixar' THEN CASE WHEN st IN ('ok', 'cached') THEN 'ok' WHEN st IN ('empty', 'empty_response', 'non_document_response') THEN 'transient' WHEN st = 'http_error' AND (coalesce(http_status = 404, false) OR contains(coalesce(error, ''), '404 ') OR contains(coalesce(error, ''), 'Not Found')) THEN 'terminal' WHEN st = 'http_error' AND ({_NET}) THEN 'transient' ELSE 'terminal' END
  ELSE CASE WHEN st IN ('ok', 'cached') THEN 'ok' WHEN st = 'no_bytes' THEN 'cross_stage' WHEN st = 'provider_error' THEN 'transient' ELSE 'terminal' END END"""
@@ -274,7 +272,9 @@ def _(d):
     return d.select("id", rules.migrate_status(F.col("st"), F.col("error")).alias("status"))
 
 
-@query("ru12_outcome_fits", CASES, f"""SELECT classe, processo_id, CASE {' '.join(f"WHEN classe IN ({_list(c.split())}) THEN outcome_verdict IN ('extinto', 'nao_conhecido', 'prejudicado', {_list(m.split())})" for c, m in legal.FAMILIES.values())} END AS fits, coalesce(outcome_verdict IN ({_list(legal.FAVOURABLE)}), false) AS won FROM {{in}}""")
+@query("ru12_outcome_fits", CASES, """SELECT classe, processo_id, CASE WHEN classe IN ('HC', 'MS') THEN outcome_verdict IN ('extinto', 'nao_conhecido', 'prejudicado', 'concedido', 'concedido_parcial', 'denegado')
+ WHEN classe = 'RE' THEN outcome_verdict IN ('extinto', 'nao_conhecido', 'prejudicado', 'provido', 'provido_parcial', 'nao_provido') WHEN classe = 'ADI' THEN outcome_verdict IN ('extinto', 'nao_conhecido', 'prejudicado', 'procedente', 'procedente_parcial', 'improcedente') END AS fits,
+ coalesce(outcome_verdict IN ('concedido', 'concedido_parcial', 'procedente', 'procedente_parcial', 'provido', 'provido_parcial'), false) AS won FROM {in}""")
 def _(d):
     return d.select("classe", "processo_id", legal.outcome_fits(F.col("classe"), F.col("outcome_verdict")).alias("fits"), legal.won(F.col("outcome_verdict")).alias("won"))
 
@@ -292,7 +292,7 @@ _META = f"SELECT classe, processo AS processo_id, status, error, ts, retries AS
 
 
 @query2("ag1_peca_issues", {"obs": _OBS, "docket": DOCKET}, f"""
-SELECT o.*, dt.doc_type, o.sha1[1:1] AS latest_extractor, length(o.url) AS n_chars, CASE WHEN dt.doc_type IS NOT NULL THEN trim(upper(strip_accents(dt.doc_type))) IN ({_SHORT}) END AS is_suspicious_short
+SELECT o.*, dt.doc_type, o.sha1[1:1] AS latest_extractor, length(o.url) AS n_chars, CASE WHEN dt.doc_type IS NOT NULL THEN dt.doc_type IN ({_SHORT}) END AS is_suspicious_short
 FROM (SELECT url, sha1, arg_max(classe, (ts, run_dir, status)) AS classe, arg_max(processo_id, (ts, run_dir, status)) AS processo_id, arg_max(status, (ts, run_dir, status)) AS latest_status, arg_max(run_dir, (ts, run_dir, status)) AS last_run_dir, min(nullif(ts, '')) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS n_attempts_seen FROM obs GROUP BY 1, 2) o
 LEFT JOIN (SELECT link_url AS url, min(link_tipo) AS doc_type FROM docket WHERE link_url IS NOT NULL AND link_tipo IS NOT NULL GROUP BY 1) dt USING (url)""")
 def _(obs, docket):
@@ -491,8 +491,7 @@ def _(d):
 
 @query("ag15_percentiles", _REQ, """SELECT host, v[least(floor(0.9 * len(v))::INT, len(v) - 1) + 1] AS p90, v[greatest(floor(0.1 * len(v))::INT - 1, 0) + 1] AS p10, quantile_cont(x, 0.5) AS median FROM (SELECT host, list_sort(list(elapsed_ms)) AS v, list(elapsed_ms) AS x FROM {in} GROUP BY 1) JOIN (SELECT host AS h, quantile_cont(elapsed_ms, 0.5) AS q FROM {in} GROUP BY 1) ON h = host""".replace("quantile_cont(x, 0.5) AS median", "q AS median"))
 def _(d):
-    x = F.col("elapsed_ms")
-    return d.groupBy("host").agg(stats.percentile_floor(x, 0.9).alias("p90"), stats.percentile_low(x, 0.1).alias("p10"), F.expr("percentile(elapsed_ms, 0.5)").alias("median"))
+    return stats.percentiles(d, ["host"], "elapsed_ms", {"p90": ("floor", 0.9), "p10": ("low", 0.1), "median": ("median", 0.5)})
 
 
 # sequences
@@ -660,9 +659,16 @@ def _reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("processo_id", "data_protocolo", "_meta.schema_version", "_meta.status_http", F.size("andamentos").alias("n_andamentos"), "outcome.verdict", "outcome.source_index")
 
 
+_BY_TEXT = ("denegado", "concedido", "concedido_parcial", "concedido_parcial", "nao_conhecido", "nao_conhecido", "prejudicado", "prejudicado", "nao_provido", "provido", "provido_parcial", "procedente", "improcedente", "procedente_parcial", "extinto", None, None, None, "nao_provido", "concedido")
+_TOLD = choose("l_suppkey + l_linenumber", _BY_TEXT)
+_TOLD = f"CASE WHEN nome = 'Negado seguimento' AND coalesce({_TOLD}, '') NOT IN ('concedido_parcial', 'provido_parcial', 'procedente_parcial') THEN 'nao_conhecido' ELSE {_TOLD} END"
+
 QUERIES |= {"pj1_flat_cases": _flat_cases, "pj4_flat_andamentos": _flat_andamentos, "pj17_targets": _targets, "pj10_reshape": _reshape}
 ORACLE |= {
     "pj1_flat_cases": plain(f"SELECT classe, processo_id, relator, outcome_verdict, data_protocolo_iso, 1 AS schema_version, 0 AS n_badges FROM ({CASES})"),
+    # a verdict written as text is derived anew from sessions and events; where they tell nothing it stays, with index -1
+    "pj10_reshape": plain(f"""SELECT c.processo_id, CAST(data_protocolo_iso AS VARCHAR) AS data_protocolo, 8 AS schema_version, 200 AS status_http, coalesce(k, 0)::INT AS n_andamentos, CASE WHEN outcome_verdict IS NOT NULL THEN coalesce(v, outcome_verdict) END AS verdict, CASE WHEN outcome_verdict IS NOT NULL THEN CASE WHEN v IS NULL THEN -1 ELSE 0 END END AS source_index
+ FROM ({CASES}) c LEFT JOIN (SELECT processo_id, count(*) AS k, arg_min(told, pos) FILTER (told IS NOT NULL) AS v FROM (SELECT processo_id, row_number() OVER (PARTITION BY processo_id ORDER BY seq, nome NULLS FIRST, strftime(CAST(l_shipdate AS DATE), '%d/%m/%Y'), complemento NULLS FIRST) AS pos, {_TOLD} AS told FROM ({DOCKET.replace("l_quantity", "l_partkey, l_suppkey, l_linenumber, l_quantity")})) GROUP BY 1) e USING (processo_id)"""),
     "pj4_flat_andamentos": plain(f"SELECT d.processo_id, nome, CAST(l_shipdate AS DATE) AS data_iso, CASE WHEN link_url IS NOT NULL THEN link_tipo END AS link_tipo, link_url, sha1(link_url) AS link_url_sha1 FROM ({DOCKET}) d SEMI JOIN ({CASES}) c USING (processo_id)"),
     "pj17_targets": plain(f"SELECT DISTINCT link_url AS url, 'andamento' AS surface FROM ({DOCKET}) d SEMI JOIN ({CASES}) c USING (processo_id) WHERE link_url IS NOT NULL AND coalesce(link_tipo <> 'DESPACHO', true)"),
 }

@@ -19,23 +19,22 @@ from docketry.streaming import pipeline
 
 @query("fl1_scope", CASES, "SELECT classe, processo_id FROM {in} WHERE classe IN ('HC', 'RE') AND processo_id BETWEEN 100 AND 900")
 def _(d):
-    return d.where(F.col("classe").isin("HC", "RE") & F.col("processo_id").between(100, 900)).select("classe", "processo_id")
+    return corpus.scoped(d, ("HC", "RE"), 100, 900)
 
 
 @query2("jn5_cases_partes", {"cases": CASES, "partes": PARTES}, "SELECT classe, processo_id, relator, nome FROM cases JOIN partes USING (classe, processo_id)")
 def _(cases, partes):
-    return cases.join(partes, ["classe", "processo_id"]).select("classe", "processo_id", "relator", "nome")
+    return corpus.with_parties(cases, partes)
 
 
 @query2("jn6_exists", {"docket": DOCKET, "cases": CASES}, "SELECT processo_id, seq FROM docket d WHERE EXISTS (SELECT 1 FROM cases c WHERE c.processo_id = d.processo_id AND year(c.data_protocolo_iso) = 1996)")
 def _(docket, cases):
-    return docket.join(cases.where(F.year("data_protocolo_iso") == 1996), "processo_id", "left_semi").select("processo_id", "seq")
+    return corpus.events_of_year(docket, cases, 1996)
 
 
 @query2("jn8_text_search", {"docket": DOCKET, "cases": CASES}, "SELECT c.classe, c.relator, count(*) AS n FROM docket d JOIN cases c USING (processo_id) WHERE lower(d.complemento) LIKE '%provimento%' GROUP BY 1, 2")
 def _(docket, cases):
-    j = docket.where(F.lower("complemento").like("%provimento%")).select("processo_id").join(cases.select("processo_id", "classe", "relator"), "processo_id")
-    return j.groupBy("classe", "relator").agg(F.count(F.lit(1)).alias("n"))
+    return corpus.text_search(docket, cases, "provimento")
 
 
 @query("fl9_replay", LOG, "SELECT DISTINCT classe, processo FROM {in} WHERE status = 'http_error' OR kind = 'fetch_bytes' AND status = 'empty'")
@@ -56,7 +55,7 @@ def _(d):
 
 @query("ag18_distinct", DOCKET, "SELECT DISTINCT link_tipo, link_url FROM {in}")
 def _(d):
-    return d.select("link_tipo", "link_url").distinct()
+    return corpus.distinct_documents(d)
 
 
 @query("wn13_eta", "SELECT event_id AS id, event_id % 50 AS done, CAST(value AS DOUBLE) AS elapsed FROM {events}", "SELECT id, CASE WHEN done > 0 AND elapsed > 0 THEN round((50 - done) * elapsed / done, 6) END AS eta FROM {in}")
@@ -64,7 +63,8 @@ def _(d):
     return d.select("id", F.round(stats.eta(F.col("done"), F.lit(50), F.col("elapsed")), 6).alias("eta"))
 
 
-@query("dm6_costs", f"SELECT p_partkey AS id, {choose('p_partkey', ('pypdf', 'tesseract', 'mistral', 'chandra', 'unstructured', 'other'))} AS provider, p_size AS pages FROM {{part}}", f"SELECT id, round(CASE provider {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {a}::DOUBLE' for k, (a, _) in stats.PROVIDER_RATES.items())} END * pages / 1000, 6) AS usd, round(CASE provider {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {b}::DOUBLE' for k, (_, b) in stats.PROVIDER_RATES.items())} END * pages / 4, 6) AS seconds FROM {{in}}")
+@query("dm6_costs", f"SELECT p_partkey AS id, {choose('p_partkey', ('pypdf', 'tesseract', 'mistral', 'chandra', 'unstructured', 'other'))} AS provider, p_size AS pages FROM {{part}}", """
+SELECT id, round(CASE provider WHEN 'pypdf' THEN 0 WHEN 'tesseract' THEN 0 WHEN 'mistral' THEN 2 WHEN 'chandra' THEN 3 WHEN 'unstructured' THEN 10 END * pages / 1000.0, 6)::DOUBLE AS usd, round(CASE provider WHEN 'pypdf' THEN 0.1 WHEN 'tesseract' THEN 3.0 WHEN 'mistral' THEN 3.5 WHEN 'chandra' THEN 15.0 WHEN 'unstructured' THEN 25.0 END::DOUBLE * pages / 4, 6) AS seconds FROM {in}""")
 def _(d):
     return d.select("id", F.round(stats.ocr_cost(F.col("provider"), F.col("pages")), 6).alias("usd"), F.round(stats.ocr_wall(F.col("provider"), F.col("pages"), 4), 6).alias("seconds"))
 
@@ -84,25 +84,22 @@ def _(res, gold):
 
 @query2("so1_union_all", {"a": PARTES, "b": CASES}, "SELECT classe, processo_id FROM a UNION ALL SELECT classe, processo_id FROM b")
 def _(a, b):
-    return a.select("classe", "processo_id").unionByName(b.select("classe", "processo_id"))
+    return corpus.all_keys(a, b)
 
 
 @query2("so2_except", {"a": "SELECT o_custkey AS id FROM {orders}", "b": "SELECT c_custkey AS id FROM {customer} WHERE c_nationkey < 12"}, "SELECT id FROM a EXCEPT SELECT id FROM b")
 def _(a, b):
-    return a.subtract(b)
+    return corpus.not_among(a, b)
 
 
 @query("sr1_latest", CASES, "SELECT classe, processo_id FROM {in} ORDER BY data_protocolo_iso DESC, processo_id DESC LIMIT 1")
 def _(d):
-    return d.orderBy(F.desc("data_protocolo_iso"), F.desc("processo_id")).limit(1).select("classe", "processo_id")
+    return corpus.latest_case(d)
 
 
 @query("sc24_request_log", LOG, "SELECT url, id, status FROM {in} WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, id DESC) <= 3")
 def _(d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("url").orderBy(F.desc("ts"), F.desc("id"))
-    return d.where("url IS NOT NULL").withColumn("k", F.row_number().over(w)).where("k <= 3").select("url", "id", "status")
+    return corpus.last_requests(d, 3)
 
 
 # lists and sheets
@@ -302,13 +299,13 @@ def _(meta, side):
     return meta.join(side, "processo_id", "left").select("processo_id", "status", F.coalesce("n_pecas", "known").alias("n_pecas"))
 
 
-@query("pj26_n_pecas", DOCKET, f"SELECT processo_id, count(DISTINCT link_url) AS n_pecas FROM {{in}} WHERE link_url IS NOT NULL AND coalesce(trim(upper(strip_accents(link_tipo))), '') NOT IN ({', '.join(chr(39) + k + chr(39) for k, v in legal.TIER_OF.items() if v == 'C')}) GROUP BY 1")
+@query("pj26_n_pecas", DOCKET, "SELECT processo_id, count(DISTINCT link_url) AS n_pecas FROM {in} WHERE link_url IS NOT NULL AND coalesce(link_tipo, '') NOT IN ('CERTIDÃO', 'certidao', 'OUTRAS PEÇAS') GROUP BY 1")
 def _(d):
     kept = d.where(F.col("link_url").isNotNull() & legal.keeps(F.col("link_tipo")))
     return kept.groupBy("processo_id").agg(F.count_distinct("link_url").alias("n_pecas"))
 
 
-@query("sr5_providers", f"SELECT {choose('p_partkey', ('pypdf', 'mistral', 'unknown', 'chandra'))} AS provider, p_size AS pages, p_partkey AS id FROM {{part}}", "SELECT provider, round(min(CASE provider WHEN 'pypdf' THEN 0.0 WHEN 'mistral' THEN 1.0 WHEN 'chandra' THEN 3.0 END::DOUBLE * pages / 1000), 6) AS cheapest FROM {in} GROUP BY 1 ORDER BY cheapest NULLS LAST, provider")
+@query("sr5_providers", f"SELECT {choose('p_partkey', ('pypdf', 'mistral', 'unknown', 'chandra'))} AS provider, p_size AS pages, p_partkey AS id FROM {{part}}", "SELECT provider, round(min(CASE provider WHEN 'pypdf' THEN 0.0 WHEN 'mistral' THEN 2.0 WHEN 'chandra' THEN 3.0 END::DOUBLE * pages / 1000), 6) AS cheapest FROM {in} GROUP BY 1 ORDER BY cheapest NULLS LAST, provider")
 def _(d):
     g = d.groupBy("provider").agg(F.round(F.min(stats.ocr_cost(F.col("provider"), F.col("pages"))), 6).alias("cheapest"))
     return g.orderBy(F.col("cheapest").asc_nulls_last(), "provider")
@@ -319,6 +316,6 @@ def _(d):
     return d.where(rules.unified_kind(F.col("kind"), F.col("status")) != "ok").select("kind", "classe", "processo", "url", "status", "retries")
 
 
-@query("so4_outcome_partition", CASES, f"SELECT outcome_verdict, outcome_verdict IN ({', '.join(chr(39) + v + chr(39) for v in legal.FAVOURABLE)}) AS favourable, count(*) AS n FROM {{in}} WHERE outcome_verdict IS NOT NULL GROUP BY 1, 2")
+@query("so4_outcome_partition", CASES, "SELECT outcome_verdict, outcome_verdict IN ('concedido', 'concedido_parcial', 'procedente', 'procedente_parcial', 'provido', 'provido_parcial') AS favourable, count(*) AS n FROM {in} WHERE outcome_verdict IS NOT NULL GROUP BY 1, 2")
 def _(d):
     return d.where("outcome_verdict IS NOT NULL").groupBy("outcome_verdict", legal.won(F.col("outcome_verdict")).alias("favourable")).agg(F.count(F.lit(1)).alias("n"))

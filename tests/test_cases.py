@@ -174,7 +174,12 @@ def test_warehouse(spark, corpus, cache, runs, tmp_path):
     version, rates = warehouse.build(spark, corpus, str(tmp_path), cache, runs)
     assert logs.open_published(spark, str(tmp_path)) == version
     t = warehouse.open_tables(spark, version, views=True)
-    assert spark.sql("SELECT n_cases, classes FROM manifest").first() == (3, ["HC", "RE"])
+    m = spark.sql("SELECT * FROM manifest").first()
+    assert (m["n_cases"], m["classes"], m["n_partes"], m["n_documentos"], m["n_pdfs"], m["n_unallocated"], m["commit"]) == (3, ["HC", "RE"], 3, 5, 1, 1, None) and m["build_wall_s"] > 0
+    assert {r["sha1"] for r in spark.sql("SELECT sha1 FROM orphan_cache_files WHERE kind = 'bytes_only'").collect()} == {sha("http://x/1.pdf"), "cut", "raw", "none"} - {r["sha1"] for r in t["pdfs_substantive"].collect()}
+    assert spark.table("missing_text").count() == spark.table("pdfs_substantive").where("sha1 NOT IN (SELECT sha1 FROM disk_txt)").count()
+    assert spark.sql("SELECT is_suspicious_short(5, 'despacho'), is_suspicious_short(5, 'CERTIDÃO'), is_suspicious_short(NULL, 'Voto')").first() == (True, False, None)
+    assert not list(tmp_path.glob(".parsed-*"))
     assert {r["link_text"] for r in t["andamentos"].where(F.col("link_url") == "http://x/1.pdf").collect()} == {"olá\nmundo"}
     assert {r["field"]: r["ok"] for r in rates.collect()} == {"partes": False, "andamentos": False, "pautas": True, "publicacoes_dje": True, "sessao_virtual": True}
     again, _ = warehouse.build(spark, corpus, str(tmp_path), cache, runs)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from docketry.plans.inputs import TABLES
-from docketry.plans.queries_more import ORACLE, QUERIES
+from docketry.plans.queries_files import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
