@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from docketry import ship
 
+#: A unit of length, for either engine's regular expressions.
+WORD = "[^ \\t\\n\\r\\f]{1,16}"
 #: Rows in an Arrow batch handed to Python; a batch of very long texts must still fit beside an executor's heap.
 ARROW_ROWS = 512
 
@@ -168,8 +170,6 @@ def tokenizer_dir() -> str:
 
 
 def word_count(text: str | F.Column):
-    """White-space separated words of a text column, as SQL in either engine counts them; null counts 0."""
+    """Length of a text column in units, as SQL in either engine counts them: words between white space, those of over
+    16 signs one for each 16 begun, so that text without blanks has a length too. Null counts 0."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("bigint")
-
-
-WORD = "[^ \\t\\n\\r\\f]+"

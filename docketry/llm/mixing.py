@@ -51,8 +51,8 @@ def finish_times(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, seed:
     """(doc_id, source, tokens, key, place, tie, finish) for every row: its place in its source's random order and its
     virtual finish time.
 
-    A null source is a source of its own; unlisted ones weigh 1; tokens are white-space separated words, a null or
-    empty text has 0. Rows equal in id and text finish together. An empty table gives an empty table; further columns
+    A null source is a source of its own; unlisted ones weigh 1; tokens are units of ``common.word_count``, a null
+    or empty text has 0. Rows equal in id and text finish together. An empty table gives an empty table; further columns
     are ignored.
     """
     rows = common.pick(docs, "doc_id", "text", "source").select("doc_id", "source", common.word_count("text").alias("tokens"), _key("source").alias("key"), _tie("text").alias("tie")).withColumn("place", _order("doc_id", "tie", seed))
@@ -137,7 +137,7 @@ QUERIES = {"op9_mixing": op9_mixing}
 _CASES = " ".join(f"WHEN source = '{k}' THEN {float(v)}" for k, v in WEIGHTS.items())
 ORACLE = {
     "op9_mixing": f"""
-WITH r AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')), 0)::BIGINT AS tokens,
+WITH r AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{common.WORD}')), 0)::BIGINT AS tokens,
     coalesce('=' || source, '') AS key, substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')), 1, 16) AS place,
     coalesce(md5(text), '') AS tie FROM documents),
 f AS (SELECT *, (sum(tokens) OVER (PARTITION BY key ORDER BY place, tie))::DOUBLE

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm import common
 
-#: Words of a context in production.
+#: Units of a context in production.
 CAPACITY = 2048
 SHARDS = 32
 
@@ -24,8 +24,8 @@ SHARDS = 32
 def pack(docs: DataFrame, capacity: int = CAPACITY, shards: int = SHARDS) -> DataFrame:
     """(doc_id, piece, start, length, shard, fill_class, bin, slot): one row for each piece of each document.
 
-    Lengths are white-space separated words, so a text without blanks has length 1. A text longer than ``capacity`` is cut into full pieces and a rest, all
-    of it packed; ``start`` is the piece's first word. A bin is known by (shard, fill_class, bin), a place in it by
+    Lengths are units of ``common.word_count``: words, long ones cut to 16 signs. A text longer than ``capacity`` is cut into full pieces and a rest, all
+    of it packed; ``start`` is the piece's first unit. A bin is known by (shard, fill_class, bin), a place in it by
     slot, from 0. A null, empty or blank text has length 0, piece 0 and a null class, bin and slot. Within a class
     pieces go by doc_id, nulls last, then digest of the text, then piece, so equal rows are interchangeable; they are in
     one shard, while rows of equal or null ids but different texts are spread. Further columns are ignored; an empty
@@ -51,7 +51,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op5_packing": op5_packing}
 ORACLE = {
     "op5_packing": f"""
-WITH d AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')), 0)::BIGINT AS words, coalesce(md5(text), '') AS tie,
+WITH d AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '{common.WORD}')), 0)::BIGINT AS words, coalesce(md5(text), '') AS tie,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')), 1, 8))::BIGINT % {SHARDS} AS shard FROM documents),
 p AS (SELECT *, unnest(range(0, greatest(1, ceil(words / {CAPACITY})::BIGINT))) AS piece FROM d),
 q AS (SELECT *, piece * {CAPACITY} AS start, least(words - piece * {CAPACITY}, {CAPACITY}) AS length FROM p),

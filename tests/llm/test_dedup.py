@@ -171,6 +171,27 @@ def test_near_against_brute_force(spark):
     assert kept == {i for i in sigs if find(i) == i}
 
 
+def test_near_recall_at_the_threshold(spark):
+    """Of all pairs of the test documents whose weighted sets are as similar as the threshold asks, however close to it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    kept = set(ids(near.near_dedup(docs)))
+    bags = [(r["doc_id"], brute_elements(r["text"] or "")) for r in docs.collect()]
+    bags = sorted(((b.total(), i, b) for i, b in bags), key=lambda t: t[:2])
+    pairs, clean = [], {i for _, i, _ in bags}
+    for x, (n, i, a) in enumerate(bags):
+        for m, j, b in bags[x + 1 :]:
+            if n < near.THRESHOLD * m:
+                break
+            shared = sum(min(k, b[e]) for e, k in a.items())
+            if n and shared >= 0.4 * (n + m - shared):
+                clean -= {i, j}
+                if shared >= near.THRESHOLD * (n + m - shared):
+                    pairs.append((i, j))
+    caught = sum(not (i in kept and j in kept) for i, j in pairs)
+    assert len(pairs) > 100 and caught >= 0.9 * len(pairs)
+    assert len(clean) > 500 and clean <= kept
+
+
 def test_near_edges(spark):
     t = " ".join(f"word{i}" for i in range(80))
     rows = [(4, t, "en"), (2, t.upper(), "en"), (None, t + " tail", "en"), (2, t.upper(), "de"), (9, None, "en"), (9, None, "en"), (10, "", "en"), (11, "?!", "en"), (12, "solo", "en"), (13, "Solo!", "en"), (20, "z " * 60_000, "en"), (21, "q other text here", "en"), (22, "q other text here", "en"), (22, "q other text here", "fr")]

@@ -82,6 +82,8 @@ def test_pack(spark):
     assert packing.pack(d.limit(0)).count() == 0
     with pytest.raises(ValueError, match="capacity"):
         packing.pack(d, 0)
+    long = packing.pack(spark.createDataFrame([(1, "漢" * 1600, "zh", "s", 0), (2, "b" * 17 + " c", "en", "s", 0)], DOCS), 60, 1).orderBy("doc_id", "piece").collect()
+    assert [(r["doc_id"], r["start"], r["length"]) for r in long] == [(1, 0, 60), (1, 60, 40), (2, 0, 3)]
     nameless = spark.createDataFrame([(None, f"text {i}", "en", "s", 0) for i in range(200)], DOCS)
     assert len({r["shard"] for r in packing.pack(nameless, 10, 8).collect()}) == 8
 
@@ -132,7 +134,7 @@ def brute_pipeline(spark):
                 root[b] = a
     docs = [d for i, d in enumerate(docs) if find(i) == i]
     order, served = [], {}
-    size = lambda d: len(d["text"].split())
+    size = lambda d: sum(-(-len(w) // 16) for w in d["text"].split())
     digest = lambda d: hashlib.md5(d["text"].encode()).hexdigest()
     for d in sorted(docs, key=lambda d: hashlib.md5(f"7:{d['doc_id']}:{digest(d)}".encode()).hexdigest()[:16]):
         served[d["source"]] = served.get(d["source"], 0) + size(d)
