@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
+from docketry.sources.scratch import Folder
 
 LOG_SCHEMA = "kind string, classe string, processo int, url string, status string, error string, doc_type string, extractor string, chars int, ts string"
 STATE_FILES = ("pdfs.state.json", "executar.state.json")
@@ -306,13 +307,26 @@ def redacted_log(rows: DataFrame, column: str) -> DataFrame:
 
 def shard(rows: DataFrame, n: int, order: list[Column], how: str = "interleave") -> DataFrame:
     """Adds ``shard``, 0 to n - 1: by position modulo n, or in n runs [i len / n, (i + 1) len / n)."""
-    from pyspark.sql import Window
-
-    total = rows.count()
-    at = F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1
-    if how == "interleave":
-        return rows.withColumn("shard", F.pmod(at, F.lit(n)).cast("int"))
-    if how == "range":
-        # the run that holds position p: the greatest i with floor(i len / n) <= p
-        return rows.withColumn("shard", F.least(F.floor(((at + 1) * n - 1) / F.lit(max(total, 1))), F.lit(n - 1)).cast("int"))
-    raise ValueError(f"unknown way {how!r}")
+    if how not in ("interleave", "range"):
+        raise ValueError(f"unknown way {how!r}")
+    placed, total = positions(rows, order)
+    at = F.col("_at")
+    # of runs the one that holds position p: the greatest i with floor(i len / n) <= p
+    number = F.pmod(at, F.lit(n)) if how == "interleave" else F.least(F.floor(((at + 1) * n - 1) / F.lit(max(total, 1))), F.lit(n - 1))
+    return placed.withColumn("shard", number.cast("int")).drop("_at")
+
+
+def positions(rows: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
+    """``rows`` with their place in the order, from 0, in ``_at``, and how many there are. Sorted by ranges and written
+    to the shared folder with partition and place in it; what the partitions before hold is added, a number for each."""
+    spark = rows.sparkSession
+    path = Folder(spark).path
+    partition, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows.orderBy(*order).withColumns({"_part": partition, "_place": place}).write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+    before, total = [], 0
+    for part, k in sorted(stored.groupBy("_part").count().collect()):  # as many as a sort has partitions
+        before.append((part, total))
+        total += k
+    sums = spark.createDataFrame(before, "_part int, _before bigint")
+    return stored.join(F.broadcast(sums), "_part").withColumn("_at", F.col("_before") + F.col("_place")).select(*rows.columns, "_at"), total
