@@ -197,6 +197,16 @@ def _(spark, few, folder):
     return caches.html_archives(spark, folder.path).select(F.regexp_extract("path", "([0-9]+)[.]tar[.]gz$", 1).cast("int").alias("archive"), "tab", "html")
 
 
+@files("st23_document_texts", """SELECT {sha} AS sha1, CASE k % 5 WHEN 0 THEN 'rtf' WHEN 1 THEN 'pdf' WHEN 2 THEN 'html' WHEN 3 THEN 'rtf' END AS kind, CASE k % 5 WHEN 0 THEN 'Acórdão ' || k || chr(10) || '€ {x}' WHEN 1 THEN 'pages ' || k END AS text,
+ CASE k % 5 WHEN 2 THEN 'unknown_type' WHEN 3 THEN 'empty' WHEN 4 THEN 'gzip_error' ELSE 'ok' END AS status FROM {few}""")
+def _(spark, few, folder):
+    bodies = {0: "{{\\rtf1\\ansi{{\\fonttbl{{\\f0 Arial;}}}}{{\\*\\generator x;}}\\f0\\b Ac\\'f3rd\\'e3o {k}\\par\r\n\\u8364? \\{{x\\}}}}", 1: "%PDF pages {k}", 2: "<html>{k}", 3: "{{\\rtf1{{\\info secret}}}}"}
+    for r in few:
+        raw = bodies[r.k % 5].format(k=r.k).encode() if r.k % 5 in bodies else None
+        folder.put(f"{_sha(r.k)}.pdf.gz", b"raw" if raw is None else gzip.compress(raw))
+    return caches.document_texts(spark, folder.path, {"pdf": lambda raw: raw.decode().removeprefix("%PDF ")})
+
+
 @files("sc25_ocr_report", """SELECT {sha} AS sha1, p AS provider, k % 3 AS stratum, CASE WHEN p = 'mistral' AND k % 4 <> 0 THEN 7 ELSE k % 5 END AS n_pages, length('texto ' || k)::INT AS n_chars,
  CASE WHEN k % 2 = 0 THEN round(CASE p WHEN 'pypdf' THEN 0 ELSE 1.0 / length('texto ' || k) END, 6)::DOUBLE END AS cer, CASE p WHEN 'mistral' THEN round(1 - 1.0 / length('texto ' || k), 6)::DOUBLE END AS similarity FROM {few}, (VALUES ('mistral'), ('pypdf')) t(p)""")
 def _(spark, few, folder):

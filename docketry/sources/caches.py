@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry import ship
 from docketry.functions import rules
 from docketry.sources import logs
 
@@ -123,3 +125,86 @@ def ocr_files(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     texts = bodies("texts").where(F.col("name").contains(".")).select(F.substring_index("name", ".", 1).alias("sha1"), F.substring_index("name", ".", -1).alias("provider"), "text")
     empty = spark.createDataFrame([], _RESULT + ", file string, line bigint")
     return {"manifest": lines("manifest", _MANIFEST), "results": lines("results", _RESULT) if exists("results.jsonl") else empty, "texts": texts, "gold": bodies("gold").withColumnRenamed("name", "sha1")}
+
+
+# bytes to text
+
+_CONTROL = re.compile(r"\\(?:(?P<word>[A-Za-z]+)(?P<number>-?[0-9]+)? ?|'(?P<hex>[0-9A-Fa-f]{2})|(?P<sign>.))", re.S)
+#: Groups whose text is none of the document's, and words that stand for signs.
+_ASIDE = frozenset("colortbl filetbl fonttbl footer footerf footerl footerr footnote generator header headerf headerl headerr info listtable object pict rsidtbl stylesheet themedata".split())
+_SIGNS = {"par": "\n", "line": "\n", "row": "\n", "sect": "\n\n", "page": "\n\n", "tab": "\t", "cell": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
+
+
+def rtf_text(raw: bytes) -> str:
+    """The text of an RTF document: without control words, fonts, pictures, headers and hidden groups; bytes in the code
+    page of Western Windows, code points by number with their stand-ins left out."""
+    s = raw.decode("latin-1")
+    out: list[str] = []
+    groups: list[tuple[bool, int]] = []
+    aside, stand_ins, left_out, i = False, 1, 0, 0
+    while i < len(s):
+        c = s[i]
+        if c == "{":
+            groups.append((aside, stand_ins))
+        elif c == "}":
+            aside, stand_ins = groups.pop() if groups else (False, 1)
+            left_out = 0
+        elif c == "\\" and (m := _CONTROL.match(s, i)):
+            i = m.end() - 1
+            word, number = m["word"], m["number"]
+            if m["sign"] == "*" or word in _ASIDE:
+                aside = True
+            elif word == "uc":
+                stand_ins = int(number or 1)
+            elif word == "u" and number:
+                if not aside:
+                    out.append(chr(int(number) % 65536))
+                left_out = stand_ins
+            elif word == "bin" and number:
+                i += int(number)
+            elif not aside and (word in _SIGNS or m["hex"] or m["sign"]):
+                sign = _SIGNS[word] if word in _SIGNS else bytes([int(m["hex"], 16)]).decode("cp1252", "replace") if m["hex"] else {"~": "\xa0", "-": "", "_": "-", "\n": "\n", "\r": "\n"}.get(m["sign"], m["sign"] if m["sign"] in "\\{}" else "")
+                if left_out and not word:
+                    left_out -= 1
+                else:
+                    out.append(sign)
+        elif c not in "\r\n" and not aside:
+            if left_out:
+                left_out -= 1
+            else:
+                out.append(c)
+        i += 1
+    # surrogate pairs are written as two numbers
+    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip()
+
+
+def document_texts(spark: SparkSession, root: str, readers: Mapping[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(sha1, kind, text, status) of cached bytes, each by the reader of its kind: RTF by ``rtf_text``, PDF and others by
+    what ``readers`` has under the kind's name, which wins. Status: ok, empty (a reader that found nothing),
+    unknown_type (no reader), provider_error (a reader that raised), gzip_error. One narrow stage in Arrow batches."""
+    known = {"rtf": rtf_text, **(readers or {})}
+    names = {b"%PDF": "pdf", b"{\\rt": "rtf", b"PK\x03\x04": "zip"}
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for sha1, content in zip(frame["sha1"], frame["content"], strict=True):
+                try:
+                    raw = gzip.decompress(content)
+                except (OSError, EOFError):
+                    rows.append((sha1, None, None, "gzip_error"))
+                    continue
+                kind = names.get(raw[:4], "html" if raw[:1] == b"<" else "unknown")
+                if kind not in known:
+                    rows.append((sha1, kind, None, "unknown_type"))
+                    continue
+                try:
+                    text = known[kind](raw)
+                    rows.append((sha1, kind, text or None, "ok" if text else "empty"))
+                except Exception:  # whatever a vendor's reader raises is this document's status
+                    rows.append((sha1, kind, None, "provider_error"))
+            yield pd.DataFrame(rows, columns=["sha1", "kind", "text", "status"])
+
+    ship(spark)
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,rtf}.gz").load(root)
+    return rows.select(F.regexp_extract("path", "([^/.]*)\\.(pdf|rtf)\\.gz$", 1).alias("sha1"), "content").mapInPandas(read, "sha1 string, kind string, text string, status string")

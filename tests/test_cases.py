@@ -139,6 +139,14 @@ def test_caches(spark, cache, tmp_path):
     assert [(r["tab"], r["html"]) for r in caches.html_archives(spark, str(tmp_path)).collect()] == [("detalhe.html", "<b>x</b>")]
 
 
+def test_rtf():
+    read = lambda s: caches.rtf_text(s.encode("latin-1"))
+    assert read(r"{\rtf1\ansi\deff0 {\fonttbl{\f0 A;}}{\colortbl;\red0;}a\tab b\line c{\b d} e\~f\_g}") == "a\tb\ncd e\xa0f-g"
+    assert read(r"{\rtf1 \uc2\u960 xyz \uc0\u-10179\u-8704 .}") == "πz 😀."
+    assert read(r"{\rtf1 {\pict\bin4 }}}}x}y}") == "y" and read("no rtf \\") == "no rtf \\" and read("") == ""
+    assert read(r"{\rtf1 \'80 \'e7}") == "€ ç"
+
+
 def put(folder, body):
     folder.mkdir()
     (folder / logs.STATE_FILES[1]).write_text(body)
