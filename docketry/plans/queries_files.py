@@ -329,9 +329,9 @@ def _warehouse(spark: SparkSession, few: list, folder: Folder) -> str:
     sha = lambda url: hashlib.sha1(url.encode()).hexdigest()
     for r in few:
         url = f"http://x/{r.k}.pdf"
-        case = {"classe": "HC", "processo_id": r.k, "relator": r.name, "partes": [{"tipo": "IMPTE.(S)", "nome": r.name}], "andamentos": [{"nome": "Decisão", "data": "2020-01-02", "link": {"tipo": _KINDS[r.k % 4], "url": url}}]}
+        case = {"classe": "HC", "processo_id": r.k, "relator": r.name, "partes": [{"nome": r.name, "tipo": "IMPTE.(S)"}], "andamentos": [{"nome": "Decisão", "data": "2020-01-02", "link": {"tipo": _KINDS[r.k % 4], "url": url}}]}
         if r.k % 2 == 0:
-            case["sessao_virtual"] = [{"documentos": [{"tipo": "Voto", "url": f"http://v/{r.k}.pdf"}]}]
+            case["sessao_virtual"] = [{"documentos": [{"url": f"http://v/{r.k}.pdf", "tipo": "Voto"}]}]
         folder.put(f"cases/HC/case-mini_HC_{r.k}-{r.k}.json", json.dumps(case))
         if r.k % 3 == 0:
             folder.put(f"texts/{sha(url)}.txt.gz", gzip.compress(b"x" * (2000 if r.k % 2 else 10)))
@@ -385,7 +385,7 @@ def _(spark, few, folder):
 
     for r in few:
         url = f"http://v/{r.k}.pdf"
-        folder.put(f"cases/HC/case-mini_HC_{r.k}-{r.k}.json", json.dumps({"classe": "HC", "processo_id": r.k, "sessao_virtual": [{"documentos": [{"tipo": "Voto", "url": url}]}] if r.k % 2 == 0 else []}))
+        folder.put(f"cases/HC/case-mini_HC_{r.k}-{r.k}.json", json.dumps({"classe": "HC", "processo_id": r.k, "sessao_virtual": [{"documentos": [{"url": url, "tipo": "Voto"}]}] if r.k % 2 == 0 else []}))
         if r.k % 4 == 0 or r.k % 3 == 0:
             folder.put(f"texts/{hashlib.sha1((url if r.k % 4 == 0 else url + 'x').encode()).hexdigest()}.txt.gz", gzip.compress(b"t"))
     folder.put("texts/.keep", "")
@@ -520,7 +520,7 @@ def _(d):
         v = F.col("value").cast("string")
         sitting = lambda i: F.concat(F.lit('{"objetoIncidente":{"id":'), v, F.lit(f'{i},"identificacaoCompleta":"Agravo '), F.lit(str(i)), F.lit('"}}'))
         body = {
-            "tema": F.concat(F.lit('{"package":{"repercussaoGeral":{"processoLeadingCase":{"numeroTema":'), v, F.lit("}}}}")),
+            "tema": F.concat(F.lit('{"package":'), F.lit('{"repercussaoGeral":'), F.lit('{"processoLeadingCase":{"numeroTema":'), v, F.lit("}}}}")),
             # every fifth listing is malformed
             "oi": F.when(F.col("value") % 5 == 0, "{oops").otherwise(F.concat(F.lit("["), sitting(0), F.lit(","), sitting(1), F.lit("]"))),
             "sessaoVirtual": F.concat(F.lit('[{"objetoIncidente":{"id":'), v, F.lit(',"identificacaoCompleta":"Agravo '), F.right(v, F.lit(1)), F.lit('"},"listasJulgamento":[{"nomeLista":"L"}]}]')),
@@ -547,7 +547,7 @@ def _(d):
 def _(d):
     page = lambda html, kind, where="true": portal.extracted(d.where(where).select(F.col("k").alias("incidente_id"), html.alias("html")), kind)
     detail = page(F.concat(F.lit('<div class="processo-dados">Classe: HC</div><div class="processo-dados">Relator(a): '), "name", F.lit("</div>")), "detail")
-    parties = page(F.concat(F.lit('<div id="todas-partes"><div class="detalhe-parte">IMPTE.(S)</div><div class="nome-parte">'), "name", F.lit("</div></div>")), "parties", "k % 2 = 0")
+    parties = page(F.concat(F.lit('<div id=todas-partes><p class=detalhe-parte>IMPTE.(S)</p><p class=nome-parte>'), "name", F.lit("</p></div>")), "parties", "k % 2 = 0")
     events = page(F.lit('<div class="andamento-item"><h5 class="andamento-nome">Denego a ordem</h5></div>'), "events", "k % 3 = 0")
     sessions = d.select(F.col("k").alias("incidente_id"), F.expr("cast(null as array<struct<metadata:struct<data_inicio:string,data_fim_prevista:string>,voto_relator:string>>)").alias("fields"))
     whole = portal.assembled(detail, page(F.lit(""), "info"), parties, events, sessao_virtual=sessions)

@@ -307,8 +307,8 @@ def redacted_log(rows: DataFrame, column: str) -> DataFrame:
 
 def shard(rows: DataFrame, n: int, order: list[Column], how: str = "interleave") -> DataFrame:
     """Adds ``shard``, 0 to n - 1: by position modulo n, or in n runs [i len / n, (i + 1) len / n)."""
-    if how not in ("interleave", "range"):
-        raise ValueError(f"unknown way {how!r}")
+    if how != "interleave" and how != "range":
+        raise ValueError(f"{how!r} is no way to cut a list")
     placed, total = positions(rows, order)
     at = F.col("_at")
     # of runs the one that holds position p: the greatest i with floor(i len / n) <= p

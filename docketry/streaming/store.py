@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +103,7 @@ class Store:
             self.compact()
         return self.state()
 
-    def errors(self, fine: tuple[str, ...] = ("ok", "unallocated")) -> DataFrame:
+    def errors(self, fine: Iterable[str] = ("unallocated", "ok")) -> DataFrame:
         """The rows of the state whose status isn't one of ``fine``; a null status isn't."""
         return self.state().where(~F.coalesce(F.col("status").isin(*fine), F.lit(False)))
 
