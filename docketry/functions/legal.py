@@ -71,15 +71,15 @@ def derive_outcome(sessions: Column, events: Column) -> Column:
     last = F.try_element_at(sessions, F.lit(-1))
     # one text at a time within the array functions, so that it is folded once and no generated code grows
     of = lambda t: F.transform(F.array(t), lambda x: verdict(x))[0]
-    by_vote = of(F.trim(last["voto_relator"]))
-    held = F.struct(
-        by_vote.alias("verdict"), F.lit("sessao_virtual").alias("source"), (F.size(sessions) - 1).alias("source_index"), F.coalesce(last["metadata"]["data_inicio"], last["metadata"]["data_fim_prevista"]).alias("date_iso")
+    by_vote = lambda: F.when(last["voto_relator"].isNotNull(), of(F.trim(last["voto_relator"])))
+    held = lambda verdict_of: F.struct(
+        verdict_of.alias("verdict"), F.lit("sessao_virtual").alias("source"), (F.size(sessions) - 1).alias("source_index"), F.coalesce(last["metadata"]["data_inicio"], last["metadata"]["data_fim_prevista"]).alias("date_iso")
     )
-    told = F.transform(
-        events,
-        lambda e: F.struct(of(F.concat_ws("\n", F.coalesce(e["nome"], F.lit("")), F.coalesce(e["complemento"], F.lit("")))).alias("verdict"), F.lit("andamentos").alias("source"), F.coalesce(e["index"], F.lit(0)).alias("source_index"), e["data"].alias("date_iso")),
-    )
-    return F.when(by_vote.isNotNull(), held).otherwise(F.try_element_at(F.filter(told, lambda t: t["verdict"].isNotNull()), F.lit(1)))
+    told = lambda e: F.struct(of(F.concat_ws("\n", F.coalesce(e["nome"], F.lit("")), F.coalesce(e["complemento"], F.lit("")))).alias("verdict"), F.lit("andamentos").alias("source"), F.coalesce(e["index"], F.lit(0)).alias("source_index"), e["data"].alias("date_iso"))
+    none = F.lit(None).cast("struct<verdict:string,source:string,source_index:int,date_iso:string>")
+    # events after the first with a verdict are passed over unread
+    of_events = F.aggregate(events, none, lambda found, e: F.when(found.isNotNull(), found).otherwise(tx.stages(told(e), lambda t: F.when(t["verdict"].isNotNull(), t))))
+    return tx.stages(by_vote(), lambda v: F.when(v.isNotNull(), held(v)).otherwise(of_events))
 
 
 # docket events: label -> tests on the upper-case text, tried in this order
