@@ -73,10 +73,9 @@ def _is_object(c: Column) -> Column:
 def first_record(body: Column) -> Column:
     """JSON text of the file's case: the document itself, or the first of a list; null for anything else. Malformed
     JSON raises."""
-    fine = F.parse_json(body).isNotNull()
-    # from the text itself: a variant would sort the keys, and documents of a session go by the order of theirs
-    first = F.get_json_object(body, "$[0]")
-    return F.when(fine & _is_object(body), body).when(fine & _is_object(first), first)
+    # from the text itself: a variant would sort the keys, and documents of a session go by the order of theirs. What
+    # follows a list's first object stays behind it, as a reader of one object stops at its end
+    return F.when(F.parse_json(body).isNotNull() & body.rlike("^\\s*(\\[\\s*)?\\{"), F.regexp_replace(body, "^\\s*\\[\\s*", ""))
 
 
 def all_records(body: Column) -> Column:
@@ -89,8 +88,11 @@ def all_records(body: Column) -> Column:
 def cases(files: DataFrame, every_record: bool = False) -> DataFrame:
     """(path, modified, c) with the parsed case c; by default the first record of a file, malformed files raising, else
     all records, malformed files giving none."""
-    body = F.explode(all_records(F.col("body"))) if every_record else first_record(F.col("body"))
-    rows = files.select("path", "modified", body.alias("record")).where("record IS NOT NULL")
+    body = F.col("body")
+    # exploded rather than filtered: a filter is pushed below the record's projection, so that a body is made and parsed
+    # again for each place that names it
+    records = all_records(body) if every_record else F.array_compact(F.array(first_record(body)))
+    rows = files.select("path", "modified", F.explode(records).alias("record"))
     return rows.select("path", "modified", F.from_json("record", CASE_SCHEMA).alias("c"))
 
 
@@ -140,30 +142,33 @@ def flat_cases(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _positions(rows: DataFrame, keep: list, items: Column, at: str, item: str) -> DataFrame:
+    """As a posexplode, whose own filter on the list's size would be pushed below and parse everything a second time."""
+    return rows.select(*keep, F.posexplode_outer(items).alias(at, item)).where(F.col(at).isNotNull())
+
+
 def _exploded(parsed: DataFrame, field: str) -> DataFrame:
-    return parsed.select(*_key(), F.posexplode(F.col(f"c.{field}")).alias("seq", "x"))
+    return _positions(parsed, _key(), F.col(f"c.{field}"), "seq", "x")
 
 
 def flat_partes(parsed: DataFrame) -> DataFrame:
     return _exploded(parsed, "partes").select("classe", "processo_id", "seq", "x.tipo", "x.nome")
 
 
-def link_of(link: Column, description: Column) -> tuple[Column, Column, Column, Column]:
-    """url, type, text and extractor of an event's link: an object, or a bare URL with its description beside it."""
-    parsed = F.from_json(link, _DOC)
-    is_object = _is_object(link)
-    bare = F.when(~is_object & (link != ""), link)
-    return F.when(is_object, parsed["url"]).otherwise(bare), F.when(is_object, parsed["tipo"]).when(bare.isNotNull(), description), F.when(is_object, parsed["text"]), F.when(is_object, parsed["extractor"])
+def _link_object(link: Column) -> Column:
+    """The fields of a link that is an object, all null for one that can't be read; null for any other. To be bound by
+    ``tx.stages``: each use of the expression itself parses anew."""
+    unread = F.struct(*[F.lit(None).cast(_S).alias(c) for c in ("tipo", "url", "text", "extractor")])
+    return F.when(_is_object(link), F.coalesce(F.from_json(link, _DOC), unread))
 
 
 def flat_andamentos(parsed: DataFrame) -> DataFrame:
     """Docket events. Only links that are objects have link columns; their text and extractor are those of the file
     until ``caches.resolve`` puts the cache's in their place."""
-    url, kind, text, extractor = link_of(F.when(_is_object(F.col("x.link")), F.col("x.link")), F.lit(None))
-    rows = _exploded(parsed, "andamentos")
+    rows = _exploded(parsed, "andamentos").withColumn("l", F.from_json(F.when(_is_object(F.col("x.link")), F.col("x.link")), _DOC))
     return rows.select(
         "classe", "processo_id", "seq", "x.data", tx.flexible_date(F.col("x.data_iso"), F.col("x.data")).try_cast("date").alias("data_iso"), "x.nome", "x.complemento", "x.julgador",
-        kind.alias("link_tipo"), url.alias("link_url"), tx.url_sha1(url).alias("link_url_sha1"), text.alias("link_text"), extractor.alias("link_extractor"),
+        F.col("l.tipo").alias("link_tipo"), F.col("l.url").alias("link_url"), tx.url_sha1(F.col("l.url")).alias("link_url_sha1"), F.col("l.text").alias("link_text"), F.col("l.extractor").alias("link_extractor"),
     )
 
 
@@ -187,7 +192,7 @@ def flat_publicacoes(parsed: DataFrame) -> DataFrame:
 
 
 def flat_decisoes(parsed: DataFrame) -> DataFrame:
-    rows = _publications(parsed).select("classe", "processo_id", F.col("seq").alias("dje_seq"), F.posexplode("x.decisoes").alias("dec_seq", "d"))
+    rows = _positions(_publications(parsed), ["classe", "processo_id", F.col("seq").alias("dje_seq")], F.col("x.decisoes"), "dec_seq", "d")
     rows = rows.where(_is_object(F.col("d"))).withColumn("d", F.from_json("d", _DEC)).withColumn("r", F.when(_is_object(F.col("d.rtf")), F.from_json("d.rtf", _DOC)))
     return rows.select("classe", "processo_id", "dje_seq", "dec_seq", "d.kind", "d.texto", F.col("r.tipo").alias("rtf_tipo"), F.col("r.url").alias("rtf_url"), tx.url_sha1(F.col("r.url")).alias("rtf_url_sha1"), F.col("r.text").alias("rtf_text"), F.col("r.extractor").alias("rtf_extractor"))
 
@@ -234,23 +239,29 @@ def targets(parsed: DataFrame, classe: str | None = None, impte: Iterable[str] =
         for n in relator:
             keep = keep | up.contains(n)
         rows = rows.where(keep)
-    head = [*_key(), "path"]
-    url, kind, _, _ = link_of(F.col("x.link"), F.col("x.link_descricao"))
-    events = rows.select(*head, F.posexplode("c.andamentos").alias("at", "x")).select("classe", "processo_id", "path", F.lit(0).alias("n"), F.lit("andamento").alias("surface"), F.struct("at").alias("at"), url.alias("url"), kind.alias("doc_type"))
+    # every document of a case in one array, so that a case is read once and not for each of the three surfaces
+    made = lambda n, surface, at, url, kind: F.struct(F.lit(n).alias("n"), F.lit(surface).alias("surface"), F.array(*at).alias("at"), url.alias("url"), kind.alias("doc_type"))
+    none = F.array().cast("array<struct<n:int,surface:string,at:array<int>,url:string,doc_type:string>>")
+    objects = lambda texts, kind, f: F.when(_is_object(texts), tx.stages(F.from_json(texts, kind), f))
+
+    def event(x: Column, i: Column) -> Column:
+        def linked(o: Column) -> Column:
+            bare = F.when(o.isNull() & (x["link"] != ""), x["link"])
+            return made(0, "andamento", [i], F.when(o.isNotNull(), o["url"]).otherwise(bare), F.when(o.isNotNull(), o["tipo"]).when(bare.isNotNull(), x["link_descricao"]))
+
+        return tx.stages(_link_object(x["link"]), linked)
+
+    session = lambda x, i: objects(x, _SESSION, lambda o: F.transform(normal_documents(o["documentos"]), lambda d, j: made(1, "sessao_virtual", [i, j], d["url"], d["tipo"])))
+    rtf = lambda o: F.when(_is_object(o["rtf"]), F.from_json(o["rtf"], _DOC)["url"])
+    published = lambda x, i: objects(x, "struct<decisoes:array<string>>", lambda o: F.transform(o["decisoes"], lambda d, j: objects(d, _DEC, lambda e: made(2, "dje", [i, j], rtf(e), e["kind"]))))
+    nested = lambda name, f: F.coalesce(F.flatten(F.array_compact(F.transform(f"c.{name}", f))), none)
+    every = F.concat(F.coalesce(F.transform("c.andamentos", event), none), nested("sessao_virtual", session), nested("publicacoes_dje", published))
+    every = rows.select(*_key(), "path", F.inline(F.array_compact(every))).where(legal.supported_url(F.col("url")))
+    of_event = F.col("surface") == "andamento"
     if doc_types := list(doc_types):
-        events = events.where(F.col("doc_type").isin(doc_types))
+        every = every.where(~of_event | F.col("doc_type").isin(doc_types))
     if exclude := list(exclude):
-        events = events.where(~F.coalesce(F.col("doc_type").isin(exclude), F.lit(False)))
-    flat = lambda d, *at: d.select("classe", "processo_id", *at, "url", "doc_type")
-    pos = lambda a, b: F.struct(F.lit(None).cast("int").alias("at"), F.col(a), F.col(b))
-    keyed = rows.select("path", "modified", "c")
-    sessions = keyed.select(*head, F.posexplode("c.sessao_virtual").alias("session_idx", "s")).where(_is_object(F.col("s"))).withColumn("s", F.from_json("s", _SESSION))
-    sessions = sessions.select("classe", "processo_id", "path", "session_idx", F.posexplode(normal_documents(F.col("s.documentos"))).alias("doc_seq", "d"))
-    sessions = sessions.select("classe", "processo_id", "path", F.lit(1).alias("n"), F.lit("sessao_virtual").alias("surface"), F.array("session_idx", "doc_seq").alias("at"), "d.url", F.col("d.tipo").alias("doc_type"))
-    gazette = keyed.select(*head, F.posexplode("c.publicacoes_dje").alias("dje_seq", "x")).where(_is_object(F.col("x"))).withColumn("x", F.from_json("x", _PUB))
-    gazette = gazette.select("classe", "processo_id", "path", "dje_seq", F.posexplode("x.decisoes").alias("dec_seq", "d")).where(_is_object(F.col("d"))).withColumn("d", F.from_json("d", _DEC))
-    gazette = gazette.select("classe", "processo_id", "path", F.lit(2).alias("n"), F.lit("dje").alias("surface"), F.array("dje_seq", "dec_seq").alias("at"), F.when(_is_object(F.col("d.rtf")), F.from_json("d.rtf", _DOC)["url"]).alias("url"), F.col("d.kind").alias("doc_type"))
-    every = events.withColumn("at", F.array(F.col("at.at"))).unionByName(sessions).unionByName(gazette).where(legal.supported_url(F.col("url")))
+        every = every.where(~of_event | ~F.coalesce(F.col("doc_type").isin(exclude), F.lit(False)))
     first = F.min_by(F.struct("classe", "processo_id", "doc_type", "surface"), F.struct("path", "n", "at")).alias("f")
     return every.groupBy("url").agg(first).select("url", "f.classe", "f.processo_id", "f.doc_type", "f.surface")
 
@@ -275,11 +286,11 @@ def reshape(parsed: DataFrame, now: Column | None = None) -> DataFrame:
     nothing = F.lit(None).cast(_S)
 
     def link(e: Column) -> Column:
-        parsed_link = F.from_json(e["link"], _DOC)
-        kind = F.coalesce(e["link_descricao"], F.when(_is_object(e["link"]), parsed_link["tipo"]))
-        url = F.when(_is_object(e["link"]), parsed_link["url"]).otherwise(e["link"])
-        made = F.struct(kind.alias("tipo"), url.alias("url"), nothing.alias("text"), nothing.alias("extractor"))
-        return F.when(e["link"].isNotNull() | e["link_descricao"].isNotNull(), made)
+        def made(o: Column) -> Column:
+            url = F.when(o.isNull(), e["link"]).otherwise(o["url"])
+            return F.struct(F.coalesce(e["link_descricao"], o["tipo"]).alias("tipo"), url.alias("url"), nothing.alias("text"), nothing.alias("extractor"))
+
+        return F.when(e["link"].isNotNull() | e["link_descricao"].isNotNull(), tx.stages(_link_object(e["link"]), made))
 
     event = lambda e: [_index(e).alias("index"), _iso_or_plain(e).alias("data"), F.coalesce(e["nome"], F.lit("")).alias("nome"), e["complemento"].alias("complemento"), e["julgador"].alias("julgador")]
     empty = lambda a, like: F.coalesce(a, F.array().cast(like))

@@ -230,3 +230,31 @@ def test_sheets(spark, tmp_path):
     logs.export(parity, str(tmp_path / "out"), "all")
     logs.export(parity, str(tmp_path / "out"), "jsonl")
     assert spark.read.json(str(tmp_path / "out/jsonl")).count() == 2 and spark.read.json(str(tmp_path / "out/json")).count() == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_case_is_parsed_once(spark):
+    one = spark.createDataFrame([(1, '{"classe":"HC","processo_id":1,"outcome":"x"}'), (2, "[7]")], "k int, body string")
+    made = one.select(F.lit("/p").alias("path"), F.current_timestamp().alias("modified"), F.concat(F.lit(" "), "body").alias("body"))
+    for read in (cases.flat_cases, cases.flat_andamentos, cases.flat_decisoes, cases.targets, cases.reshape):
+        d = read(cases.cases(made))
+        assert _plan(d).count("parseJson(") == 1 and "Filter isnotnull(CASE" not in _plan(d) and "(size(from_json" not in _plan(d), read.__name__
+    assert cases.flat_cases(cases.cases(made)).count() == 1
+
+
+def test_a_link_is_parsed_once(spark):
+    text = '{"classe":"HC","processo_id":1,"andamentos":[{"link":{"url":"http://x/1.pdf","tipo":"T"}}]}'
+    parsed = cases.cases(spark.createDataFrame([("/p", text)], "path string, body string").withColumn("modified", F.current_timestamp()))
+    d = cases.flat_andamentos(parsed).select("link_tipo", "link_url", "link_url_sha1", "link_text", "link_extractor")
+    assert _plan(d).count("from_json(") == 2  # the case, the link
+    assert [tuple(r) for r in d.collect()] == [("T", "http://x/1.pdf", sha("http://x/1.pdf"), None, None)]
+
+
+def test_events_after_the_first_verdict_are_unread(spark):
+    text = {"classe": "HC", "processo_id": 1, "outcome": "x", "andamentos": [{"nome": "Nada"}, {"nome": "Denego a ordem", "index": 7}, {"nome": "Concedo a ordem", "index": 8}]}
+    d = cases.reshape(cases.cases(spark.createDataFrame([("/p", json.dumps(text))], "path string, body string").withColumn("modified", F.current_timestamp())))
+    assert "aggregate(" in _plan(d.select("outcome"))
+    assert tuple(d.first()["outcome"]) == ("denegado", "andamentos", 7, None)
