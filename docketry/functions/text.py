@@ -127,9 +127,8 @@ def _in_range(d: Column, m: Column, y: Column) -> Column:
 
 def to_iso(c: Column) -> Column:
     """The first DD/MM/YYYY anywhere as YYYY-MM-DD; ranges are checked, not the calendar; else null."""
-    p = f"\\b{_DAY}\\b"
-    d, m, y = (_int(c, p, i) for i in (1, 2, 3))
-    return F.when(_in_range(d, m, y), F.concat_ws("-", F.regexp_extract(c, p, 3), F.regexp_extract(c, p, 2), F.regexp_extract(c, p, 1)))
+    day = F.regexp_extract(c, f"\\b{_DAY}\\b", 0)
+    return F.when(day.rlike("^(0[1-9]|[12][0-9]|3[01])/(0[1-9]|1[0-2])/(19[0-9]{2}|20[0-9]{2}|2100)$"), F.concat_ws("-", F.substring(day, 7, 4), F.substring(day, 4, 2), F.substring(day, 1, 2)))
 
 
 def to_iso_datetime(c: Column) -> Column:
