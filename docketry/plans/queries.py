@@ -636,7 +636,7 @@ def _case_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = relation(spark, sf_dir, f"SELECT classe, processo_id, relator, outcome_verdict, {DATE_BR.format('data_protocolo_iso')} AS filed FROM ({CASES}) x")
     e = relation(spark, sf_dir, f"SELECT processo_id AS pid, seq, nome, complemento, link_tipo, link_url, {DATE_BR.format('l_shipdate')} AS data FROM ({DOCKET}) x")
     link = F.when(F.col("link_url").isNotNull(), F.struct(F.col("link_tipo").alias("tipo"), F.col("link_url").alias("url")))
-    events = e.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("seq", "nome", "data", "complemento", link.alias("link")))).alias("andamentos"))
+    events = e.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("seq", "nome", "data", "complemento", link.alias("link")))).alias("andamentos"))
     j = c.join(events, F.col("pid") == F.col("processo_id"), "left")
     body = F.to_json(F.struct("classe", F.col("processo_id").cast("string").alias("processo_id"), "relator", F.col("outcome_verdict").alias("outcome"), F.col("filed").alias("data_protocolo"), "andamentos"))
     return j.select(F.concat(F.lit("/"), F.col("processo_id").cast("string")).alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modified"), F.concat(F.lit("["), body, F.lit("]")).alias("body"))
