@@ -82,3 +82,21 @@ def test_sessions(spark):
     theme = dict(package=dict(repercussaoGeral=dict(processoLeadingCase=case)))
     t = portal.themes(spark.createDataFrame([(json.dumps(theme),), ("{}",)], "body string")).collect()
     assert [(r["tema"], r["julgamento_item_titulo"], r["votos"][0]["votoRG"]) for r in t] == [(7, "Tema 7 - T", "S")]
+
+
+def test_pages_are_read_once(spark):
+    pages = spark.createDataFrame([("<p>x</p>",)], "html string")
+    d = portal.extracted(pages, "events").select(F.explode("fields").alias("e")).select("e.index")
+    assert d._jdf.queryExecution().executedPlan().toString().count("batch(") == 1
+    assert d.collect() == []
+
+
+def test_plain_tree_is_the_standard_parsers():
+    def dump(n):
+        return n.name, n.attributes, n.text("|"), [m.name for m in n.walk()], [c if isinstance(c, str) else dump(c) for c in n.children]
+
+    plain = ("", "a &amp; b&nbsp", LISTING, GAZETTE, DETAIL, "<!DOCTYPE html><DIV ID='a' class=\"x y\" id=\"b\">t<br/>u<p>v</div>w</i><!-- c -->z", "<li>a<li>b</ul></li>c")
+    for page in plain:
+        assert dump(portal._plain_tree(page)) == dump(portal.standard_tree(page)), page
+    for page in ("a < b", "<a href=x>t</a>", "<i checked>t", "<a href='a&amp;b'>t", "<script>'<b>'</script>t", "<div/>t", "<!--a--b-->t", "<p <b>t", "<title>&lt;</title>", "</ p>t"):
+        assert portal._plain_tree(page) is None and dump(portal.tree(page)) == dump(portal.standard_tree(page)), page
